@@ -74,3 +74,44 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     return pairs.groupBy("node").agg(F.min("component").alias("component")).unionByName(
         roots.join(e.select(F.col("u").alias("node")).distinct(), "node", "left_anti")
     )
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of equal ``keys`` in rows that come sorted by them, across batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows - 1, bool)
+        for c in cols:
+            new |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[a] for c in cols)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_pairs(rows: DataFrame, key: list[str], ident: str, block: int) -> DataFrame:
+    """Deal each group of ``key`` with two rows or more into pairs of blocks of about ``block`` rows.
+
+    A row comes once for each pair of blocks that its own block is in; columns ``block``
+    (its own), ``low_block`` and ``high_block`` are added, and rows of a pair are next to
+    each other, in one partition.  A task so never holds more than two blocks, however
+    large the group.
+    """
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("_rows")).where("_rows > 1")
+    dealt = rows.join(sizes, key).withColumn("_blocks", F.ceil(F.col("_rows") / block).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(ident), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.withColumn("low_block", F.least("block", "_other")).withColumn("high_block", F.greatest("block", "_other")).drop("_rows", "_blocks", "_other")
+    at = [*key, "low_block", "high_block"]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, *at).sortWithinPartitions(*at)

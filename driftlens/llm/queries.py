@@ -12,6 +12,12 @@ from driftlens.llm.common import table
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlens.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftlens.llm.packing import pack
 
@@ -25,6 +31,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlens.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlens.llm.embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftlens.llm.tokens import token_counts
 
