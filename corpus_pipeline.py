@@ -1,9 +1,76 @@
-"""The corpus pipeline."""
+"""Documents to packed training sequences, stage by stage.
 
+Each stage takes what the one before kept, as a table in the shared folder, and all but the
+last return the columns of ``documents``; where a stage changes a text, n_chars follows.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
 
+import uuid
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftlens.llm.common import shared_folder, table
+from driftlens.llm.lines import dedup_lines
+from driftlens.llm.neardup import near_duplicates
+from driftlens.llm.packing import pack
+from driftlens.llm.queries import WORD_BPE
+from driftlens.llm.substrings import remove_repeats
+from driftlens.llm.toxicity import fit, keep_clean
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return keep_clean(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten documents or more hold go; every document stays, even without a line."""
+    return _counted(dedup_lines(docs, min_docs=10, min_chars=1), docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the least doc_id stays."""
+    gone = near_duplicates(docs, percent=75).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes that repeat 50 bytes or more of a document of a smaller doc_id go."""
+    found = remove_repeats(docs)
+    return _counted(found.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))), docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's pieces with their places in sequences of 2048 tokens."""
+    return pack(docs, public_tokenizers.path(WORD_BPE))
+
+
+def _counted(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return changed.select(*docs.columns)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("suffix_array_dedup", repeated_passages),
+    ("best_fit_packing", packing),
+]
+
+#: SQL has neither the toxicity model nor the tokenizer.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over ``documents``."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
+        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+    return docs

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftlens.llm.common import table
 
+PIECE_BPE = "piece_bpe_32k.model"
 WORD_BPE = "word_bpe_49k.json"
 
 
@@ -18,6 +19,12 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=75)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlens.llm.pieces import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftlens.llm.packing import pack
 
@@ -43,6 +50,12 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlens.llm.html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftlens.llm.tokens import token_counts
 

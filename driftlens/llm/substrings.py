@@ -256,7 +256,8 @@ def _sort_shard(table: pa.Table) -> pa.Table:
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, slice_bytes: int = SLICE) -> DataFrame:
-    """All columns of ``docs`` and n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
+    """All columns of ``docs`` and n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes
+    that stay) and kept_text (those as text; characters that lost a part are left out).
 
     A byte goes if a string of ``least`` bytes covers it that also starts in a document of
     a smaller doc_id.  Empty, null and shorter texts lose nothing.  Rows of the same doc_id
@@ -264,7 +265,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, slice_
     others.  Columns named like the added ones are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")
     names = docs.columns
     at_id, at_text = names.index("doc_id"), names.index("text")
 
@@ -360,9 +361,9 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, slice_
                 spans.append(int(np.count_nonzero(np.diff(cover.astype(np.int8), prepend=0) == 1)) if n else 0)
                 digest.append(hashlib.sha256(stay).hexdigest())
                 kept.append(stay)
-            for name, values, kind in (("n_bytes", size, pa.int64()), ("n_removed", removed, pa.int64()), ("n_spans", spans, pa.int64()), ("kept_sha256", digest, pa.string()), ("kept", kept, pa.binary())):
+            for name, values, kind in (("n_bytes", size, pa.int64()), ("n_removed", removed, pa.int64()), ("n_spans", spans, pa.int64()), ("kept_sha256", digest, pa.string()), ("kept", kept, pa.binary()), ("kept_text", [k.decode("utf-8", "ignore") for k in kept], pa.string())):
                 table = table.append_column(name, pa.array(values, kind))
             yield from table.to_batches()
 
-    schema = docs.schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept", "binary")
+    schema = docs.schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept", "binary").add("kept_text", "string")
     return with_replies().mapInArrow(finish, schema)
