@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        sizes = np.nan_to_num(pa.compute.binary_length(col).to_numpy(zero_copy_only=False).astype(float))
+        sizes = np.nan_to_num(pc.binary_length(col).to_numpy(zero_copy_only=False).astype(float))
         part = (np.cumsum(sizes) // limit).astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
