@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import slices
+from driftlens.llm.common import free_name, slices
 
 FILTER_BITS = 1 << 27
 SEGMENT_BITS = 1 << 20
@@ -143,8 +143,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, bits: i
     the others, together.  Columns named like the added ones are replaced.
     """
     kept = docs.drop("n_lines", "n_dropped", "kept_sha256")
-    drops = repeated(docs, min_docs, min_chars, bits).select(F.col("doc_id").alias("_dl_id"), F.col("drop").alias("_dl_drop"))
-    joined = kept.join(drops, F.col("doc_id").eqNullSafe(F.col("_dl_id")), "left").drop("_dl_id")
+    ident, drop = free_name(kept.columns, "_of"), free_name(kept.columns, "_drop")
+    drops = repeated(docs, min_docs, min_chars, bits).select(F.col("doc_id").alias(ident), F.col("drop").alias(drop))
+    joined = kept.join(drops, F.col("doc_id").eqNullSafe(F.col(ident)), "left").drop(ident)
     at = joined.columns.index("text")
 
     def rewrite(batches):
