@@ -1,10 +1,11 @@
 """MinHash near-dedup on HyperMinHash registers.
 
 Per document: distinct word 5-grams as 64-bit hashes.  The top bits of a hash name one of
-64 buckets; of each bucket's least value a register keeps the number of leading zeros and
-the ten bits after the first one, 16 bits in all.  Registers of empty buckets are lent by
-others in a fixed order (optimal densification), so small sets collide as often as their
-Jaccard similarity says.  Bands of three registers bring documents together.
+256 buckets; of each bucket's least value a register keeps the number of leading zeros and
+the ten bits after the first one, 16 bits in all.  For banding, four buckets are one, 64 in
+all; those that are empty are lent another's in a fixed order (optimal densification), so
+small sets collide as often as their Jaccard similarity says.  Bands of three registers
+bring documents together; all 256 estimate their similarity.
 
 * Documents of equal sets are one *class*, told by a 128-bit digest; a class of any size
   costs one row from there on.
@@ -28,18 +29,21 @@ from pyspark.sql import functions as F
 from driftlens.llm.common import block_pairs, components, cut_lineage, runs, slices
 
 WORDS = 5
-REGISTERS = 64
+REGISTERS = 256
+#: Registers for banding, each made of as many as follow from ``REGISTERS``.
+COARSE = 64
 ROWS = 3
-BANDS = REGISTERS // ROWS
+BANDS = COARSE // ROWS
+EMPTY = 0xFFFF
 MANTISSA = 10
 #: Members that are verified against one copy of a hub's set.
 CHUNK = 256
 BLOCK = 1024
 #: Standard errors by which an estimate may fall short of the threshold.
-SLACK = 5.0
+SLACK = 4.0
 
 _rng = np.random.default_rng(64)
-_LENDERS = np.stack([_rng.permutation(REGISTERS) for _ in range(256)], axis=1)  # [bucket, attempt]
+_LENDERS = np.stack([_rng.permutation(COARSE) for _ in range(256)], axis=1)  # [bucket, attempt]
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -83,17 +87,28 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
-    """HyperMinHash registers of sorted distinct hashes; there must be one at least."""
+    """HyperMinHash registers of sorted distinct hashes, ``EMPTY`` where no hash falls."""
     shift = np.uint64(64 - REGISTERS.bit_length() + 1)
-    edges = np.arange(REGISTERS, dtype=np.uint64) << shift
-    at = np.searchsorted(shingles, edges)
-    full = (at < len(shingles)) & ((shingles[np.minimum(at, len(shingles) - 1)] >> shift) == np.arange(REGISTERS, dtype=np.uint64))
-    value = shingles[np.minimum(at, len(shingles) - 1)] & ((np.uint64(1) << shift) - np.uint64(1))
+    bucket = np.arange(REGISTERS, dtype=np.uint64)
+    at = np.searchsorted(shingles, bucket << shift)
+    least = shingles[np.minimum(at, len(shingles) - 1)]
+    full = (at < len(shingles)) & ((least >> shift) == bucket)
+    value = least & ((np.uint64(1) << shift) - np.uint64(1))
     width = int(shift)
     length = np.frexp(value.astype(np.float64))[1]  # bits up to the first one; rounding up is the same everywhere
     mantissa = np.where(length > MANTISSA, value >> np.maximum(length - 1 - MANTISSA, 0).astype(np.uint64), value << np.maximum(MANTISSA + 1 - length, 0).astype(np.uint64))
     reg = ((width - length).astype(np.uint16) << MANTISSA) | (mantissa.astype(np.uint16) & np.uint16((1 << MANTISSA) - 1))
-    lender = np.arange(REGISTERS)
+    return np.where(full, reg, np.uint16(EMPTY))
+
+
+def band_keys(reg: np.ndarray) -> np.ndarray:
+    """One 64-bit key per band; the band's number is part of it.  One register at least must hold something."""
+    parts = reg.reshape(COARSE, -1)
+    held = parts != EMPTY
+    first = held.argmax(1)  # the least value of joined buckets is that of the first that holds one
+    coarse = (first.astype(np.uint64) << np.uint64(16)) | parts[np.arange(COARSE), first]
+    full = held.any(1)
+    lender = np.arange(COARSE)
     empty = ~full
     for attempt in range(_LENDERS.shape[1]):
         if not empty.any():
@@ -102,35 +117,35 @@ def registers(shingles: np.ndarray) -> np.ndarray:
         lender[empty] = np.where(full[ask], ask, lender[empty])
         empty = ~full[lender]
     lender[empty] = np.flatnonzero(full)[0]
-    return reg[lender]
-
-
-def band_keys(reg: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band; the band's number is part of it."""
-    rows = reg[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+    rows = coarse[lender][: BANDS * ROWS].reshape(BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
-        key = (key << np.uint64(16)) | rows[:, k]
-    return _mix(key).view(np.int64)
+        key = _mix((key << np.uint64(20)) ^ rows[:, k])
+    return key.view(np.int64)
 
 
-def estimate(equal: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from the number of equal registers, corrected for chance collisions.
+def estimate(regs: np.ndarray, other: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(Jaccard similarity of each row of ``regs`` with ``other``, standard error at a similarity of 0.75).
 
-    Two unrelated registers are equal if their leading zeros and mantissas are; leading
-    zeros of least values over a and b hashes a bucket agree with a probability of about
-    min(a, b) / max(a, b) / 2, the mantissa with 2 ** -10.
+    Buckets that hold something in either set are a sample, without replacement, of the
+    union; the share of equal registers among them is corrected for chance collisions: two
+    unrelated least values agree in leading zeros with a probability of about
+    min / max of the sizes, halved, and in the mantissa with 2 ** -10.
     """
-    ratio = np.minimum(size_a, size_b) / np.maximum(np.maximum(size_a, size_b), 1)
-    chance = ratio / 2 / (1 << MANTISSA)
-    return np.clip((equal / REGISTERS - chance) / (1 - chance), 0, 1)
+    either = ((regs != EMPTY) | (other != EMPTY)).sum(1)
+    equal = ((regs == other) & (regs != EMPTY)).sum(1)
+    chance = np.minimum(sizes, size) / np.maximum(np.maximum(sizes, size), 1) / 2 / (1 << MANTISSA)
+    share = np.clip((equal / np.maximum(either, 1) - chance) / (1 - chance), 0, 1)
+    union = np.maximum((sizes + size) / 1.75, 1)
+    left = np.clip(1 - either / union, 0.02, 1)  # how much of the union is not in the sample
+    return share, np.sqrt(0.1875 / np.maximum(either, 1) * left)
 
 
-def plausible(equal: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> np.ndarray:
+def plausible(regs: np.ndarray, other: np.ndarray, sizes: np.ndarray, size: int, threshold: float) -> np.ndarray:
     """Whether the sizes and the estimate leave it open that the similarity reaches ``threshold``."""
-    small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    error = SLACK * np.sqrt(threshold * (1 - threshold) / np.minimum(REGISTERS, np.maximum(small, 1)))
-    return (small >= threshold * large) & (estimate(equal, size_a, size_b) >= threshold - error)
+    small, large = np.minimum(sizes, size), np.maximum(sizes, size)
+    share, error = estimate(regs, other, sizes, size)
+    return (small >= threshold * large - 1e-9) & (share >= threshold - SLACK * error - 0.01)
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -242,8 +257,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
             out_a, out_b = [], []
             for i in left.tolist():
                 other = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) | (low != high))]
-                equal = (regs[other] == regs[i]).sum(1)
-                other = other[plausible(equal, np.full(len(other), n[i]), n[other], threshold)]
+                # sizes first: they rule out most, and registers are compared for the rest
+                other = other[np.minimum(n[other], n[i]) >= threshold * np.maximum(n[other], n[i]) - 1e-9]
+                other = other[plausible(regs[other], regs[i], n[other], n[i], threshold)]
                 out_a.append(np.minimum(rep[other], rep[i]))
                 out_b.append(np.maximum(rep[other], rep[i]))
             yield pa.record_batch([pa.array(np.concatenate(out_a or [rep[:0]])), pa.array(np.concatenate(out_b or [rep[:0]]))], ["a", "b"])

@@ -92,9 +92,23 @@ def test_estimate_is_close():
     for share in (0.3, 0.6, 0.9):
         n = int(4000 * share)
         b = np.concatenate([a[:n], rng.integers(0, 2**64, 4000 - n, dtype=np.uint64)])
-        equal = (registers(np.unique(a)) == registers(np.unique(b))).sum()
-        errors.append(abs(estimate(equal, np.array(4000), np.array(4000)) - n / (8000 - n)))
-    assert max(errors) < 0.25
+        got, _ = estimate(registers(np.unique(a))[None], registers(np.unique(b)), np.array([4000]), 4000)
+        errors.append(abs(got[0] - n / (8000 - n)))
+    assert max(errors) < 0.12
+
+
+def test_plausible_pairs_hold_all_links():
+    from driftlens.llm.neardup import plausible, registers
+
+    rng = np.random.default_rng(10)
+    for size in (1, 3, 8, 30, 150, 900):
+        missed = 0
+        for _ in range(200):
+            a = rng.integers(0, 2**64, size, dtype=np.uint64)
+            b = np.concatenate([a[: -(size // 8) or None], rng.integers(0, 2**64, size // 8, dtype=np.uint64)])
+            a, b = np.unique(a), np.unique(b)
+            missed += not plausible(registers(a)[None], registers(b), np.array([len(a)]), len(b), 0.75)[0]
+        assert missed <= 1
 
 
 def covered(docs, least=50):
