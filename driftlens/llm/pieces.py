@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from driftlens.llm.common import slices
 
 SPACE = "▁"
-MEMO = 600_000
+MEMO = 400_000
 _coders: dict[tuple[str, str], "PieceCoder"] = {}
 
 
@@ -78,7 +78,7 @@ class PieceCoder:
         """Whether merging ``left`` and ``right`` (-1: nothing) together gives just these two."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 4 * self.limit:
+            if len(self.pairs) > self.limit:
                 self.pairs.clear()
             want = [self.text_of[right]] if left < 0 else [self.text_of[left], self.text_of[right]]
             known = self.pairs[left, right] = self.merged("".join(want)) == want

@@ -34,7 +34,7 @@ from driftlens.llm.common import cut_lineage, slices
 
 LEAST = 50
 GRAM = 24
-SLICE = 6_000_000
+SLICE = 3_000_000
 #: Anchors that a shard sorts at once, about.
 SHARD = 1_000_000
 
@@ -72,11 +72,16 @@ class Slice:
             return
         power = np.full(len(raw), _BASE, np.uint64)
         power[0] = 1
-        power = np.multiply.accumulate(power)
+        np.multiply.accumulate(power, out=power)
         total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[raw] * power, dtype=np.uint64)])
-        power = np.full(n, _INVERSE, np.uint64)
+        grams = total[gram:] - total[:n]
+        del total
+        power[:] = _INVERSE
         power[0] = 1
-        self.grams = _mix((total[gram:] - total[:n]) * np.multiply.accumulate(power))
+        grams *= np.multiply.accumulate(power[:n], out=power[:n])
+        del power
+        self.grams = _mix(grams)
+        del grams
         # leftmost smallest identifier of each window: identifier above, place below
         wide = least - gram + 1
         mask = np.uint64((1 << _PLACE) - 1)
@@ -86,9 +91,10 @@ class Slice:
             step = min(span, wide - span)
             best = np.minimum(best[:-step], best[step:])
             span += step
-        at = (best & mask).astype(np.int64)
-        start = np.arange(len(at))
-        doc = np.repeat(np.arange(len(texts)), np.diff(self.bounds))[: len(at)]
+        at = (best & mask).astype(np.int32)
+        del best
+        start = np.arange(len(at), dtype=np.int32)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.bounds))[: len(at)]
         own = start + least <= self.bounds[doc + 1]
         new = np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
         first = np.flatnonzero(new & own)
@@ -96,7 +102,7 @@ class Slice:
         nxt = np.concatenate([np.flatnonzero(new), [len(at)]])
         last = nxt[np.searchsorted(nxt, first, "right")] - 1
         last = np.minimum(last, self.bounds[doc[first] + 1] - least)
-        self.low, self.high, self.doc, self.gram = first, last, doc[first], self.grams[at[first]]
+        self.low, self.high, self.doc, self.gram = first, last, doc[first].astype(np.int64), self.grams[at[first]]
 
     def strings(self, at: np.ndarray) -> np.ndarray:
         """Identifiers of the ``least``-byte strings that start at ``at``, refined from the q-grams'."""
@@ -125,6 +131,18 @@ def _unfive(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _narrow(ids: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest takes; in eight where one is negative."""
+    width = 8 if ids.min(initial=0) < 0 else max(1, -(-int(ids.max(initial=0)).bit_length() // 8))
+    return np.ascontiguousarray(ids.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
+    return out.view("<i8").ravel()
+
+
 def _sharded(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, which of ``keys``, sorted and distinct, it has)."""
     shard = ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
@@ -139,11 +157,11 @@ class Work:
     """A slice on its way through the rounds; every step follows from its texts and the bits that came back."""
 
     def __init__(self, ids: np.ndarray, texts: list[bytes], shards: int, least: int, gram: int):
-        self.ids, self.shards = ids, shards
+        self.shards = shards
         self.part = Slice(texts, least, gram)
         self.key, self.of = np.unique(self.part.gram, return_inverse=True)
         # gram identifiers that two documents of this very slice hold
-        own = ids[self.part.doc]
+        own = ids[self.part.doc].astype(np.int64)
         self.own = own
         self.local = self._differ(self.of, own, len(self.key))
 
@@ -179,11 +197,11 @@ class Work:
     def second(self):
         """Round 2: does a smaller document hold the context?  Does the bucket have other contexts?"""
         for s, which in _sharded(self.context, self.shards):
-            yield 2, s, self.context[which].tobytes(), self.short[which].tobytes(), self.least_doc[which].tobytes()
+            yield 2, s, self.context[which].tobytes(), self.short[which].tobytes(), _narrow(self.least_doc[which])
         one = np.zeros(len(self.again), np.uint64)
         one[self.gram_of] = self.context[self.kind]
         for s, which in _sharded(self.again, self.shards):
-            yield 3, s, self.again[which].tobytes(), np.packbits(self.split[which]).tobytes(), one[which].tobytes()
+            yield 3, s, _five(self.again[which]), np.packbits(self.split[which]).tobytes(), _five(one[which])
 
     def take_second(self, smaller, split):
         smaller = self._bits(len(self.context), self.context, smaller)
@@ -203,7 +221,7 @@ class Work:
     def third(self):
         """Round 3: does a smaller document hold the string?"""
         for s, which in _sharded(self.string, self.shards):
-            yield 4, s, self.string[which].tobytes(), self.string_short[which].tobytes(), self.string_doc[which].tobytes()
+            yield 4, s, self.string[which].tobytes(), self.string_short[which].tobytes(), _narrow(self.string_doc[which])
 
     def covered(self, smaller) -> np.ndarray:
         """Which bytes of the slice go."""
@@ -222,7 +240,7 @@ def _sort_shard(table: pa.Table) -> pa.Table:
     """The bits that answer each slice's entries of one shard and round."""
     kind = table.column("kind")[0].as_py()
     rows = table.select(["slice", "key", "more", "doc"]).to_pylist()
-    if kind == 1:
+    if kind in (1, 3):
         keys = [_unfive(r["key"]) for r in rows]
     else:
         keys = [np.frombuffer(r["key"], np.uint64) for r in rows]
@@ -233,7 +251,7 @@ def _sort_shard(table: pa.Table) -> pa.Table:
         bit = n[of] > 1
     elif kind == 3:
         _, of = np.unique(key, return_inverse=True)
-        one = np.concatenate([np.frombuffer(r["doc"], np.uint64) for r in rows]).view(np.int64)
+        one = np.concatenate([_unfive(r["doc"]) for r in rows]).view(np.int64)
         split = np.concatenate([np.unpackbits(np.frombuffer(r["more"], np.uint8), count=n).astype(bool) for r, n in zip(rows, sizes, strict=True)])
         m = int(of.max()) + 1
         many = Work._differ(of, one, m)
@@ -241,7 +259,7 @@ def _sort_shard(table: pa.Table) -> pa.Table:
         bit = many[of]
     else:
         more = np.concatenate([np.frombuffer(r["more"], np.uint16) for r in rows])
-        doc = np.concatenate([np.frombuffer(r["doc"], np.int64) for r in rows])
+        doc = np.concatenate([_wide(r["doc"], n) for r, n in zip(rows, sizes, strict=True)])
         order = np.lexsort((doc, more, key))
         k, x, d = key[order], more[order], doc[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (x[1:] != x[:-1])])
@@ -293,7 +311,13 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, slice_
 
     packed = docs.mapInArrow(blobs, "slice long, size long, blob binary")
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = cut_lineage(packed.repartition(parts, "slice").sortWithinPartitions("slice"))
+    # a plan that is fixed beforehand tells how its rows are dealt, so that no round deals the slices again
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        packed = cut_lineage(packed.repartition(parts, "slice").sortWithinPartitions("slice"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     total = packed.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-int(total) * 2 // ((least - gram + 2) * SHARD)))
 
