@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once.
 SLICE_BYTES = 6_000_000
+#: Bits of the bitmap that ``sieve`` sends to all tasks.
+SIEVE_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,12 +56,41 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(a, b - a)
 
 
+def sieve(rows: DataFrame, column: str, ids: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:
+    """The rows of ``rows`` whose ``column`` is among ``ids`` (one column of longs), and a few others.
+
+    A bitmap of the ids' hashes goes to all tasks, so that a join after it shuffles little
+    more than it needs.  It is ``bits`` / 8 bytes (8 MB) at most, whatever the input; with
+    more ids than it can tell apart more rows pass, and the join decides.  ``ids`` is read
+    here and by that join, so it should be cheap to read.
+    """
+    place = F.pmod(F.xxhash64(F.col(ids.columns[0]).cast("long")), F.lit(bits)) + 1
+    spots = ids.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    found = spots.repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect()
+    packed = np.zeros(bits // 8, np.uint8)
+    for bucket, bitmap in found:
+        packed[(bucket - 1) * len(bitmap) : bucket * len(bitmap)] = np.frombuffer(bytes(bitmap), np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(packed.tobytes())
+    spot = free_name(rows.columns, "_spot")
+
+    def keep(batches):
+        held = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            kept = batch.filter(pa.array((held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            if kept.num_rows:
+                yield kept.select(range(batch.num_columns - 1))
+
+    return rows.withColumn(spot, F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))).mapInArrow(keep, rows.schema)
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges``; returns (node, component), component the least node.
 
     Large-star and small-star steps in turn, each an aggregate with map-side combine and
     an equi-join, until no edge changes.  Nodes without an edge aren't returned.  Each
-    round is cut off by a checkpoint, so a lost executor costs one round at most.
+    round is cut off by a checkpoint, so a lost executor costs one round at most.  Rounds
+    grow with the logarithm of the component's size; if ``max_rounds`` are too few, it raises.
     """
     e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
     e = cut_lineage(e)
@@ -78,6 +109,8 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
         if now == sign:
             break
         sign = now
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     pairs = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return pairs.groupBy("node").agg(F.min("component").alias("component")).unionByName(

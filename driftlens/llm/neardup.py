@@ -9,8 +9,8 @@ bring documents together; all 256 estimate their similarity.
 
 * Documents of equal sets are one *class*, told by a 128-bit digest; a class of any size
   costs one row from there on.
-* Round 1 links each member of a band bucket to the bucket's least class: as many pairs as
-  members, whatever the bucket's size.
+* Round 1 pairs each member of a band bucket with the bucket's least class: as many pairs
+  as members, whatever the bucket's size.
 * Round 2 takes up the buckets whose members aren't yet in one component, in blocks, and
   tests the pairs across components.  Pairs within a component can't change the result.
 * The collision-corrected estimate and the sizes rule pairs out; what is left is confirmed
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import block_pairs, components, cut_lineage, runs, slices
+from driftlens.llm.common import block_pairs, components, cut_lineage, runs, sieve, slices
 
 WORDS = 5
 REGISTERS = 256
@@ -186,35 +186,64 @@ def _banded(classes: DataFrame, extra: list[str]) -> DataFrame:
     return classes.mapInArrow(run, f"band long, {fields}")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
-    """The rows of ``pairs`` (a, b), a the hub, with 100 * intersection >= percent * union on full sets."""
+def _by_hub(pairs: DataFrame, payload: DataFrame) -> DataFrame:
+    """(a, chunk, role, need, payload's second column and on) for every row of ``pairs`` (a, b).
+
+    A hub a comes first (role 0), then up to about ``CHUNK`` of its members b (role 1), in
+    one partition; a hub with more members comes once for each chunk.  ``payload`` is told
+    by its column ``need``.
+    """
     degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
     chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / CHUNK)).alias("chunk")
-    dealt = cut_lineage(pairs.join(degree, "a").select("a", "b", chunk))  # read twice below
+    dealt = cut_lineage(pairs.join(degree, "a").select("a", "b", chunk))  # read several times below
     wanted = dealt.select("a", "chunk", F.lit(1).alias("role"), F.col("b").alias("need")).unionByName(
         dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("need"))
     )
-    texts = _input(docs).where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "need")
-    rows = wanted.join(texts, "need").select("a", "chunk", "role", "need", "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "a", "chunk").sortWithinPartitions("a", "chunk", "role")
+    ids = dealt.select("b").unionByName(dealt.select(F.col("a").alias("b")).distinct())
+    rows = wanted.join(sieve(payload, "need", ids), "need").select("a", "chunk", "role", "need", *payload.columns[1:])
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "a", "chunk").sortWithinPartitions("a", "chunk", "role")
+
+
+def _linked(pairs: DataFrame, payload: DataFrame, load, holds, limit_by: str) -> DataFrame:
+    """The rows of ``pairs`` for which ``holds(hub's load, member's load)``; ``load`` makes a batch's loads."""
 
     def run(batches):
         hub, own = None, None
-        for part in slices(batches, "text"):
-            sets = shingle_sets(part.column(4), words)
+        for part in slices(batches, limit_by):
             out_a, out_b = [], []
-            for a, chunk, role, need, s in zip(*(part.column(i).to_pylist() for i in range(4)), sets, strict=True):
+            for a, chunk, role, need, it in zip(*(part.column(i).to_pylist() for i in range(4)), load(part), strict=True):
                 if role == 0:
-                    hub, own = (a, chunk), s
-                elif hub == (a, chunk):
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    if 100 * both >= percent * (len(own) + len(s) - both):
-                        out_a.append(a)
-                        out_b.append(need)
+                    hub, own = (a, chunk), it
+                elif hub == (a, chunk) and holds(own, it):
+                    out_a.append(a)
+                    out_b.append(need)
             yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return _by_hub(pairs, payload).mapInArrow(run, "a long, b long")
+
+
+def left_open(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b), a the hub, whose sizes and estimate leave it open that they link."""
+
+    def load(part):
+        return [(n, np.frombuffer(r, np.uint16)[None]) for n, r in zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)]
+
+    def holds(hub, member):
+        return bool(plausible(member[1], hub[1], np.array([member[0]]), hub[0], threshold)[0])
+
+    return _linked(pairs, classes.select(F.col("rep").alias("need"), "n", "regs"), load, holds, "regs")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
+    """The rows of ``pairs`` (a, b), a the hub, with 100 * intersection >= percent * union on full sets."""
+
+    def holds(own, s):
+        both = len(np.intersect1d(own, s, assume_unique=True))
+        return 100 * both >= percent * (len(own) + len(s) - both)
+
+    texts = _input(docs).where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "need")
+    return _linked(pairs, texts, lambda part: shingle_sets(part.column(4), words), holds, "text")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
@@ -235,8 +264,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
     # round 1: each member of a bucket with the bucket's least class
     banded = _banded(classes, [])
     roots = banded.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1").select("band", "a")
-    pairs = banded.join(roots, "band").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links = cut_lineage(verify(cut_lineage(pairs), docs, percent, words))
+    pairs = cut_lineage(banded.join(roots, "band").where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    pairs = cut_lineage(left_open(pairs, classes, threshold))
+    links = cut_lineage(verify(pairs, docs, percent, words))
     joined = components(links)
 
     # round 2: buckets that hold several components
@@ -244,7 +274,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
     labelled = cut_lineage(labelled)
     keyed = _banded(labelled, ["comp"])
     mixed = keyed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
-    members = keyed.join(mixed, "band", "left_semi").join(labelled.select("rep", "n", "regs"), "rep")
+    members = cut_lineage(keyed.join(mixed, "band", "left_semi"))
+    members = members.join(sieve(labelled.select("rep", "n", "regs"), "rep", members.select("rep")), "rep")
     tested = links.select("a", "b")
 
     def across(batches):
