@@ -11,14 +11,18 @@ bring documents together; all 256 estimate their similarity.
   costs one row from there on.
 * Round 1 pairs each member of a band bucket with the bucket's least class: as many pairs
   as members, whatever the bucket's size.
-* Round 2 takes up the buckets whose members aren't yet in one component, in blocks, and
-  tests the pairs across components.  Pairs within a component can't change the result.
+* Round 2 takes up the buckets whose members aren't yet in one component, in pairs of
+  blocks, and tests the pairs across components.  Pairs within a component can't change the
+  result.
 * The collision-corrected estimate and the sizes rule pairs out; what is left is confirmed
-  on the full sets, hub by hub in chunks, with one hub set in memory at a time.
+  on the full sets: in round 1 hub by hub in chunks, with one hub's set in memory at a time,
+  in round 2 within the blocks, which send on a spanning forest of their links.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,7 +42,8 @@ EMPTY = 0xFFFF
 MANTISSA = 10
 #: Members that are verified against one copy of a hub's set.
 CHUNK = 256
-BLOCK = 1024
+#: Classes of a bucket that are compared with as many others at once.
+BLOCK = 512
 #: Standard errors by which an estimate may fall short of the threshold.
 SLACK = 3.5
 
@@ -246,6 +251,73 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int, words: int = WORDS)
     return _linked(pairs, texts, lambda part: shingle_sets(part.column(4), words), holds, "text")
 
 
+def _open_pairs(table: pa.Table, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows of other components that it may link with) of a pair of blocks; a pair comes in the first band that it shares."""
+    rep, comp, n, block = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "block"))
+    regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    band, low, high = (table.column(c)[0].as_py() for c in ("band", "low_block", "high_block"))
+    left = np.flatnonzero(block == low)
+    right = left if low == high else np.flatnonzero(block == high)
+    keys: dict[int, np.ndarray] = {}
+
+    def of(row: int) -> np.ndarray:
+        if row not in keys:
+            keys[row] = band_keys(regs[row])
+        return keys[row]
+
+    for i in left.tolist():
+        other = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) | (low != high))]
+        # sizes first: they rule out most, and registers are compared for the rest
+        other = other[np.minimum(n[other], n[i]) >= threshold * np.maximum(n[other], n[i]) - 1e-9]
+        other = other[plausible(regs[other], regs[i], n[other], n[i], threshold)]
+        if len(other):
+            same = np.stack([of(o) for o in other.tolist()]) == of(i)
+            other = other[of(i)[same.argmax(1)] == band]
+            if len(other):
+                yield i, other
+
+
+def across(dealt: DataFrame, sketch: DataFrame, docs: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
+    """Links (a, b) that join what pairs of blocks hold of different components; a spanning forest of each.
+
+    First those members are found that have a pair left open; only their texts follow them
+    into the blocks, where the open pairs are confirmed on full sets.  Pairs never leave a
+    block, so what comes out is as large as the blocks.
+    """
+    at = ["band", "low_block", "high_block"]
+
+    def touched(batches):
+        for table in runs(batches, at):
+            hit = np.zeros(table.num_rows, bool)
+            for i, other in _open_pairs(table, percent / 100):
+                hit[i] = True
+                hit[other] = True
+            yield from table.select([*at, "block", "comp", "rep"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+    def confirmed(batches):
+        for table in runs(batches, at):
+            rep, comp = (table.column(c).to_numpy() for c in ("rep", "comp"))
+            sets = [s for part in slices(table.to_batches(), "text") for s in shingle_sets(part.column(part.schema.get_field_index("text")), words)]
+            _, label = np.unique(comp, return_inverse=True)
+            out_a, out_b = [], []
+            for i, other in _open_pairs(table, percent / 100):
+                for o in other.tolist():
+                    if label[o] == label[i]:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[o], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[o]) - both):
+                        label[label == label[o]] = label[i]
+                        out_a.append(min(rep[i], rep[o]))
+                        out_b.append(max(rep[i], rep[o]))
+            yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cut_lineage(dealt.mapInArrow(touched, "band long, low_block int, high_block int, block int, comp long, rep long").distinct())
+    texts = _input(docs).where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "rep")
+    full = found.join(sieve(sketch, "rep", found.select("rep")), "rep").join(sieve(texts, "rep", found.select("rep")), "rep")
+    return full.repartition(parts, *at).sortWithinPartitions(*at).mapInArrow(confirmed, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
@@ -275,34 +347,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
     keyed = _banded(labelled, ["comp"])
     mixed = keyed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
     members = cut_lineage(keyed.join(mixed, "band", "left_semi"))
-    members = members.join(sieve(labelled.select("rep", "n", "regs"), "rep", members.select("rep")), "rep")
-    tested = links.select("a", "b")
-
-    def across(batches):
-        for table in runs(batches, ["band", "low_block", "high_block"]):
-            rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "comp", "n"))
-            regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            block = table.column("block").to_numpy()
-            low, high = table.column("low_block")[0].as_py(), table.column("high_block")[0].as_py()
-            left = np.flatnonzero(block == low)
-            right = left if low == high else np.flatnonzero(block == high)
-            out_a, out_b = [], []
-            for i in left.tolist():
-                other = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) | (low != high))]
-                # sizes first: they rule out most, and registers are compared for the rest
-                other = other[np.minimum(n[other], n[i]) >= threshold * np.maximum(n[other], n[i]) - 1e-9]
-                other = other[plausible(regs[other], regs[i], n[other], n[i], threshold)]
-                out_a.append(np.minimum(rep[other], rep[i]))
-                out_b.append(np.maximum(rep[other], rep[i]))
-            yield pa.record_batch([pa.array(np.concatenate(out_a or [rep[:0]])), pa.array(np.concatenate(out_b or [rep[:0]]))], ["a", "b"])
-
-    dealt = block_pairs(members, ["band"], "rep", BLOCK)
-    more = dealt.mapInArrow(across, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-    more = cut_lineage(verify(cut_lineage(more), docs, percent, words))
-    if more.isEmpty():
-        final = joined
-    else:
-        final = components(links.unionByName(more))
+    sketch = labelled.select("rep", "n", "regs")
+    members = members.join(sieve(sketch, "rep", members.select("rep")), "rep")
+    more = cut_lineage(across(block_pairs(members, ["band"], "rep", BLOCK), sketch, docs, percent, words))
+    final = joined if more.isEmpty() else components(links.unionByName(more))
 
     per_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("of_class"))
     out = sketched.join(per_class, ["set_a", "set_b"], "left")
