@@ -66,13 +66,21 @@ def mask_progress(c: Column) -> Column:
         dots = F.length(w) - F.length(F.replace(w, F.lit("."), F.lit("")))
         return w.rlike(r"\A[.FEsSxX*URIfe]{4,}\z") & (dots >= 3) & (2 * dots >= F.length(w))
 
-    first = F.array_position(F.transform(words, is_run), True)
-    masked = F.transform(
-        words,
-        lambda w, i: F.when(is_run(w), F.when(w.rlike("[FE]"), "<PROGRESS!>").otherwise("<PROGRESS>"))
-        .when((i >= first) & w.rlike(r"\A(?=.*[0-9])[0-9%/\[\]()]+\z"), F.regexp_replace(w, "[0-9]+", "<NUM>")).otherwise(w),
-    )
-    return F.when((F.length(c) - F.length(F.replace(c, F.lit("."), F.lit("")))) < 3, c).otherwise(F.when(first > 0, F.array_join(masked, "")).otherwise(c))
+    def marked(words, first):
+        return F.transform(
+            words,
+            lambda w, i: F.when(is_run(w), F.when(w.rlike("[FE]"), "<PROGRESS!>").otherwise("<PROGRESS>"))
+            .when((i >= first) & w.rlike(r"\A(?=.*[0-9])[0-9%/\[\]()]+\z"), F.regexp_replace(w, "[0-9]+", "<NUM>")).otherwise(w),
+        )
+
+    # bound once a line: within a lambda they would be found again for every word
+    masked = _bound(words, lambda ws: _bound(F.array_position(F.transform(ws, is_run), True), lambda first: F.when(first > 0, F.array_join(marked(ws, first), ""))))
+    return F.when((F.length(c) - F.length(F.replace(c, F.lit("."), F.lit("")))) < 3, c).otherwise(F.coalesce(masked, c))
+
+
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def mask_body(c: Column) -> Column:
