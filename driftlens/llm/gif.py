@@ -10,14 +10,16 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from driftlens.llm.common import slices
+from driftlens.llm.common import SLICE_BYTES, slices
 
 WIDTH = 192
 #: Rows of a frame; longer payloads take more frames.
@@ -32,12 +34,19 @@ CLEAR8, END8, FULL = 256, 257, 4096
 
 @dataclass
 class Frame:
-    """One rendered frame: RGBA pixels of the whole screen, its time, and the drawn rectangle's indexes."""
+    """One rendered frame: RGBA pixels of the whole screen, its time, the drawn rectangle's indexes and place (x, y)."""
 
     pixels: np.ndarray
     start_ms: int
     duration_ms: int
     indexes: np.ndarray
+    place: tuple[int, int] = (0, 0)
+
+    @property
+    def drawn(self) -> np.ndarray:
+        """Rendered pixels of the drawn rectangle."""
+        (x, y), (h, w) = self.place, self.indexes.shape
+        return self.pixels[y : y + h, x : x + w]
 
 
 def _widths(first: int, least: int, count: int) -> np.ndarray:
@@ -164,15 +173,30 @@ def encode(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay: int = DE
 
 def decode(gif: bytes, render: bool = True) -> list[Frame]:
     """The frames of a GIF; ``render=False`` leaves the pixels out and keeps indexes and times."""
+    return list(played(gif, render))
+
+
+def _colours(rgb: np.ndarray) -> np.ndarray:
+    """RGBA of a palette as one number an index; indexes past its end are black."""
+    full = np.zeros((256, 4), np.uint8)
+    full[:, 3] = 255
+    full[: len(rgb), :3] = rgb
+    return full.view(np.uint32).ravel()
+
+
+def played(gif: bytes, render: bool = True) -> Iterator[Frame]:
+    """The frames of a GIF one by one."""
     if gif[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     wide, high, flags, _, _ = struct.unpack_from("<HHBBB", gif, 6)
+    if render and 4 * wide * high >= 1 << 31:
+        raise ValueError("a screen too large for a binary value")
     at, shared = 13, None
     if flags & 0x80:
         n = 3 << (flags & 7) + 1
         shared, at = np.frombuffer(gif, np.uint8, n, at).reshape(-1, 3), at + n
-    screen = np.zeros((high, wide, 4), np.uint8) if render else None
-    frames, clock, delay, dispose, clear_index = [], 0, 0, 0, None
+    screen = np.zeros((high, wide), np.uint32) if render else None
+    clock, delay, dispose, clear_index = 0, 0, 0, None
 
     def gather(at: int) -> tuple[bytes, int]:
         parts = []
@@ -206,26 +230,83 @@ def decode(gif: bytes, render: bool = True) -> list[Frame]:
             index = plain
         shown = None
         if render:
+            if palette is None:
+                raise ValueError("a frame without a palette")
             before = screen.copy() if dispose == 3 else None
             area = screen[y : y + h, x : x + w]
-            drawn = np.dstack([palette[index], np.full((h, w), 255, np.uint8)])
-            seen = np.ones((h, w), bool) if clear_index is None else index != clear_index
-            area[seen] = drawn[: area.shape[0], : area.shape[1]][seen]
-            shown = screen.copy()
+            inside = index[: area.shape[0], : area.shape[1]]
+            if clear_index is None:
+                area[:] = _colours(palette).take(inside)
+            else:
+                area[:] = np.where(inside == clear_index, area, _colours(palette).take(inside))
+            shown = screen.copy().view(np.uint8).reshape(high, wide, 4)
             if dispose == 2:
                 area[:] = 0
             elif dispose == 3:
                 screen = before
-        frames.append(Frame(shown, clock, 10 * delay, index))
+        yield Frame(shown, clock, 10 * delay, index, (x, y))
         clock += 10 * delay
         delay, dispose, clear_index = 0, 0, None
-    return frames
 
 
-def colour_histogram(frames: list[Frame], bins: int = BINS) -> np.ndarray:
-    """Share of the drawn samples in each of ``bins`` equal ranges of palette indexes, over all frames."""
-    counts = sum((np.bincount(f.indexes.ravel() >> 3, minlength=32).reshape(bins, -1).sum(1) for f in frames), np.zeros(bins, np.int64))
-    return counts / max(1, counts.sum())
+def colour_histogram(pixels: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """Opaque RGBA pixels in each of ``bins`` equal ranges of red, then of green, then of blue."""
+    seen = pixels.reshape(-1, 4)
+    if (seen[:, 3] != 255).any():
+        seen = seen[seen[:, 3] == 255]
+    return np.concatenate([np.bincount(seen[:, k], minlength=256).reshape(bins, -1).sum(1) for k in range(3)])
+
+
+FRAME_FIELDS = [("frame", "int"), ("start_ms", "long"), ("duration_ms", "long"), ("width", "int"), ("height", "int"), ("pixels", "binary"), ("histogram", "array<long>"), ("error", "string")]
+
+
+def gif_frames(rows: DataFrame, column: str) -> DataFrame:
+    """A row a frame of the GIFs in a binary column, beside the other columns of ``rows``.
+
+    ``pixels`` are the rendered samples, RGBA by rows of the whole screen; ``histogram`` is
+    that of ``colour_histogram``.  A value that is no GIF, a null among them, is one row with
+    ``error``; so is what follows the frames read of a damaged one.  One pass without a shuffle.
+    """
+    rest = [f for f in rows.schema.fields if f.name != column]
+    if clash := {f.name for f in rest} & {n for n, _ in FRAME_FIELDS}:
+        raise ValueError(f"columns with the names of frames' fields: {sorted(clash)}")
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()]
+
+    def of(gif):
+        n = 0
+        try:
+            for f in played(b"" if gif is None else gif):
+                h, w = f.pixels.shape[:2]
+                yield n, f.start_ms, f.duration_ms, w, h, f.pixels.tobytes(), colour_histogram(f.pixels).tolist(), None
+                n += 1
+        except (ValueError, IndexError, KeyError, struct.error) as e:
+            yield n, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
+        else:
+            if not n:
+                yield 0, None, None, None, None, None, None, "no frames"
+
+    def run(batches):
+        for part in slices(batches, column):
+            others = part.select([f.name for f in rest])
+
+            def batch(held, others=others):
+                at = pa.array([i for i, _ in held], pa.int64())
+                made = [pa.array(v, kind) for v, kind in zip(zip(*[r for _, r in held], strict=True), kinds, strict=True)]
+                return pa.RecordBatch.from_arrays([*[c.take(at) for c in others.columns], *made], [*others.schema.names, *[n for n, _ in FRAME_FIELDS]])
+
+            held, size = [], 0
+            for i, gif in enumerate(part.column(part.schema.get_field_index(column))):
+                for row in of(gif.as_py()):
+                    held.append((i, row))
+                    size += len(row[5] or b"")
+                    if size > SLICE_BYTES:
+                        yield batch(held)
+                        held, size = [], 0
+            if held:
+                yield batch(held)
+
+    out = StructType(rest + StructType.fromDDL(", ".join(f"{n} {kind}" for n, kind in FRAME_FIELDS)).fields)
+    return rows.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{column}`")).mapInArrow(run, out)
 
 
 def padded(text: bytes, unit: int = WIDTH) -> bytes:
@@ -234,7 +315,7 @@ def padded(text: bytes, unit: int = WIDTH) -> bytes:
 
 
 def media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
-    """Each document's text as a GIF, read back, with features of the stored frames.
+    """Each document's text as a GIF, read back, with features of the rendered frames.
 
     One pass without a shuffle.  A null text is an empty one, which is one row of spaces;
     repeated rows come out repeated; a null doc_id stays null; an empty table gives no rows.
@@ -247,9 +328,10 @@ def media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 text = text or b""
                 gif = encode(padded(text))
-                frames = decode(gif, render=False)
-                back = b"".join(f.indexes.tobytes() for f in frames)
-                share = colour_histogram(frames)
+                frames = decode(gif)
+                back = b"".join(f.drawn[:, :, 0].tobytes() for f in frames)  # grey: red is the sample
+                counts = sum(colour_histogram(f.drawn) for f in frames).reshape(3, BINS).sum(0)
+                share = counts / counts.sum()
                 feature = f"frames={len(frames)};ms={sum(f.duration_ms for f in frames)};hist=" + ",".join(f"{v:.6f}" for v in share)
                 rows.append((doc_id, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(gif), hashlib.sha256(gif).hexdigest(), feature, *([gif] if keep_media else [])))
             yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r, strict=True)) for r in rows], shape)
