@@ -234,8 +234,8 @@ def gone_values(spark, sf_dir):
 _NEW_SQL = "n AS (SELECT event_id + 1 AS line_no, event_id // 40 * 2 + event_id % 2 AS cid FROM events WHERE event_id % 20 IN (0, 1, 3) OR user_id % 10 = 0), g AS (SELECT *, line_no - lag(line_no) OVER (ORDER BY line_no) AS gap FROM n), r AS (SELECT line_no, cid, max(CASE WHEN gap IS NULL OR gap > 3 THEN line_no END) OVER (ORDER BY line_no) AS run FROM g)"
 
 
-def _new_lines(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").where("event_id % 20 IN (0, 1, 3) OR user_id % 10 = 0")
+def _new_lines(spark, sf_dir, which="event_id % 20 IN (0, 1, 3) OR user_id % 10 = 0"):
+    e = _table(spark, sf_dir, "events").where(which)
     return e.select((F.col("event_id") + 1).alias("line_no"), F.expr("event_id div 40 * 2 + event_id % 2").alias("cid"))
 
 
@@ -253,29 +253,54 @@ def new_blocks(spark, sf_dir):
     return B.new_blocks(B.new_runs(_new_lines(spark, sf_dir))).select("run", "first", "last", F.size("members").cast("long").alias("members"), "lines_elsewhere")
 
 
+#: Types whose lines are new in the ``_all`` queries, which read every event.
+_NEW_TYPES = "event_type IN ('signup', 'error')"
+_NEW_ALL_SQL = _NEW_SQL.replace("event_id % 20 IN (0, 1, 3) OR user_id % 10 = 0", _NEW_TYPES)
+
+
+@query("new_runs_all", ORACLES["new_runs"].replace(_NEW_SQL, _NEW_ALL_SQL))
+def new_runs_all(spark, sf_dir):
+    return B.new_runs(_new_lines(spark, sf_dir, _NEW_TYPES))
+
+
+@query("new_blocks_all", ORACLES["new_blocks"].replace(_NEW_SQL, _NEW_ALL_SQL))
+def new_blocks_all(spark, sf_dir):
+    return B.new_blocks(B.new_runs(_new_lines(spark, sf_dir, _NEW_TYPES))).select("run", "first", "last", F.size("members").cast("long").alias("members"), "lines_elsewhere")
+
+
 _EXTENTS = "event_id AS cid, event_id * 2 AS first, event_id * 2 + user_id % 7 AS last, 1 + user_id % 3 AS count"
 
 
 @query("gone_chains", f"""WITH e AS (SELECT {_EXTENTS} FROM events WHERE event_id % 3 = 0), c AS (SELECT *, CASE WHEN 2 * count >= last - first + 1 THEN last ELSE first END AS covered FROM e),
     w AS (SELECT *, max(covered) OVER (ORDER BY first, cid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c)
     SELECT cid, first, last, covered, count(*) FILTER (WHERE reach IS NULL OR first > reach + 3) OVER (ORDER BY first, cid) AS chain FROM w""")
-def gone_chains(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").where("event_id % 3 = 0").selectExpr(*_EXTENTS.split(", "))
+def gone_chains(spark, sf_dir, which="event_id % 3 = 0"):
+    e = _table(spark, sf_dir, "events").where(which).selectExpr(*_EXTENTS.split(", "))
     packed = 2 * F.col("count") >= F.col("last") - F.col("first") + 1
     e = e.withColumn("covered", F.when(packed, F.col("last")).otherwise(F.col("first")))
     return B.gone_chains(e).select("cid", "first", "last", "covered", "chain")
 
 
+@query("gone_chains_all", ORACLES["gone_chains"].replace(" WHERE event_id % 3 = 0", ""))
+def gone_chains_all(spark, sf_dir):
+    return gone_chains(spark, sf_dir, "true")
+
+
 @query("context_window", f"""WITH {_SQL_LINES}, t AS (SELECT line_no, event_type FROM l WHERE run_idx = 2), w AS (SELECT line_no FROM t WHERE event_type = 'purchase' AND line_no % 25 = 0)
     SELECT w.line_no, string_agg(t.line_no || ':' || t.event_type, ' ' ORDER BY t.line_no) FILTER (WHERE t.line_no < w.line_no) AS before, string_agg(t.line_no || ':' || t.event_type, ' ' ORDER BY t.line_no) FILTER (WHERE t.line_no > w.line_no) AS after
     FROM w JOIN t ON t.line_no BETWEEN w.line_no - 2 AND w.line_no + 2 GROUP BY w.line_no""")
-def context_window(spark, sf_dir):
+def context_window(spark, sf_dir, which="raw = 'purchase' AND line_no % 25 = 0"):
     t = changed_lines(spark, sf_dir).where("run_idx = 2").select("line_no", F.substring_index(F.substring_index("raw", " ", 2), " ", -1).alias("raw"))
-    wanted = t.where("raw = 'purchase' AND line_no % 25 = 0")
+    wanted = t.where(which)
     shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["line_no"].cast("string"), F.lit(":"), x["raw"])), " ")
     return B.context(t, wanted, 2).select("line_no", *[F.when(F.size(c) > 0, shown(c)).alias(c) for c in ("before", "after")])
 
 
+@query("context_window_all", ORACLES["context_window"].replace(" AND line_no % 25 = 0", ""))
+def context_window_all(spark, sf_dir):
+    return context_window(spark, sf_dir, "raw = 'purchase'")
+
+
 # ---------------------------------------------------------------- fields
 
 _STATUS = "CASE WHEN run_idx = 2 AND event_id % 1000 = 7 THEN 599 WHEN (run_idx = 2 AND event_type = 'view' AND event_id % 5 = 0) OR event_id % 50 = 0 THEN 503 ELSE 200 END"
