@@ -12,14 +12,15 @@ from driftlens.operators.lineage import durable
 from driftlens.operators.mining import templates
 from driftlens.plans import report
 from driftlens.plans.diff import diff_runs
-from driftlens.sources.lines import from_lines, read_any, read_lines, runs
+from driftlens.sources.lines import PACKED, first_bytes, from_lines, read_any, read_lines, runs
 from driftlens.streaming.novel import model, novel
 
 
 def _read(spark: SparkSession, path: str, exact: bool = False) -> DataFrame:
     if path == "-":
         return from_lines(spark, sys.stdin)
-    return (read_any if path.endswith((".gz", ".bin")) else read_lines)(spark, path, exact=exact)
+    packed = path.endswith((".gz", ".bin")) or any(b.startswith(PACKED) for b in first_bytes(spark, path))
+    return (read_any if packed else read_lines)(spark, path, exact=exact)
 
 
 def _parser() -> argparse.ArgumentParser:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GZIP = b"\x1f\x8b"
+#: How files begin that ``read_lines`` can't read.
+PACKED = (GZIP, codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)
 #: Bytes at a file's begin that are looked at for a NUL, which text doesn't hold.
 HEAD = 256 * 1024
 
@@ -46,6 +48,23 @@ def read_lines(spark: SparkSession, path: str, run_idx: int = 0, exact: bool = F
     return numbered(rows, run_idx)
 
 
+def first_bytes(spark: SparkSession, path: str, n: int = 2) -> list[bytes]:
+    """The first ``n`` bytes of each file of a path, pattern or folder, by the store's own reader."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s for g in fs.globStatus(root) or [] for s in (fs.listStatus(g.getPath()) if g.isDirectory() else [g])]
+    out = []
+    for status in found:
+        if status.isDirectory():
+            continue
+        stream = fs.open(status.getPath())
+        try:
+            out.append(bytes(b for b in (stream.read() for _ in range(n)) if b >= 0))
+        finally:
+            stream.close()
+    return out
+
+
 def gunzip_bounded(data: bytes, limit: int) -> bytes:
     """All members of a gzip file, checked, if they come to at most ``limit`` bytes."""
     out, rest = [], data

@@ -1,0 +1,15 @@
+"""The command line tells gzip and UTF-16 by a file's first bytes, whatever its name."""
+
+import gzip
+
+from driftlens.cli import _read
+
+
+def test_reader_by_first_bytes(spark, tmp_path):
+    text = "one 1\nzwei é\n"
+    files = {"plain.log": text.encode(), "packed.log": gzip.compress(text.encode()), "wide.log": b"\xff\xfe" + text.encode("utf-16-le"), "big.log": b"\xfe\xff" + text.encode("utf-16-be")}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        assert [r["raw"] for r in _read(spark, str(tmp_path / name)).orderBy("line_no").collect()] == ["one 1", "zwei é"]
+    (tmp_path / "none.log").write_bytes(b"")
+    assert _read(spark, str(tmp_path / "none.log")).count() == 0
