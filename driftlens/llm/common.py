@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 3_000_000
 #: Bits of the bitmap that ``sieve`` sends to all tasks.
 SIEVE_BITS = 1 << 26
 
@@ -43,8 +44,24 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except AttributeError:  # not the GNU library
+    _trim = None
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are used again, and would keep the most that a task ever took."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that ``column`` holds about ``limit`` bytes; one row at least."""
+    """Cut Arrow batches so that ``column`` holds about ``limit`` bytes; one row at least.
+
+    Memory that a slice took is given back before the next one.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -54,6 +71,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+            if b - a < batch.num_rows:
+                release()
+    release()
 
 
 def sieve(rows: DataFrame, column: str, ids: DataFrame, bits: int = SIEVE_BITS) -> DataFrame:

@@ -30,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import cut_lineage, slices
+from driftlens.llm.common import cut_lineage, release, slices
 
 LEAST = 50
 GRAM = 24
-SLICE = 3_000_000
+SLICE = 1_500_000
 #: Anchors that a shard sorts at once, about.
 SHARD = 1_000_000
 
@@ -342,13 +342,17 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, slice_
                 replies: dict[int, dict[int, bytes]] = {}
                 for r in row.get("replies") or []:
                     replies.setdefault(r["kind"], {})[r["shard"]] = r["bits"]
-                yield row["slice"], row["blob"], replies
+                yield row.pop("slice"), row.pop("blob"), replies
+                release()
+
+    def asked(blob, replies, rounds):
+        _, _, work = through(blob, replies, rounds)
+        return list((work.first, work.second, work.third)[rounds - 1]())
 
     def sender(rounds):
         def send(batches):
             for number, blob, replies in rows_of(batches):
-                _, _, work = through(blob, replies, rounds)
-                rows = list((work.first, work.second, work.third)[rounds - 1]())
+                rows = asked(blob, replies, rounds)
                 if rows:
                     kind, shard, key, more, doc = zip(*rows, strict=True)
                     yield pa.record_batch(
@@ -371,23 +375,26 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, slice_
         got = cut_lineage(sent.groupBy("kind", "shard").applyInArrow(_sort_shard, "slice long, kind int, shard int, bits binary"))
         replies = got if replies is None else replies.unionByName(got)
 
+    def rewritten(blob, said) -> pa.Table:
+        table, texts, work = through(blob, said, 3)
+        gone = work.covered(said.get(4, {}))
+        size, removed, spans, digest, kept = [], [], [], [], []
+        for t, a, b in zip(texts, work.part.bounds[:-1].tolist(), work.part.bounds[1:].tolist(), strict=True):
+            cover = gone[a:b]
+            n = int(cover.sum())
+            stay = np.frombuffer(t, np.uint8)[~cover].tobytes() if n else t
+            size.append(b - a)
+            removed.append(n)
+            spans.append(int(np.count_nonzero(np.diff(cover.astype(np.int8), prepend=0) == 1)) if n else 0)
+            digest.append(hashlib.sha256(stay).hexdigest())
+            kept.append(stay)
+        for name, values, kind in (("n_bytes", size, pa.int64()), ("n_removed", removed, pa.int64()), ("n_spans", spans, pa.int64()), ("kept_sha256", digest, pa.string()), ("kept", kept, pa.binary()), ("kept_text", [k.decode("utf-8", "ignore") for k in kept], pa.string())):
+            table = table.append_column(name, pa.array(values, kind))
+        return table
+
     def finish(batches):
         for _, blob, said in rows_of(batches):
-            table, texts, work = through(blob, said, 3)
-            gone = work.covered(said.get(4, {}))
-            size, removed, spans, digest, kept = [], [], [], [], []
-            for t, a, b in zip(texts, work.part.bounds[:-1].tolist(), work.part.bounds[1:].tolist(), strict=True):
-                cover = gone[a:b]
-                n = int(cover.sum())
-                stay = np.frombuffer(t, np.uint8)[~cover].tobytes() if n else t
-                size.append(b - a)
-                removed.append(n)
-                spans.append(int(np.count_nonzero(np.diff(cover.astype(np.int8), prepend=0) == 1)) if n else 0)
-                digest.append(hashlib.sha256(stay).hexdigest())
-                kept.append(stay)
-            for name, values, kind in (("n_bytes", size, pa.int64()), ("n_removed", removed, pa.int64()), ("n_spans", spans, pa.int64()), ("kept_sha256", digest, pa.string()), ("kept", kept, pa.binary()), ("kept_text", [k.decode("utf-8", "ignore") for k in kept], pa.string())):
-                table = table.append_column(name, pa.array(values, kind))
-            yield from table.to_batches()
+            yield from rewritten(blob, said).to_batches()
 
     schema = docs.schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept", "binary").add("kept_text", "string")
     return with_replies().mapInArrow(finish, schema)
