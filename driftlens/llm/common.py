@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once.
 SLICE_BYTES = 3_000_000
+#: Keys that hold more than one of this many rows are heavy; there are at most as many of them.
+HEAVY = 10_000
 #: Bits of the bitmap that ``sieve`` sends to all tasks.
 SIEVE_BITS = 1 << 26
 
@@ -31,9 +34,34 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's shared checkpoint folder and go on from there."""
+    """Write ``df`` to the session's shared checkpoint folder and go on from there.
+
+    Shuffle files and checkpoints that nothing refers to any more go when the driver
+    collects its garbage.  It has little of that, so it is asked to, else they pile up.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows`` with the columns of ``found`` (one row a key); null where a key is null or not found.
+
+    ``found._n`` tells how many of ``rows``, ``total`` in all, have the key.  Keys with more
+    than one of ``HEAVY`` rows, so at most ``HEAVY`` keys, are broadcast, and only rows of
+    the others are shuffled: no task gets all rows of a heavy key.  Both are read several
+    times and should be cheap to read.
+    """
+    many = F.col("_n") > max(1, total // HEAVY)
+    heavy, few = F.broadcast(found.where(many).drop("_n")), found.where(~many).drop("_n")
+    known = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+    whole = rows.where(known)
+    new = [c for c in few.columns if c not in keys]
+    alone = rows.where(f"NOT ({known})").select("*", *(F.lit(None).cast(few.schema[c].dataType).alias(c) for c in new))
+    light = whole.join(heavy.select(*keys), keys, "left_anti").join(few, keys, "left")
+    return whole.join(heavy, keys).select(*rows.columns, *new).unionByName(light.select(*rows.columns, *new)).unionByName(alone)
 
 
 def free_name(columns: list[str], name: str) -> str:
@@ -112,23 +140,21 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     round is cut off by a checkpoint, so a lost executor costs one round at most.  Rounds
     grow with the logarithm of the component's size; if ``max_rounds`` are too few, it raises.
     """
-    e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
-    e = cut_lineage(e)
-    sign = None
+    e = cut_lineage(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct())
+    n, sign = e.count(), None
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        )
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("_n"))
+        large = lookup(both.where("v > u"), cut_lineage(least), ["u"], n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut_lineage(large)  # at most ``n`` rows, as each edge has one larger node
+        low = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")))
+        ends = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+        small = lookup(large, low, ["u"], n).select(ends.alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         e = cut_lineage(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sign:
             break
-        sign = now
+        n, sign = now[0], now
     else:
         raise RuntimeError(f"components still change after {max_rounds} rounds")
     pairs = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -161,19 +187,14 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def block_pairs(rows: DataFrame, key: list[str], ident: str, block: int) -> DataFrame:
-    """Deal each group of ``key`` with two rows or more into pairs of blocks of about ``block`` rows.
+def into_blocks(rows: DataFrame, ident: str, block: int) -> DataFrame:
+    """Deal groups of ``_rows`` rows each into pairs of blocks of about ``block`` rows.
 
     A row comes once for each pair of blocks that its own block is in; columns ``block``
-    (its own), ``low_block`` and ``high_block`` are added, and rows of a pair are next to
-    each other, in one partition.  A task so never holds more than two blocks, however
-    large the group.
+    (its own), ``low_block`` and ``high_block`` take the place of ``_rows``.  A task that
+    gets a group's pair of blocks never holds more than two blocks, however large the group.
     """
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("_rows")).where("_rows > 1")
-    dealt = rows.join(sizes, key).withColumn("_blocks", F.ceil(F.col("_rows") / block).cast("int"))
+    dealt = rows.withColumn("_blocks", F.ceil(F.col("_rows") / block).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64(ident), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumn("low_block", F.least("block", "_other")).withColumn("high_block", F.greatest("block", "_other")).drop("_rows", "_blocks", "_other")
-    at = [*key, "low_block", "high_block"]
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, *at).sortWithinPartitions(*at)
+    return dealt.withColumn("low_block", F.least("block", "_other")).withColumn("high_block", F.greatest("block", "_other")).drop("_rows", "_blocks", "_other")

@@ -1,24 +1,31 @@
 """Embedding near-dedup: random-hyperplane sign hashing, exact cosines, connected components.
 
-Equal vectors of a label are one class.  Each of ``TABLES`` tables hashes a class by the
-signs of ``BITS`` random projections; a pair of cosine 0.98 shares a bucket of at least one
-table with a probability of 0.9998.  Buckets are compared in pairs of blocks by exact
-cosines in double precision.  A block sends on the number of links of each of its classes
-(a pair counts in the first table that it shares) and a spanning forest of its links, so
-what leaves a block is as large as the block, not as its pairs.
+Equal vectors of a label are one class, told by a 128-bit digest.  Each of ``TABLES`` tables
+hashes a class by the signs of ``BITS`` random projections; a pair of cosine 0.98 shares a
+bucket of at least one table with a probability of 0.9998.  Buckets go to tasks in pairs of
+blocks, first with the 168 signs alone: pairs whose signs differ in more than ``APART``
+places can't link (a pair at the threshold does so with a probability of 1e-7), and a pair
+counts in the first table that it shares.  Vectors follow only those members that have a
+pair left, and exact cosines in double precision decide.  A block sends on the number of
+links of each of its classes and a spanning forest of its links, so what leaves a block is
+as large as the block, not as its pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import block_pairs, components, cut_lineage, runs
+from driftlens.llm.common import HEAVY, components, cut_lineage, into_blocks, lookup, runs, sieve
 
 TABLES, BITS = 14, 12
 BLOCK = 1024
+#: Signs in which a pair may differ and be compared exactly.
+APART = 30
+_ONES = np.array([bin(v).count("1") for v in range(1 << 8)], np.uint8)
 
 
 def planes(dim: int, tables: int = TABLES, bits: int = BITS) -> np.ndarray:
@@ -28,17 +35,17 @@ def planes(dim: int, tables: int = TABLES, bits: int = BITS) -> np.ndarray:
 
 def signatures(vectors: np.ndarray, tables: int = TABLES, bits: int = BITS) -> np.ndarray:
     signs = vectors @ planes(vectors.shape[1], tables, bits) >= 0
-    return (signs.reshape(len(vectors), tables, bits) * (1 << np.arange(bits))).sum(2).astype(np.int32)
+    return (signs.reshape(len(vectors), tables, bits) * (1 << np.arange(bits))).sum(2).astype(np.uint16)
 
 
-def _usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, label, dim, raw) of vectors that can link: raw holds their components as doubles or floats."""
+def _told(rows: DataFrame) -> DataFrame:
+    """(vec_id, label, dim, low, high, raw) of every row: its components as doubles or floats and their digest, null where it can't link."""
     single = rows.schema["embedding"].dataType.elementType.simpleString() == "float"
     dtype = np.float32 if single else np.float64
 
     def run(batches):
         for batch in batches:
-            ids, labels, dims, raws = [], [], [], []
+            dims, lows, highs, raws = [], [], [], []
             col = batch.column(2)
             value, offset = col.values, col.offsets.to_numpy()
             value = value.cast(pa.float64()) if not single else value
@@ -49,14 +56,21 @@ def _usable(rows: DataFrame) -> DataFrame:
                 a, b = offset[i], offset[i + 1]
                 v = flat[a:b].astype(dtype)
                 if not ok[i] or label is None or vec is None or a == b or (bad is not None and bad[a:b].any()) or not np.isfinite(v).all() or not v.any():
-                    continue
-                ids.append(vec)
-                labels.append(label)
-                dims.append(b - a)
-                raws.append((v + dtype(0)).tobytes())  # -0.0 becomes 0.0
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(labels, pa.int64()), pa.array(dims, pa.int32()), pa.array(raws, pa.binary())], ["vec_id", "label", "dim", "raw"])
-
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding").mapInArrow(run, "vec_id long, label long, dim int, raw binary")
+                    dim = low = high = raw = None
+                else:
+                    dim, raw = b - a, (v + dtype(0)).tobytes()  # -0.0 becomes 0.0
+                    digest = xxhash.xxh3_128_digest(raw)
+                    low, high = (int.from_bytes(x, "little", signed=True) for x in (digest[:8], digest[8:]))
+                for to, what in ((dims, dim), (lows, low), (highs, high), (raws, raw)):
+                    to.append(what)
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64()), pa.array(raws, pa.binary())],
+                ["vec_id", "label", "dim", "low", "high", "raw"],
+            )
+
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding").mapInArrow(
+        run, "vec_id long, label long, dim int, low long, high long, raw binary"
+    )
 
 
 def _cosines(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -90,19 +104,33 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+def _first_shared(sigs: np.ndarray, i: int, other: np.ndarray, table: int) -> np.ndarray:
+    """Which of ``other`` share bucket ``table`` with ``i`` and none before it, and differ in few enough signs."""
+    own, their = sigs[i], sigs[other]
+    first = (their[:, :table] != own[:table]).all(1)
+    other, their = other[first], their[first]
+    differ = _ONES[(their ^ own).view(np.uint8)].sum(1)
+    return other[differ <= APART]
+
+
 def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = TABLES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row (vec_id, embedding, label).
 
     Vectors link if their labels are equal and not null and their cosine is at least
     ``least``.  A vector that is null, empty, zero, or holds a null or non-finite component
     links with nothing, as do vectors of different lengths; its n_links is 0 and it is its
-    own component.  Rows of the same vec_id are vectors of their own that share a
-    component; a null vec_id links with nothing and has a null component.
+    own component.  Rows of the same vec_id are vectors of their own whose links count
+    apart; those that can link share a component, as if they were linked.  A null vec_id
+    links with nothing and has a null component.  Other columns are ignored.
     """
-    usable = cut_lineage(_usable(rows))
-    classes = cut_lineage(usable.groupBy("label", "dim", "raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    width = 4 if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else 8
-    dtype = np.float32 if width == 4 else np.float64
+    dtype = np.float32 if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
+    told = cut_lineage(_told(rows))
+    ids = cut_lineage(told.drop("raw"))
+    same = ["label", "dim", "low", "high"]
+    classes = cut_lineage(told.where("dim IS NOT NULL").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw")))
+    # a vec_id may stand for several classes, so a class has a number of its own
+    classes = cut_lineage(classes.withColumn("cls", F.monotonically_increasing_id()))
+    del told
 
     def matrix(col) -> np.ndarray:
         return np.frombuffer(b"".join(col.to_pylist()), dtype).reshape(len(col), -1).astype(np.float64)
@@ -110,48 +138,87 @@ def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = TABLES, bit
     def hashed(batches):
         for table in runs(batches, ["dim"]):
             for batch in table.to_batches(max_chunksize=2000):
-                sig = signatures(matrix(batch.column(2)), tables, bits)
+                sig = signatures(matrix(batch.column(3)), tables, bits)
                 row = pa.array(np.repeat(np.arange(len(sig)), tables))
                 packed = pa.array([s.tobytes() for s in sig], pa.binary())
                 yield pa.record_batch(
-                    [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(sig))), pa.array(sig.ravel()), *(batch.column(k).take(row) for k in range(5)), packed.take(row)],
-                    ["hash_table", "sig", "label", "dim", "raw", "rep", "copies", "sigs"],
+                    [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(sig))), pa.array(sig.ravel().astype(np.int32)), *(batch.column(k).take(row) for k in range(3)), packed.take(row)],
+                    ["hash_table", "sig", "label", "dim", "cls", "sigs"],
                 )
 
-    spread = classes.mapInArrow(hashed, "hash_table int, sig int, label long, dim int, raw binary, rep long, copies long, sigs binary")
     key = ["label", "dim", "hash_table", "sig"]
+    at = [*key, "low_block", "high_block"]
+    spread = cut_lineage(classes.select("label", "dim", "cls", "raw").mapInArrow(hashed, "hash_table int, sig int, label long, dim int, cls long, sigs binary"))
+    large = cut_lineage(spread.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > block).withColumn("_rows", F.col("_n")))
+    if large.count() <= HEAVY:
+        sized = spread.join(F.broadcast(large.drop("_n")), key, "left")
+    else:
+        sized = lookup(spread, large, key, spread.count())
+    dealt = into_blocks(sized.withColumn("_rows", F.coalesce("_rows", F.lit(1))), "cls", block).repartition(*at).sortWithinPartitions(*at)
+
+    def sides(table):
+        own = table.column("block").to_numpy()
+        t, low, high = (table.column(c)[0].as_py() for c in ("hash_table", "low_block", "high_block"))
+        left = np.flatnonzero(own == low)
+        return t, left, None if low == high else np.flatnonzero(own == high)
+
+    def touched(batches):
+        for table in runs(batches, at):
+            if table.num_rows < 2:
+                continue
+            sigs = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.uint16).reshape(-1, tables)
+            t, left, right = sides(table)
+            hit = np.zeros(len(sigs), bool)
+            for k, i in enumerate(left.tolist()):
+                other = _first_shared(sigs, i, left[k + 1 :] if right is None else right, t)
+                if len(other):
+                    hit[i] = True
+                    hit[other] = True
+            if hit.any():
+                yield from table.select([*at, "block", "cls"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
     def compared(batches):
-        for table in runs(batches, [*key, "low_block", "high_block"]):
+        for table in runs(batches, at):
             x = matrix(table.column("raw"))
-            rep, copies, own = (table.column(c).to_numpy() for c in ("rep", "copies", "block"))
-            sigs = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.int32).reshape(len(x), -1)
-            t, low, high = (table.column(c)[0].as_py() for c in ("hash_table", "low_block", "high_block"))
-            left = np.flatnonzero(own == low)
-            right = left if low == high else np.flatnonzero(own == high)
-            i, j = _cosines(x[left], x[right], least)
-            i, j = left[i], right[j]
-            if low == high:
+            sigs = signatures(x, tables, bits)
+            cls, copies = (table.column(c).to_numpy() for c in ("cls", "copies"))
+            t, left, right = sides(table)
+            i, j = _cosines(x[left], x[left if right is None else right], least)
+            i, j = left[i], (left if right is None else right)[j]
+            if right is None:
                 i, j = i[i < j], j[i < j]
+            first = (sigs[i, :t] != sigs[j, :t]).all(1)
+            i, j = i[first], j[first]
             if not len(i):
                 continue
-            first = np.ones(len(i), bool)
-            for earlier in range(t):
-                first &= sigs[i, earlier] != sigs[j, earlier]
-            links = np.bincount(i[first], copies[j[first]], len(x)) + np.bincount(j[first], copies[i[first]], len(x))
+            links = np.bincount(i, copies[j], len(x)) + np.bincount(j, copies[i], len(x))
             root = _forest(i, j, len(x))
-            some = np.flatnonzero((links > 0) | (root != np.arange(len(x))))
-            yield pa.record_batch([pa.array(rep[some]), pa.array(rep[root[some]]), pa.array(links[some].astype(np.int64))], ["a", "b", "links"])
-
-    found = cut_lineage(block_pairs(spread, key, "rep", block).mapInArrow(compared, "a long, b long, links long"))
-    degree = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    joined = components(found.where("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
-    per_class = (
-        classes.join(degree, "rep", "left").join(joined, "rep", "left")
-        .select("label", "dim", "raw", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("class_links"), F.coalesce("component", "rep").alias("of_class"))
+            some = np.flatnonzero(links > 0)
+            yield pa.record_batch([pa.array(cls[some]), pa.array(cls[root[some]]), pa.array(links[some].astype(np.int64))], ["a", "b", "links"])
+
+    few = cut_lineage(dealt.mapInArrow(touched, "label long, dim int, hash_table int, sig int, low_block int, high_block int, block int, cls long"))
+    del spread, dealt, sized
+    vectors = sieve(classes.select("cls", "copies", "raw"), "cls", few.select("cls"))
+    found = few.join(vectors, "cls").repartition(*at).sortWithinPartitions(*at).mapInArrow(compared, "a long, b long, links long")
+    found = cut_lineage(found)
+    degree = found.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    classes = classes.drop("raw")
+
+    # classes that hold rows of the same vec_id are joined by links of their own
+    several = cut_lineage(ids.where("dim IS NOT NULL").groupBy("vec_id").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_rows", F.col("_n")))
+    edges = found.where("a <> b").select("a", "b")
+    if not several.isEmpty():
+        repeated = cut_lineage(lookup(ids.where("dim IS NOT NULL"), several, ["vec_id"], ids.count()).where("_rows IS NOT NULL").drop("_rows"))
+        its = lookup(repeated, classes.select(*same, "cls", F.col("copies").alias("_n")), same, repeated.count())
+        first = its.groupBy("vec_id").agg(F.min("cls").alias("a"), F.count("*").alias("_n"))
+        edges = edges.unionByName(lookup(its.select("vec_id", F.col("cls").alias("b")), first, ["vec_id"], repeated.count()).where("a <> b").select("a", "b").distinct())
+    joined = cut_lineage(components(edges).withColumnRenamed("node", "cls"))
+    named = cut_lineage(classes.select("cls", "rep", *same, "copies").join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    least_id = named.groupBy("component").agg(F.min("rep").alias("of_class"), F.count("*").alias("_n"))
+    named = lookup(named, cut_lineage(least_id), ["component"], named.count())
+    per_class = named.join(degree, "cls", "left").select(*same, F.col("copies").alias("_n"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "of_class")
+    out = lookup(ids, cut_lineage(per_class), same, ids.count())
+    return out.select(
+        "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("of_class", "vec_id").alias("component_id"),
+        (F.col("vec_id") == F.coalesce("of_class", "vec_id")).alias("kept"),
     )
-    linked = usable.join(per_class, ["label", "dim", "raw"]).select(F.col("vec_id").alias("_vec"), "class_links", "of_class")
-    rest = rows.select(F.col("vec_id").cast("long").alias("vec_id")).join(usable.select(F.col("vec_id").alias("_vec")).distinct(), F.col("vec_id") == F.col("_vec"), "left_anti")
-    out = linked.select(F.col("_vec").alias("vec_id"), F.col("class_links").alias("n_links"), F.col("of_class").alias("component_id"))
-    alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(alone).select("*", (F.col("vec_id") == F.col("component_id")).alias("kept"))

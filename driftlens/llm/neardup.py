@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import block_pairs, components, cut_lineage, runs, sieve, slices
+from driftlens.llm.common import components, cut_lineage, into_blocks, lookup, runs, sieve, slices
 
 WORDS = 5
 REGISTERS = 256
@@ -198,16 +198,15 @@ def _by_hub(pairs: DataFrame, payload: DataFrame) -> DataFrame:
     one partition; a hub with more members comes once for each chunk.  ``payload`` is told
     by its column ``need``.
     """
-    degree = pairs.groupBy("a").agg(F.count("*").alias("degree"))
+    degree = cut_lineage(pairs.groupBy("a").agg(F.count("*").alias("_n")).withColumn("degree", F.col("_n")))
     chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / CHUNK)).alias("chunk")
-    dealt = cut_lineage(pairs.join(degree, "a").select("a", "b", chunk))  # read several times below
+    dealt = cut_lineage(lookup(pairs, degree, ["a"], pairs.count()).select("a", "b", chunk))  # read several times below
     wanted = dealt.select("a", "chunk", F.lit(1).alias("role"), F.col("b").alias("need")).unionByName(
         dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("need"))
     )
     ids = dealt.select("b").unionByName(dealt.select(F.col("a").alias("b")).distinct())
     rows = wanted.join(sieve(payload, "need", ids), "need").select("a", "chunk", "role", "need", *payload.columns[1:])
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "a", "chunk").sortWithinPartitions("a", "chunk", "role")
+    return rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
 
 
 def _linked(pairs: DataFrame, payload: DataFrame, load, holds, limit_by: str) -> DataFrame:
@@ -265,6 +264,9 @@ def _open_pairs(table: pa.Table, threshold: float) -> Iterator[tuple[int, np.nda
             keys[row] = band_keys(regs[row])
         return keys[row]
 
+    mixed = np.flatnonzero(comp != comp[0])
+    if not len(mixed):
+        return
     for i in left.tolist():
         other = right[(comp[right] != comp[i]) & ((rep[right] > rep[i]) | (low != high))]
         # sizes first: they rule out most, and registers are compared for the rest
@@ -277,9 +279,11 @@ def _open_pairs(table: pa.Table, threshold: float) -> Iterator[tuple[int, np.nda
                 yield i, other
 
 
-def across(dealt: DataFrame, sketch: DataFrame, docs: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
+def across(members: DataFrame, sketch: DataFrame, docs: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
     """Links (a, b) that join what pairs of blocks hold of different components; a spanning forest of each.
 
+    ``members`` (band, rep, comp, block, low_block, high_block) are in their blocks already.
+
     First those members are found that have a pair left open; only their texts follow them
     into the blocks, where the open pairs are confirmed on full sets.  Pairs never leave a
     block, so what comes out is as large as the blocks.
@@ -311,11 +315,11 @@ def across(dealt: DataFrame, sketch: DataFrame, docs: DataFrame, percent: int, w
                         out_b.append(max(rep[i], rep[o]))
             yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.join(sieve(sketch, "rep", members.select("rep")), "rep").repartition(*at).sortWithinPartitions(*at)
     found = cut_lineage(dealt.mapInArrow(touched, "band long, low_block int, high_block int, block int, comp long, rep long").distinct())
     texts = _input(docs).where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "rep")
     full = found.join(sieve(sketch, "rep", found.select("rep")), "rep").join(sieve(texts, "rep", found.select("rep")), "rep")
-    return full.repartition(parts, *at).sortWithinPartitions(*at).mapInArrow(confirmed, "a long, b long").distinct()
+    return full.repartition(*at).sortWithinPartitions(*at).mapInArrow(confirmed, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
@@ -329,30 +333,37 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
     """
     threshold = percent / 100
     sketched = cut_lineage(sketches(docs, words))
+    sets = cut_lineage(sketched.drop("regs"))
     usable = sketched.where(F.col("doc_id").isNotNull() & F.col("set_a").isNotNull())
-    classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    classes = cut_lineage(classes)
-
-    # round 1: each member of a bucket with the bucket's least class
-    banded = _banded(classes, [])
-    roots = banded.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where("m > 1").select("band", "a")
-    pairs = cut_lineage(banded.join(roots, "band").where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    classes = cut_lineage(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.count("*").alias("copies")))
+    del sketched, usable
+
+    # the buckets of two classes or more, with their least class
+    banded = cut_lineage(_banded(classes, []))
+    roots = cut_lineage(banded.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("_n")).where("_n > 1"))
+    total = roots.agg(F.sum("_n")).first()[0] or 0
+    shared = cut_lineage(sieve(banded, "band", roots.select("band")))
+    shared = cut_lineage(lookup(shared, roots, ["band"], total).where("a IS NOT NULL"))
+    del banded, roots
+
+    # round 1: each member of a bucket with the least
+    pairs = cut_lineage(shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
     pairs = cut_lineage(left_open(pairs, classes, threshold))
     links = cut_lineage(verify(pairs, docs, percent, words))
-    joined = components(links)
+    joined = cut_lineage(components(links))
 
     # round 2: buckets that hold several components
-    labelled = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "regs", F.coalesce("component", "rep").alias("comp"))
-    labelled = cut_lineage(labelled)
-    keyed = _banded(labelled, ["comp"])
-    mixed = keyed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
-    members = cut_lineage(keyed.join(mixed, "band", "left_semi"))
-    sketch = labelled.select("rep", "n", "regs")
-    members = members.join(sieve(sketch, "rep", members.select("rep")), "rep")
-    more = cut_lineage(across(block_pairs(members, ["band"], "rep", BLOCK), sketch, docs, percent, words))
-    final = joined if more.isEmpty() else components(links.unionByName(more))
-
-    per_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("of_class"))
-    out = sketched.join(per_class, ["set_a", "set_b"], "left")
+    keyed = shared.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
+    keyed = cut_lineage(keyed)
+    mixed = keyed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("_n")).where("low <> high")
+    mixed = cut_lineage(mixed.select("band", "_n", F.col("_n").alias("_rows")))
+    members = cut_lineage(lookup(keyed, mixed, ["band"], total).where("_rows IS NOT NULL"))
+    del shared, keyed, mixed
+    sketch = classes.select("rep", "n", "regs")
+    more = cut_lineage(across(into_blocks(members, "rep", BLOCK), sketch, docs, percent, words))
+    final = joined if more.isEmpty() else cut_lineage(components(links.unionByName(more)))
+
+    per_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.col("copies").alias("_n"), F.coalesce("component", "rep").alias("of_class"))
+    out = lookup(sets, cut_lineage(per_class), ["set_a", "set_b"], sets.count())
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
