@@ -3,11 +3,15 @@
 1. Every document's distinct line keys set bits in two filters: one of hashes seen once,
    one of hashes seen twice.  The filters are cut into segments; tasks send the bits that
    they set, a segment's bits meet in one task, and only the second filter comes back.
-   Its size is ``FILTER_BITS``, whatever the input: 16 MB, which is broadcast.
-2. Only keys that the second filter suspects are shuffled, as 128-bit digests, and counted
+   Its size follows the bytes of text (``BITS_A_BYTE``) up to ``MAX_BITS``, 64 MB, which is
+   what is broadcast at most.
+2. Only keys that the second filter suspects are written, as 128-bit digests, and counted
    exactly (partial counts first).  More data than the filter can hold makes more
    suspects, never another result.
-3. What is confirmed goes back to its documents by doc_id.
+3. Confirmed digests are broadcast where there are at most ``MOST_KEYS`` (16 MB), and texts
+   are rewritten where they are read.  Where there are more, they go back to their
+   documents by doc_id; those of very common lines are broadcast even then
+   (``common.lookup``), so that no task gets all documents of one.
 """
 
 from __future__ import annotations
@@ -16,14 +20,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from driftlens.llm.common import free_name, slices
+from driftlens.llm.common import cut_lineage, free_name, lookup, slices
 
-FILTER_BITS = 1 << 27
+MIN_BITS, MAX_BITS = 1 << 20, 1 << 29
+#: Bits of a filter a byte of text, about 8 to 16 a line of 30 bytes.
+BITS_A_BYTE = 0.25
 SEGMENT_BITS = 1 << 20
+#: Confirmed digests that are broadcast at most.
+MOST_KEYS = 1_000_000
 #: Distinct keys that a task gathers before it sends their bits on.
 FLUSH = 500_000
 SPACE = b" \t\n\x0b\x0c\r"
@@ -47,7 +57,13 @@ def _digests(keys) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0].astype(np.uint64), both[:, 1].astype(np.uint64)
 
 
-def seen_twice(docs: DataFrame, bits: int = FILTER_BITS, min_chars: int = 1) -> bytes:
+def filter_bits(docs: DataFrame) -> int:
+    """The size of each filter, a power of two."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return min(MAX_BITS, max(MIN_BITS, 1 << int(size * BITS_A_BYTE).bit_length()))
+
+
+def seen_twice(docs: DataFrame, bits: int, min_chars: int = 1) -> bytes:
     """The filter of hashes seen at least twice, as packed bits."""
     segment = min(SEGMENT_BITS, bits)
     shift = int(segment).bit_length() - 1
@@ -91,7 +107,7 @@ def seen_twice(docs: DataFrame, bits: int = FILTER_BITS, min_chars: int = 1) ->
 
     parts = (
         _input(docs).mapInArrow(first, "segment int, once binary, twice binary")
-        .repartition(min(64, max(1, bits // segment)), "segment").sortWithinPartitions("segment")
+        .repartition(max(1, bits // segment), "segment").sortWithinPartitions("segment")
         .mapInArrow(merge, "segment int, bits binary").collect()
     )  # bits / 8 bytes at most
     out = np.zeros(bits // 8, np.uint8)
@@ -104,12 +120,11 @@ def _input(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
 
 
-def repeated(docs: DataFrame, min_docs: int, min_chars: int, bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, drop) of documents with lines to drop; drop is an array of 128-bit digests as two longs."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(seen_twice(docs, bits, min_chars))
+def suspected(docs: DataFrame, min_chars: int, bits: int) -> DataFrame:
+    """(doc_id, low, high): the distinct keys of each row that the second filter suspects, as digests."""
+    shared = docs.sparkSession.sparkContext.broadcast(seen_twice(docs, bits, min_chars))
 
-    def suspects(batches):
+    def run(batches):
         packed = np.frombuffer(shared.value, np.uint8)
         for part in slices(batches, "text"):
             owner, keys = [], []
@@ -127,49 +142,84 @@ def repeated(docs: DataFrame, min_docs: int, min_chars: int, bits: int = FILTER_
                 rows = part.column(0).take(pa.array(np.array(owner)[hit]))
                 yield pa.record_batch([rows, pa.array(low[hit].view(np.int64)), pa.array(high[hit].view(np.int64))], ["doc_id", "low", "high"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = _input(docs).mapInArrow(suspects, f"doc_id {kind}, low long, high long")
-    often = found.groupBy("low", "high").count().where(F.col("count") >= min_docs).select("low", "high")
-    return found.join(often, ["low", "high"], "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("drop"))
+    return _input(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, low long, high long")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, bits: int = FILTER_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, bits: int | None = None, most_keys: int = MOST_KEYS) -> DataFrame:
     """All columns of ``docs`` with ``text`` rewritten, and n_lines, n_dropped, kept_sha256.
 
     A key (see ``keys_of``) that at least ``min_docs`` documents hold loses its lines in all
     of them.  A null or empty text is one empty line, whose key has no code point and so
     stays; the rewritten text of a document that loses all its lines is empty.  Each row is
     a document, so repeated rows count once each.  Rows with a null doc_id are handled like
-    the others, together.  Columns named like the added ones are replaced.
+    the others.  Columns named like the added ones are replaced.
     """
     kept = docs.drop("n_lines", "n_dropped", "kept_sha256")
+    out = StructType([*kept.schema.fields]).add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
+    at, width, names = kept.columns.index("text"), len(kept.columns), out.names
+    found = suspected(docs, min_chars, bits or filter_bits(docs))
+    often = cut_lineage(found.groupBy("low", "high").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_docs).withColumn("often", F.lit(True)))
+
+    def rewritten(batch: pa.RecordBatch, bad_of) -> pa.RecordBatch:
+        """``bad_of`` tells of the digests of all keys of the batch, and each one's row, which are to go."""
+        raws = [(text or "").encode() for text in batch.column(at).to_pylist()]
+        keys, row, place = [], [], []
+        for i, raw in enumerate(raws):
+            own = keys_of(raw, min_chars)
+            there = [j for j, k in enumerate(own) if k is not None]
+            keys.extend(own[j] for j in there)
+            row.extend([i] * len(there))
+            place.extend(there)
+        low, high = (x.view(np.int64) for x in _digests(keys))
+        gone: dict[int, set[int]] = {}
+        for k in np.flatnonzero(bad_of(low, high, np.array(row, np.int64))).tolist():
+            gone.setdefault(row[k], set()).add(place[k])
+        texts, lines, dropped, digest = [], [], [], []
+        for i, raw in enumerate(raws):
+            bad = gone.get(i, ())
+            new = b"\n".join([line for j, line in enumerate(raw.split(b"\n")) if j not in bad]) if bad else raw
+            texts.append(new.decode())
+            lines.append(raw.count(b"\n") + 1)
+            dropped.append(len(bad))
+            digest.append(hashlib.sha256(new).hexdigest())
+        cols = [*batch.columns[:width], pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest, pa.string())]
+        cols[at] = pc.if_else(batch.column(at).is_valid(), pa.array(texts, pa.string()), pa.scalar(None, pa.string()))
+        return pa.record_batch(cols, names)
+
+    if often.count() <= most_keys:
+        both = often.select("low", "high").toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast([both.column(k).to_numpy().tobytes() for k in (0, 1)])
+
+        def by_keys(batches):
+            lows, highs = (np.frombuffer(x, np.int64) for x in shared.value)
+            order = np.lexsort((highs, lows))
+            lows, highs = lows[order], highs[order]
+
+            def bad_of(low, high, row):
+                first = np.searchsorted(lows, low)
+                bad = np.zeros(len(low), bool)
+                # equal low halves are next to each other, and hardly ever more than one
+                while (more := first < len(lows)).any():
+                    more[more] = lows[first[more]] == low[more]
+                    if not more.any():
+                        break
+                    bad[more] |= highs[first[more]] == high[more]
+                    first = np.where(more, first + 1, len(lows))
+                return bad
+
+            for batch in slices(batches, "text"):
+                yield rewritten(batch, bad_of)
+
+        return kept.mapInArrow(by_keys, out)
+
     ident, drop = free_name(kept.columns, "_of"), free_name(kept.columns, "_drop")
-    drops = repeated(docs, min_docs, min_chars, bits).select(F.col("doc_id").alias(ident), F.col("drop").alias(drop))
+    found = cut_lineage(found)
+    drops = lookup(found, often, ["low", "high"], found.count()).where("often").groupBy(F.col("doc_id").alias(ident)).agg(F.collect_set(F.struct("low", "high")).alias(drop))
     joined = kept.join(drops, F.col("doc_id").eqNullSafe(F.col(ident)), "left").drop(ident)
-    at = joined.columns.index("text")
 
-    def rewrite(batches):
+    def by_documents(batches):
         for batch in slices(batches, "text"):
-            texts, lines, dropped, digest = [], [], [], []
-            for text, drop in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                old = raw.split(b"\n")
-                new = old
-                if drop:
-                    bad = {(d["low"], d["high"]) for d in drop}
-                    keys = keys_of(raw, min_chars)
-                    there = [i for i, k in enumerate(keys) if k is not None]
-                    low, high = (x.view(np.int64).tolist() for x in _digests([keys[i] for i in there]))
-                    gone = {i for i, a, b in zip(there, low, high, strict=True) if (a, b) in bad}
-                    new = [line for i, line in enumerate(old) if i not in gone]
-                joined_text = b"\n".join(new)
-                texts.append(joined_text.decode() if text is not None else None)
-                lines.append(len(old))
-                dropped.append(len(old) - len(new))
-                digest.append(hashlib.sha256(joined_text).hexdigest())
-            cols = [*batch.columns[:-1], pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest, pa.string())]
-            cols[at] = pa.array(texts, pa.string())
-            yield pa.record_batch(cols, [*batch.schema.names[:-1], "n_lines", "n_dropped", "kept_sha256"])
-
-    out = kept.schema.add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
-    return joined.mapInArrow(rewrite, out)
+            bad = [{(d["low"], d["high"]) for d in drop or ()} for drop in batch.column(batch.num_columns - 1).to_pylist()]
+            yield rewritten(batch, lambda low, high, row, bad=bad: np.array([(a, b) in bad[i] for a, b, i in zip(low.tolist(), high.tolist(), row.tolist(), strict=True)], bool))
+
+    return joined.mapInArrow(by_documents, out)

@@ -17,11 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import slices
+from driftlens.llm.common import release, slices
 
 BITS = 22
 #: Most labelled rows that training reads; those of the least hashes of doc_id.
 SAMPLE = 12_000
+#: Most bytes of text that training reads; rows beyond them don't count.
+SAMPLE_BYTES = 64_000_000
 EPOCHS = 5
 #: Texts of the sample that must hold a feature; rarer ones are left out of training.
 INCLUDE = 3
@@ -78,9 +80,9 @@ class Model:
         return np.round(1 / (1 + np.exp(-z)), 9)
 
 
-def train(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: float = 8.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.0, epochs: int = EPOCHS) -> Model:
-    """FTRL-proximal over ``rows``, each the feature hashes of a text; the bias has no penalty."""
-    z, n = np.zeros(1 << bits), np.zeros(1 << bits)
+def train(rows: list[np.ndarray], labels: list[int], slots: int, alpha: float = 8.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.0, epochs: int = EPOCHS) -> Model:
+    """FTRL-proximal over ``rows``, each the distinct features of a text, below ``slots``; the bias has no penalty."""
+    z, n = np.zeros(slots), np.zeros(slots)
     zb = nb = 0.0
     order = np.random.default_rng(0)
     for _ in range(epochs):
@@ -96,22 +98,30 @@ def train(rows: list[np.ndarray], labels: list[int], bits: int = BITS, alpha: fl
             nb += g * g
     w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
     at = np.flatnonzero(w)
-    return Model(at, w[at], -zb / ((beta + nb**0.5) / alpha + l2), bits)
+    return Model(at, w[at], -zb / ((beta + nb**0.5) / alpha + l2))
 
 
 def held_out(doc_id: F.Column) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model of ``labels`` (doc_id, toxic), from rows that aren't held out.
 
-    At most ``sample`` rows are read, those whose hashed doc_id is least.  Null ids, null
+    At most ``sample`` rows are read, those whose hashed doc_id is least, and of those so
+    many as come to at most ``sample_bytes``, a longer text being passed over.  Null ids, null
     labels and repeated labels of an id beyond the largest don't count.  With no labelled
     row the model scores 0.5 less than that: no text is predicted toxic.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    size = F.sum(F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("size")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), size).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    taken, room = [], sample_bytes
+    for size in chosen.column("size").to_pylist():
+        taken.append(size <= room)
+        room -= size if taken[-1] else 0
+    chosen = docs.sparkSession.createDataFrame(chosen.filter(pa.array(taken, pa.bool_())).select(["doc_id", "toxic"]))
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def hashed(batches):
@@ -121,13 +131,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BI
             yield pa.record_batch([part.column(0), part.column(1), pa.array(raw, pa.binary())], ["doc_id", "toxic", "x"])
 
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(hashed, "doc_id long, toxic int, x binary").toArrow()
-    rows = rows.sort_by("doc_id")
     if not rows.num_rows:
         return Model(np.zeros(0, np.int64), np.zeros(0), -1.0, bits)
-    flat = np.concatenate([np.frombuffer(v, np.int32) for v in rows.column("x").to_pylist()])
-    often = np.bincount(flat, minlength=1 << bits) >= INCLUDE
-    x = [v[often[v]] for v in (np.frombuffer(v, np.int32) for v in rows.column("x").to_pylist())]
-    return train(x, rows.column("toxic").to_pylist(), bits)
+    order, labels_of = pc.sort_indices(rows.column("doc_id")).to_pylist(), rows.column("toxic").to_pylist()
+    each = [np.frombuffer(v.as_buffer(), np.int32) for v in rows.column("x")]  # views, not copies
+    often = np.zeros(1 << bits, np.uint8)
+    for v in each:
+        often[v] = np.minimum(often[v] + 1, INCLUDE)  # distinct within a text
+    used = np.flatnonzero(often >= INCLUDE)
+    place = np.full(1 << bits, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    x = [place[v] for v in each]
+    x = [x[i][x[i] >= 0] for i in order]
+    model = train(x, [labels_of[i] for i in order], len(used))
+    del rows, each, x, place, often
+    release()
+    return Model(used[model.index], model.weight, model.bias, bits)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -134,20 +134,65 @@ def lines_by_hand(docs, min_docs):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bits", [64, 1 << 20])
-def test_line_dedup(spark, odd, empty, bits):
+@pytest.mark.parametrize(("bits", "most"), [(64, 1000), (1 << 20, 1000), (None, 0)])
+def test_line_dedup(spark, odd, empty, bits, most):
     from driftlens.llm.lines import dedup_lines
 
     rng = np.random.default_rng(3)
     pool = ["Header Line", " header line\t", "É x", "", "common", "foo bar"] + [f"line {k}" for k in range(40)]
     docs = [(i, "\n".join(rng.choice(pool, rng.integers(0, 9)))) for i in range(60)] + [(60, None), (61, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = dedup_lines(df, min_docs=4, bits=bits).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
+    got = dedup_lines(df, min_docs=4, bits=bits, most_keys=most).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == lines_by_hand(docs, 4)
-    out = dedup_lines(odd, min_docs=2, bits=bits)
+    out = dedup_lines(odd, min_docs=2, bits=bits, most_keys=most)
     assert out.count() == len(ODD) and set(odd.columns) <= set(out.columns)
     assert {r.doc_id for r in out.where("n_dropped > 0").collect()} == {6}  # the repeated row
-    assert dedup_lines(empty, bits=bits).count() == 0
+    assert dedup_lines(empty, bits=bits, most_keys=most).count() == 0
+    again = [(7, "same"), (7, "same"), (7, "same\nother")]  # each row is a document
+    assert [r.n_dropped for r in dedup_lines(spark.createDataFrame(again, "doc_id long, text string"), min_docs=3, bits=bits, most_keys=most).collect()] == [1, 1, 1]
+
+
+def test_ftrl_against_plain_python():
+    """The rule coordinate by coordinate, with no arrays."""
+    from driftlens.llm.toxicity import train
+
+    rng = np.random.default_rng(11)
+    rows = [np.unique(rng.integers(0, 30, rng.integers(0, 9))) for _ in range(40)]
+    labels = [int(3 in r.tolist()) for r in rows]
+    alpha, beta, l1, l2, epochs = 2.0, 1.0, 0.2, 0.1, 3
+    z, n, order = [0.0] * 31, [0.0] * 31, np.random.default_rng(0)
+
+    def weight(i):
+        if i == 30:  # the bias has no L1 penalty
+            return -z[i] / ((beta + n[i] ** 0.5) / alpha + l2)
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for k in order.permutation(len(rows)).tolist():
+            active = [*rows[k].tolist(), 30]
+            w = {i: weight(i) for i in active}
+            p = 1 / (1 + np.exp(-sum(w.values())))
+            for i in active:
+                g = p - labels[k]
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    got = train(rows, labels, 30, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs)
+    dense = np.zeros(30)
+    dense[got.index] = got.weight
+    assert np.allclose(dense, [weight(i) for i in range(30)]) and np.isclose(got.bias, weight(30))
+    assert np.count_nonzero(dense) < 30 and dense[3] > 0
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """Texts that don't fit the sample's bytes are passed over; columns named like the outputs don't clash."""
+    from driftlens.llm.toxicity import fit, score
+
+    rows = [(i, ("vile nasty " if i % 2 else "plain kind ") + f"word{i % 7}", 1.0, 2) for i in range(200)] + [(500, "vile " * 100_000, 0.5, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted int")
+    known = spark.createDataFrame([(r[0], int(r[0] % 2)) for r in rows], "doc_id long, toxic int")
+    model = fit(docs, known, sample_bytes=4000)
+    got = {r.doc_id: r.predicted for r in score(docs, model).collect()}
+    assert all(got[i] == i % 2 for i in range(200))
 
 
 def test_toxicity(spark, odd, empty):
