@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from driftlens.config import MIN_EXPECTED, MIN_REPEATS, TRACKED_SOURCES, TRACKED_VALUES
 from driftlens.functions.masks import is_placeholder, is_wildcard
 from driftlens.functions.scoring import count_g_test, score_template, total
+from driftlens.operators.joins import lookup
+from driftlens.operators.lineage import durable
 from driftlens.operators.mining import Mined
 
 
@@ -23,16 +25,18 @@ def counted(mined: Mined, n: int) -> DataFrame:
     One aggregation with partial sums; run ``n`` is the target.
     """
     at = F.struct("line_no", "raw")
-    target, base = F.col("run_idx") == n, F.col("run_idx") == 0
-    per = mined.assigned.groupBy("cid").agg(
-        *[F.count_if(F.col("run_idx") == i).alias(f"c{i}") for i in range(n)],
-        F.count_if(target).alias("tc"),
+    target, base, key = F.col("run_idx") == n, F.col("run_idx") == 0, ["first_run", "first_line"]
+    per = mined.groups.groupBy(*key).agg(
+        *[F.coalesce(F.sum(F.when(F.col("run_idx") == i, F.col("n"))), F.lit(0)).alias(f"c{i}") for i in range(n)],
+        F.coalesce(F.sum(F.when(target, F.col("n"))), F.lit(0)).alias("tc"),
         F.min(F.when(target, at)).alias("first_target"),
         F.min(F.when(base, at)).alias("first_base"),
-        F.max(F.when(base, F.col("line_no"))).alias("last_base"),
+        F.max(F.when(base, F.col("last_line"))).alias("last_base"),
         F.min(F.when(F.col("run_idx") < n, F.struct("run_idx", "line_no", "raw"))).alias("first_any"),
+        F.count("*").alias("groups"),
     )
-    return mined.clusters.select("cid", "template", "template_tokens").join(per, "cid")
+    named = mined.clusters.select("cid", "template", "template_tokens", "first_run", F.col("first_line_no").alias("first_line"))
+    return named.join(per, key)
 
 
 def findings(counts: DataFrame, totals: list[int], n: int, significance: float) -> DataFrame:
@@ -41,7 +45,7 @@ def findings(counts: DataFrame, totals: list[int], n: int, significance: float)
     b_sum, b_total, t_total = total(cs), sum(totals[:n]), totals[n]
     if n == 0:
         kind = F.when(F.col("tc") > 0, "new")
-        score = F.lit(0.0) if False else score_template([], [], F.col("tc"), t_total)
+        score = score_template([], [], F.col("tc"), t_total)
         direction = F.lit("up")
     else:
         score = score_template(cs, totals[:n], F.col("tc"), t_total)
@@ -83,13 +87,15 @@ def tracked(mined: Mined, counts: DataFrame, n: int) -> DataFrame:
     up with partial sums, so a frequent template costs its distinct values.
     """
     both = counts.where((F.col("tc") > 0) & (total([F.col(f"c{i}") for i in range(n)]) > 0))
-    wild = both.select("cid", F.expr("filter(sequence(0, size(template_tokens) - 1), i -> size(template_tokens) > 0)").alias("all"), "template_tokens")
-    wild = wild.select("cid", F.filter("all", lambda i: is_wildcard(F.get("template_tokens", i))).alias("at")).where(F.size("at") > 0)
-    rows = mined.assigned.join(wild, "cid").select("run_idx", "cid", "line_no", "raw", F.explode(F.transform("at", lambda i: F.struct(i.alias("pos"), F.get("tokens", i).alias("value")))).alias("x"))
+    key = ["first_run", "first_line"]
+    wild = both.select(*key, "cid", F.expr("filter(sequence(0, size(template_tokens) - 1), i -> size(template_tokens) > 0)").alias("all"), "template_tokens", F.col("groups").alias("_n"))
+    wild = wild.select(*key, "cid", "_n", F.filter("all", lambda i: is_wildcard(F.get("template_tokens", i))).alias("at")).where(F.size("at") > 0)
+    rows = lookup(mined.groups, durable(wild), key, mined.groups.count()).where("cid IS NOT NULL")
+    rows = rows.select("run_idx", "cid", "line_no", "raw", F.col("n").alias("lines"), F.explode(F.transform("at", lambda i: F.struct(i.alias("pos"), F.get("tokens", i).alias("value")))).alias("x"))
     v = F.col("x.value")
     rows = rows.where(~is_placeholder(v) & (~_identifier(v) | _source(v)))
     return rows.groupBy(_identifier(v).alias("source"), "run_idx", "cid", F.col("x.pos").alias("pos"), v.alias("value")).agg(
-        F.count("*").alias("n"), F.min(F.struct("line_no", "raw")).alias("first")
+        F.sum("lines").alias("n"), F.min(F.struct("line_no", "raw")).alias("first")
     )
 
 

@@ -1,8 +1,13 @@
-"""Template mining as an ordered fold over buckets.
+"""Template mining as an ordered fold over buckets of chunks.
 
 A line can only join a template of its own length, route word, keys and of its own kind
-(with words or without), so lines are dealt by those, put in order within a partition by
-Spark's sorter, and folded as a stream: a task holds templates, not lines.
+(with words or without), which makes its bucket.  Tasks mask and split lines where they are
+read and pack each stretch of successive lines into a few *chunk* rows, one a bucket: the
+distinct token lists, and which line has which as numbers.  Only chunks are shuffled, by
+bucket, and put in order by Spark's sorter.  The fold looks at a token list of a chunk once
+and then again only after a template has changed, and passes on runs of lines between those
+places as arrays; so lines that a third of a log has in common cost their bucket's task a
+few bytes each.
 """
 
 from __future__ import annotations
@@ -11,27 +16,67 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.config import THRESHOLD
 from driftlens.functions.text import ATTRIBUTE, WORD, attribute_key, is_wildcard, signature, tokenize
+from driftlens.operators.joins import lookup
 from driftlens.operators.lineage import durable
 
-
-def tokenized(lines: DataFrame, masks=()) -> DataFrame:
-    """``lines`` (run_idx, line_no, raw) with tokens and their bucket."""
+#: Lines of a chunk at most.
+CHUNK = 65_536
+_CHUNK = "bucket string, run_idx int, base long, tokens array<array<string>>, raws array<string>, codes binary, offsets binary"
+
+
+class _Stretch:
+    """Successive lines of a run on their way into chunks."""
+
+    def __init__(self, run: int, base: int):
+        self.run, self.base, self.n = run, base, 0
+        self.codes: dict[tuple, tuple[str, int]] = {}  # token list: its bucket and its number there
+        self.buckets: dict[str, tuple[list, list, list, list]] = {}  # token lists, first raw lines, numbers, offsets
+
+    def add(self, tokens: list[str], raw: str) -> None:
+        key = tuple(tokens)
+        known = self.codes.get(key)
+        if known is None:
+            bucket = bucket_of(tokens)
+            lists, raws, _, _ = self.buckets.setdefault(bucket, ([], [], [], []))
+            known = self.codes[key] = (bucket, len(lists))
+            lists.append(tokens)
+            raws.append(raw)
+        own = self.buckets[known[0]]
+        own[2].append(known[1])
+        own[3].append(self.n)
+        self.n += 1
+
+    def rows(self) -> pa.RecordBatch:
+        cols = list(zip(*((b, self.run, self.base, t, r, np.array(c, "<i4").tobytes(), np.array(o, "<i4").tobytes()) for b, (t, r, c, o) in self.buckets.items()), strict=True))
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.list_(pa.string())), pa.list_(pa.string()), pa.binary(), pa.binary()]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split(" ")[0] for f in _CHUNK.split(", ")])
+
+
+def chunks(lines: DataFrame, masks=(), size: int = CHUNK) -> DataFrame:
+    """``lines`` (run_idx, line_no, raw) as chunk rows; a chunk ends where the next row isn't the next line."""
     masks = tuple(masks)
 
     def run(batches):
+        now = None
         for b in batches:
-            tokens = [tokenize(r or "", masks) for r in b.column(2).to_pylist()]
-            yield pa.record_batch([*b.columns, pa.array(tokens, pa.list_(pa.string())), pa.array(map(bucket_of, tokens), pa.string())], ["run_idx", "line_no", "raw", "tokens", "bucket"])
+            for r, n, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now is None or now.n >= size or r != now.run or n != now.base + now.n:
+                    if now is not None:
+                        yield now.rows()
+                    now = _Stretch(r, n)
+                now.add(tokenize(raw, masks), raw)
+        if now is not None:
+            yield now.rows()
 
-    return lines.select(F.col("run_idx").cast("int"), F.col("line_no").cast("long"), F.col("raw").cast("string")).mapInArrow(
-        run, "run_idx int, line_no long, raw string, tokens array<string>, bucket string"
-    )
+    own = lines.select(F.col("run_idx").cast("int"), F.col("line_no").cast("long"), F.coalesce(F.col("raw").cast("string"), F.lit("")).alias("raw"))
+    return own.mapInArrow(run, _CHUNK)
 
 
 def bucket_of(tokens: list[str]) -> str:
@@ -42,7 +87,7 @@ def bucket_of(tokens: list[str]) -> str:
 class Template:
     """A cluster on its way: what it shows, and the shapes that all its lines have had."""
 
-    def __init__(self, tokens: list[str], shapes: list[str], kinds: list[int], run: int, line: int, raw: str):
+    def __init__(self, tokens: list[str], shapes: list[str], kinds: list[int], run: int, line: int, raw: str | None):
         self.shown, self.shapes = list(tokens), list(shapes)
         self.words, self.attributes = kinds.count(WORD), kinds.count(ATTRIBUTE)
         self.run, self.line, self.raw, self.count = run, line, raw, 0
@@ -63,7 +108,6 @@ class Template:
 
     def take(self, tokens: list[str], shapes: list[str]) -> bool:
         """Generalise by one more line; whether its shapes have changed."""
-        self.count += 1
         if self.pick(tokens) != self.literal:
             for i in self.at:
                 if tokens[i] != self.shown[i]:
@@ -84,37 +128,77 @@ class Bucket:
     def __init__(self, threshold: float):
         self.threshold, self.templates, self.known = threshold, [], {}
 
-    def best(self, shapes, kinds) -> Template | None:
+    def best(self, shapes, kinds) -> int | None:
         found, score = None, 0.0
-        for t in self.templates:
+        for k, t in enumerate(self.templates):
             s = t.similarity(shapes, kinds)
             if s >= self.threshold and s > score:
-                found, score = t, s
+                found, score = k, s
         return found
 
-    def add(self, tokens: list[str], run: int, line: int, raw: str) -> Template:
+    def add(self, tokens: list[str], run: int, line: int, raw: str | None) -> tuple[int, bool]:
+        """(number of the template that takes the line, whether answers given before no longer hold)."""
         shapes, _, kinds, _ = signature(tokens)
-        key = tuple(shapes)
-        t = self.known.get(key)
-        if t is None:
-            t = self.best(shapes, kinds)
-            if t is None:
-                t = Template(tokens, shapes, kinds, run, line, raw)
-                self.templates.append(t)
-                self.known.clear()
-        if t.take(tokens, shapes):
+        key, changed = tuple(shapes), False
+        k = self.known.get(key)
+        if k is None:
+            k = self.best(shapes, kinds)
+            if k is None:
+                k = len(self.templates)
+                self.templates.append(Template(tokens, shapes, kinds, run, line, raw))
+                changed = True
+        changed |= self.templates[k].take(tokens, shapes)
+        if changed:
             self.known.clear()
-        self.known[key] = t
-        return t
-
-
-_OUT = "run_idx int, line_no long, raw string, tokens array<string>, first_run int, first_line long, count long, bucket string, shapes array<string>, words int, attributes int"
-
-
-def _fold(threshold: float):
-    names = [f.strip().split(" ")[0] for f in _OUT.split(",")]
+        self.known[key] = k
+        return k, changed
+
+    def fold(self, run: int, base: int, lists: list[list[str]], raws: list[str], codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The template's number of each line of a chunk."""
+        place, met = np.full(len(lists), -1, np.int32), np.zeros(len(lists), bool)
+        out, at, step = np.empty(len(codes), np.int32), 0, 256
+        while at < len(codes):
+            part = place[codes[at : at + step]]
+            open_ = np.flatnonzero(part < 0)
+            stop = int(open_[0]) if len(open_) else len(part)
+            out[at : at + stop] = part[:stop]
+            at += stop
+            step = min(step * 4, CHUNK)
+            if len(open_):
+                c = codes[at]
+                # the raw line is at hand for the first of equal ones alone
+                k, changed = self.add(lists[c], run, base + int(offsets[at]), None if met[c] else raws[c])
+                if changed:
+                    place[:] = -1
+                met[c], place[c], out[at] = True, k, k
+                at, step = at + 1, 256
+        for k, n in enumerate(np.bincount(out, minlength=len(self.templates)).tolist()):
+            self.templates[k].count += n
+        return out
+
+
+_OUT = "run_idx int, line_no long, last_line long, n long, raw string, tokens array<string>, offsets array<int>, first_run int, first_line long, bucket string, shapes array<string>, words int, attributes int"
+
+
+def _groups(run: int, base: int, lists, raws, codes, offsets, out, templates) -> Iterator[tuple]:
+    """Rows of a chunk: the lines of the same tokens that the same template took."""
+    both = codes.astype(np.int64) * len(templates) + out
+    order = np.argsort(both, kind="stable")
+    cuts = [0, *(np.flatnonzero(np.diff(both[order])) + 1).tolist(), len(order)]
+    first = {}
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        c = int(codes[order[a]])
+        first[c] = min(first.get(c, len(codes)), int(order[a]))
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        c, t, own = int(codes[order[a]]), templates[out[order[a]]], offsets[order[a:b]]
+        raw = raws[c] if first[c] == order[a] else None
+        yield run, base + int(own[0]), base + int(own[-1]), b - a, raw, lists[c], own - own[0], t.run, t.line, None, None, None, None
+
+
+def _fold(threshold: float, groups: bool):
+    names = [f.split(" ")[0] for f in _OUT.split(", ")]
     text, texts, number, small = pa.string(), pa.list_(pa.string()), pa.int64(), pa.int32()
-    kinds = [small, number, text, texts, small, number, number, text, texts, small, small]
+    kinds = [small, number, number, number, text, texts, pa.list_(small), small, number, text, texts, small, small]
 
     def batch(rows):
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -123,49 +207,82 @@ def _fold(threshold: float):
         name, now = None, None
 
         def closed():
-            return [(None, None, t.raw, t.shown, t.run, t.line, t.count, name, t.shapes, t.words, t.attributes) for t in now.templates] if now else []
+            return [(None, None, None, t.count, t.raw, t.shown, None, t.run, t.line, name, t.shapes, t.words, t.attributes) for t in now.templates] if now else []
 
         for b in batches:
-            rows = []
-            for r, n, raw, tokens, bucket in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if bucket != name:
-                    rows += closed()
-                    name, now = bucket, Bucket(threshold)
-                t = now.add(tokens, r, n, raw)
-                rows.append((r, n, raw, tokens, t.run, t.line, None, None, None, None, None))
-            if rows:
-                yield batch(rows)
+            for bucket, r, base, lists, raws, codes, offsets in zip(*(iter(c) for c in b.columns), strict=True):
+                if bucket.as_py() != name:
+                    if rows := closed():
+                        yield batch(rows)
+                    name, now = bucket.as_py(), Bucket(threshold)
+                chunk = r.as_py(), base.as_py(), lists.as_py(), raws.as_py(), np.frombuffer(codes.as_buffer(), "<i4"), np.frombuffer(offsets.as_buffer(), "<i4")
+                out = now.fold(*chunk)
+                if groups:
+                    yield batch(_groups(*chunk, out, now.templates))
         if rows := closed():
             yield batch(rows)
 
     return run
 
 
+def _with_raw(out: DataFrame, lines: DataFrame) -> DataFrame:
+    """Raw lines filled in where a chunk didn't have them, which takes a template that changed between equal lines."""
+    if out.where("raw IS NULL").isEmpty():
+        return out
+    own = lines.select(F.col("run_idx").cast("int").alias("_run"), F.col("line_no").cast("long").alias("_line"), F.coalesce(F.col("raw").cast("string"), F.lit("")).alias("raw"))
+    at = (F.coalesce("run_idx", "first_run") == F.col("_run")) & (F.coalesce("line_no", "first_line") == F.col("_line"))
+    filled = out.where("raw IS NULL").drop("raw").join(own, at).select(*out.columns)
+    return durable(out.where("raw IS NOT NULL").unionByName(filled))
+
+
 @dataclass
 class Mined:
-    """``assigned``: every line with its cid.  ``clusters``: every template; cids count in the order of first lines."""
+    """``groups``: lines of a chunk with the same tokens and template (first_run, first_line).
+    ``clusters``: every template; cids count in the order of first lines."""
 
-    assigned: DataFrame
+    groups: DataFrame
     clusters: DataFrame
 
+    @property
+    def assigned(self) -> DataFrame:
+        """Every line (run_idx, line_no, tokens) with its cid."""
+        return self.with_cid().select("run_idx", F.explode("offsets").alias("at"), "line_no", "tokens", "cid").select("run_idx", (F.col("line_no") + F.col("at")).alias("line_no"), "tokens", "cid")
 
-def mine(lines: DataFrame, threshold: float = THRESHOLD, masks=()) -> Mined:
-    """Mine templates from ``lines`` (run_idx, line_no, raw) in the order of (run_idx, line_no)."""
-    at = tokenized(lines, masks)
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = at.repartition(parts, "bucket").sortWithinPartitions("bucket", "run_idx", "line_no")
-    out = durable(dealt.mapInArrow(_fold(threshold), _OUT))
-    clusters = out.where("line_no IS NULL").select(
+    def with_cid(self) -> DataFrame:
+        """``groups`` with their cid; a template that very many groups have is looked up by broadcast."""
+        key = ["first_run", "first_line"]
+        sizes = self.groups.groupBy(*key).agg(F.count("*").alias("_n"))
+        ids = self.clusters.select("cid", "first_run", F.col("first_line_no").alias("first_line")).join(sizes, key)
+        return lookup(self.groups, durable(ids), key, self.groups.count())
+
+
+def _mined(lines: DataFrame, threshold: float, masks, groups: bool, size: int) -> DataFrame:
+    packed = chunks(lines, masks, size)
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket", "run_idx", "base")
+    return _with_raw(durable(dealt.mapInArrow(_fold(threshold, groups), _OUT)), lines)
+
+
+def _clusters(out: DataFrame) -> DataFrame:
+    return out.where("line_no IS NULL").select(
         (F.row_number().over(Window.orderBy("first_run", "first_line")) - 1).cast("long").alias("cid"),
-        F.col("tokens").alias("template_tokens"), F.array_join("tokens", " ").alias("template"), "count",
+        F.col("tokens").alias("template_tokens"), F.array_join("tokens", " ").alias("template"), F.col("n").alias("count"),
         F.col("first_run"), F.col("first_line").alias("first_line_no"), F.col("raw").alias("first_raw"), "bucket", "shapes", "words", "attributes",
     )  # the window sees one row a template
-    ids = clusters.select("cid", "first_run", F.col("first_line_no").alias("first_line"))
-    assigned = out.where("line_no IS NOT NULL").join(ids, ["first_run", "first_line"]).select("run_idx", "line_no", "raw", "tokens", "cid")
-    return Mined(assigned, clusters)
+
+
+def mine(lines: DataFrame, threshold: float = THRESHOLD, masks=(), size: int = CHUNK) -> Mined:
+    """Mine templates from ``lines`` (run_idx, line_no, raw) in the order of (run_idx, line_no)."""
+    out = _mined(lines, threshold, masks, True, size)
+    groups = out.where("line_no IS NOT NULL").select("run_idx", "line_no", "last_line", "n", "raw", "tokens", "offsets", "first_run", "first_line")
+    return Mined(groups, _clusters(out))
+
+
+def clusters(lines: DataFrame, threshold: float = THRESHOLD, masks=(), size: int = CHUNK) -> DataFrame:
+    """The templates of ``mine`` alone."""
+    return _clusters(_mined(lines, threshold, masks, False, size))
 
 
 def templates(lines: DataFrame, n: int | None = 20, threshold: float = THRESHOLD, masks=()) -> DataFrame:
     """The most frequent templates, the older first of equals; all in cid order where ``n`` is None."""
-    c = mine(lines, threshold, masks).clusters.select("cid", "template", "count", "first_line_no", "first_raw")
+    c = clusters(lines, threshold, masks).select("cid", "template", "count", "first_line_no", "first_raw")
     return c.orderBy("cid") if n is None else c.orderBy(F.desc("count"), "cid").limit(n)

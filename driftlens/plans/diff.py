@@ -11,6 +11,7 @@ from driftlens.config import DiffOptions
 from driftlens.operators import blocks as B
 from driftlens.operators import compare as C
 from driftlens.operators import fields as W
+from driftlens.operators.joins import lookup
 from driftlens.operators.lineage import durable
 from driftlens.operators.mining import Mined, mine
 from driftlens.sources.lines import runs
@@ -89,8 +90,10 @@ def diff(lines: DataFrame, n: int, options: DiffOptions = DiffOptions()) -> Diff
     found = durable(C.ordered(found))
     made = spark.createDataFrame([], BLOCK)
     if options.group:
-        new_cids = counts.where(F.lit(n == 0) | (F.col("first_any").isNull())).select("cid")
-        new_lines = mined.assigned.where(F.col("run_idx") == n).join(new_cids, "cid", "left_semi").select("line_no", "cid")
+        fresh = counts.where(F.lit(n == 0) | (F.col("first_any").isNull())).select("first_run", "first_line", "cid", F.col("groups").alias("_n"))
+        groups = mined.groups.where(F.col("run_idx") == n)
+        new_lines = lookup(groups, fresh, ["first_run", "first_line"], groups.count()).where("cid IS NOT NULL")
+        new_lines = new_lines.select("line_no", "cid", F.explode("offsets").alias("at")).select((F.col("line_no") + F.col("at")).alias("line_no"), "cid")
         gone = B.gone_blocks(B.gone_chains(B.gone_extents(found)))
         made = durable(B.assembled(found, B.new_blocks(durable(B.new_runs(new_lines))), gone))
     of = made.select("block", F.explode("findings").alias("index"))

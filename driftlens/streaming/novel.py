@@ -13,12 +13,12 @@ from pyspark.sql import types as T
 
 from driftlens.config import THRESHOLD
 from driftlens.functions.text import signature, tokenize
-from driftlens.operators.mining import bucket_of, mine
+from driftlens.operators.mining import bucket_of, clusters
 
 
 def model(baselines: DataFrame, threshold: float = THRESHOLD, masks=()) -> DataFrame:
     """The templates of ``baselines`` as rows to match against: one row a bucket."""
-    c = mine(baselines, threshold, masks).clusters
+    c = clusters(baselines, threshold, masks)
     return c.groupBy("bucket").agg(F.collect_list(F.struct("shapes", "words", "attributes")).alias("templates"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from driftlens.config import CustomMask, DiffOptions, check_stdin, pointers
 from driftlens.functions.text import mask_line, signature, tokenize
 from driftlens.operators import blocks as B
-from driftlens.operators.mining import mine, templates
+from driftlens.operators.mining import chunks, mine, templates
 from driftlens.plans.diff import diff, diff_runs
 from driftlens.sources.lines import from_lines, gunzip_bounded, read_any, read_lines
 
@@ -58,6 +58,23 @@ def test_mining_equals_the_plain_fold(spark, seed):
     assert [g.cid for g in got] == in_order(texts)
 
 
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_one_bucket_over_many_chunks(spark, size):
+    """Templates change between equal lines of a chunk; lines are read by many tasks, and one folds."""
+    r = random.Random(size)
+    texts = [f"go {r.choice('abcd')} {r.choice('abc')} {r.choice('ab')} {r.choice('a')}" for _ in range(300)]
+    df = lines(spark, texts).repartitionByRange(7, "line_no").sortWithinPartitions("line_no")
+    got = mine(df, 0.8, size=size)
+    ids = in_order(texts, 0.8)
+    assert [g.cid for g in got.assigned.orderBy("line_no").collect()] == ids
+    assert chunks(df, size=size).count() == sum(-(-n // size) for n in df.rdd.glom().map(len).collect())
+    firsts = {c: texts[ids.index(c)] for c in set(ids)}
+    assert {c.cid: c.first_raw for c in got.clusters.collect()} == firsts
+    assert {c.cid: c["count"] for c in got.clusters.collect()} == {c: ids.count(c) for c in firsts}
+    for g in got.groups.collect():
+        assert g.raw == texts[g.line_no - 1] and g.n == len(g.offsets) and g.last_line == g.line_no + g.offsets[-1]
+
+
 def test_template_text(spark):
     rows = ["user alice logged in level=info", "user bob logged in level=info", "user carol logged in level=warn", "", ""]
     got = {r.cid: (r.template, r["count"]) for r in templates(lines(spark, rows), None).collect()}
