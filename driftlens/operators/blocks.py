@@ -51,10 +51,20 @@ def gone_extents(found: DataFrame) -> DataFrame:
 
 
 def gone_chains(extents: DataFrame) -> DataFrame:
-    """Extents with their chain: the next begins within ``BLOCK_GAP`` lines of all before it."""
-    w = Window.orderBy("first", "cid")  # a row a gone template
-    reach = extents.withColumn("reach", F.max("covered").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return reach.withColumn("chain", F.count_if(F.col("reach").isNull() | (F.col("first") > F.col("reach") + BLOCK_GAP + 1)).over(w)).drop("reach")
+    """Extents with their chain, numbered from 1: the next begins within ``BLOCK_GAP`` lines of all before it.
+
+    As in ``new_runs``, extents are gone through range by range, and of each range only how
+    far it reaches and how many chains begin in it meet the others.
+    """
+    part = extents.withColumn("part", F.floor(F.col("first") / SPAN))
+    w, ranges = Window.partitionBy("part").orderBy("first", "cid"), Window.orderBy("part")  # a row a range
+    before = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    reached = part.groupBy("part").agg(F.max("covered").alias("to")).select("part", F.max("to").over(before).alias("carried"))
+    own = part.join(reached, "part").withColumn("reach", F.greatest(F.max("covered").over(w.rowsBetween(Window.unboundedPreceding, -1)), "carried"))
+    own = own.withColumn("begins", (F.col("reach").isNull() | (F.col("first") > F.col("reach") + BLOCK_GAP + 1)).cast("long"))
+    begun = own.groupBy("part").agg(F.sum("begins").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begun"))
+    chain = F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("begun")
+    return own.join(begun, "part").select(*extents.columns, chain.alias("chain"))
 
 
 def joined_chains(chains: list[tuple[int, int, int]]) -> list[int]:

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.config import SIGNIFICANCE
 from driftlens.functions import masks as M
 from driftlens.functions import patterns as P
+from driftlens.functions import text as T
 from driftlens.functions.scoring import count_g_test, flakiness_penalty, g_test
 from driftlens.operators import blocks as B
 from driftlens.operators import compare as C
@@ -48,12 +50,7 @@ _RUN = "CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END"
 
 def _numbered(events: DataFrame) -> DataFrame:
     """run_idx, line_no and raw of events (run_idx, event_id, raw), lines in the order of ids."""
-    out = None
-    for r in range(3):
-        own = events.where(F.col("run_idx") == r).select("raw", F.floor(F.col("event_id") / 65536).alias("_split"), F.col("event_id").alias("_place"))
-        part = numbered(own, r)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return numbered(events.select("run_idx", "raw", F.floor(F.col("event_id") / 65536).alias("_split"), F.col("event_id").alias("_place")))
 
 
 def plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,11 +228,13 @@ def gone_values(spark, sf_dir):
 
 # ---------------------------------------------------------------- blocks and context
 
-_NEW_SQL = "n AS (SELECT event_id + 1 AS line_no, event_id // 40 * 2 + event_id % 2 AS cid FROM events WHERE event_id % 20 IN (0, 1, 3) OR user_id % 10 = 0), g AS (SELECT *, line_no - lag(line_no) OVER (ORDER BY line_no) AS gap FROM n), r AS (SELECT line_no, cid, max(CASE WHEN gap IS NULL OR gap > 3 THEN line_no END) OVER (ORDER BY line_no) AS run FROM g)"
+#: Types whose lines count as new.
+_NEW_TYPES = "event_type IN ('signup', 'error')"
+_NEW_SQL = f"n AS (SELECT event_id + 1 AS line_no, event_id // 40 * 2 + event_id % 2 AS cid FROM events WHERE {_NEW_TYPES}), g AS (SELECT *, line_no - lag(line_no) OVER (ORDER BY line_no) AS gap FROM n), r AS (SELECT line_no, cid, max(CASE WHEN gap IS NULL OR gap > 3 THEN line_no END) OVER (ORDER BY line_no) AS run FROM g)"
 
 
-def _new_lines(spark, sf_dir, which="event_id % 20 IN (0, 1, 3) OR user_id % 10 = 0"):
-    e = _table(spark, sf_dir, "events").where(which)
+def _new_lines(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").where(_NEW_TYPES)
     return e.select((F.col("event_id") + 1).alias("line_no"), F.expr("event_id div 40 * 2 + event_id % 2").alias("cid"))
 
 
@@ -253,52 +252,30 @@ def new_blocks(spark, sf_dir):
     return B.new_blocks(B.new_runs(_new_lines(spark, sf_dir))).select("run", "first", "last", F.size("members").cast("long").alias("members"), "lines_elsewhere")
 
 
-#: Types whose lines are new in the ``_all`` queries, which read every event.
-_NEW_TYPES = "event_type IN ('signup', 'error')"
-_NEW_ALL_SQL = _NEW_SQL.replace("event_id % 20 IN (0, 1, 3) OR user_id % 10 = 0", _NEW_TYPES)
-
-
-@query("new_runs_all", ORACLES["new_runs"].replace(_NEW_SQL, _NEW_ALL_SQL))
-def new_runs_all(spark, sf_dir):
-    return B.new_runs(_new_lines(spark, sf_dir, _NEW_TYPES))
-
-
-@query("new_blocks_all", ORACLES["new_blocks"].replace(_NEW_SQL, _NEW_ALL_SQL))
-def new_blocks_all(spark, sf_dir):
-    return B.new_blocks(B.new_runs(_new_lines(spark, sf_dir, _NEW_TYPES))).select("run", "first", "last", F.size("members").cast("long").alias("members"), "lines_elsewhere")
-
-
 _EXTENTS = "event_id AS cid, event_id * 2 AS first, event_id * 2 + user_id % 7 AS last, 1 + user_id % 3 AS count"
 
 
-@query("gone_chains", f"""WITH e AS (SELECT {_EXTENTS} FROM events WHERE event_id % 3 = 0), c AS (SELECT *, CASE WHEN 2 * count >= last - first + 1 THEN last ELSE first END AS covered FROM e),
+@query("gone_chains", f"""WITH e AS (SELECT {_EXTENTS} FROM events), c AS (SELECT *, CASE WHEN 2 * count >= last - first + 1 THEN last ELSE first END AS covered FROM e),
     w AS (SELECT *, max(covered) OVER (ORDER BY first, cid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c)
     SELECT cid, first, last, covered, count(*) FILTER (WHERE reach IS NULL OR first > reach + 3) OVER (ORDER BY first, cid) AS chain FROM w""")
-def gone_chains(spark, sf_dir, which="event_id % 3 = 0"):
-    e = _table(spark, sf_dir, "events").where(which).selectExpr(*_EXTENTS.split(", "))
+def gone_chains(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").selectExpr(*_EXTENTS.split(", "))
     packed = 2 * F.col("count") >= F.col("last") - F.col("first") + 1
     e = e.withColumn("covered", F.when(packed, F.col("last")).otherwise(F.col("first")))
     return B.gone_chains(e).select("cid", "first", "last", "covered", "chain")
 
 
-@query("gone_chains_all", ORACLES["gone_chains"].replace(" WHERE event_id % 3 = 0", ""))
-def gone_chains_all(spark, sf_dir):
-    return gone_chains(spark, sf_dir, "true")
-
-
-@query("context_window", f"""WITH {_SQL_LINES}, t AS (SELECT line_no, event_type FROM l WHERE run_idx = 2), w AS (SELECT line_no FROM t WHERE event_type = 'purchase' AND line_no % 25 = 0)
+@query("context_window", f"""WITH {_SQL_LINES}, t AS (SELECT line_no, event_type FROM l WHERE run_idx = 2), w AS (SELECT line_no FROM t WHERE event_type = 'purchase')
     SELECT w.line_no, string_agg(t.line_no || ':' || t.event_type, ' ' ORDER BY t.line_no) FILTER (WHERE t.line_no < w.line_no) AS before, string_agg(t.line_no || ':' || t.event_type, ' ' ORDER BY t.line_no) FILTER (WHERE t.line_no > w.line_no) AS after
     FROM w JOIN t ON t.line_no BETWEEN w.line_no - 2 AND w.line_no + 2 GROUP BY w.line_no""")
-def context_window(spark, sf_dir, which="raw = 'purchase' AND line_no % 25 = 0"):
+def context_window(spark, sf_dir):
     t = changed_lines(spark, sf_dir).where("run_idx = 2").select("line_no", F.substring_index(F.substring_index("raw", " ", 2), " ", -1).alias("raw"))
-    wanted = t.where(which)
     shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["line_no"].cast("string"), F.lit(":"), x["raw"])), " ")
-    return B.context(t, wanted, 2).select("line_no", *[F.when(F.size(c) > 0, shown(c)).alias(c) for c in ("before", "after")])
+    return B.context(t, t.where("raw = 'purchase'"), 2).select("line_no", *[F.when(F.size(c) > 0, shown(c)).alias(c) for c in ("before", "after")])
 
 
-@query("context_window_all", ORACLES["context_window"].replace(" AND line_no % 25 = 0", ""))
-def context_window_all(spark, sf_dir):
-    return context_window(spark, sf_dir, "raw = 'purchase'")
+for _n in ("new_runs", "new_blocks", "gone_chains", "context_window"):  # their names from when the others took a sample
+    query(f"{_n}_all", ORACLES[_n])(QUERIES[_n])
 
 
 # ---------------------------------------------------------------- fields
@@ -418,69 +395,57 @@ SAMPLES = {
     "number": "1234 500 99999",
 }
 
+#: What stands before every line in ``masked`` and ``enveloped``, by column.
+PROGRESS_SAMPLE = "....F [ 12%] "
+ENVELOPES = {
+    "cri": ("2024-01-15T10:23:45Z stderr F ", M.cri),
+    "journald": ("Jan 15 10:23:45 host sshd[123]: ", M.journald),
+    "timestamp": ("2024-01-15T10:23:45.1234567Z - ", M.strip_leading_timestamp),
+}
+
+# DuckDB's \b, \d and \s know ASCII alone.  Letters and numbers beyond it get an underscore on
+# either side for the time of the masking, so that \b takes them for what they are (the micro
+# sign, which is a unit, does not); \s is spelt out.
+_SQL_SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SQL_WIDE = r"[^\x00-\x7f\x{b5}\PL]|[^\x00-\x7f\PN]"
 _HEX_RE2 = "|".join([rf"\b[0-9]{{{k}}}[a-fA-F][0-9a-fA-F]{{{6 - k},}}\b" for k in range(6)] + [r"\b[0-9]{6,}[a-fA-F][0-9a-fA-F]*\b"])
-_ASCII = "line = regexp_replace(line, '[^ -~]', '', 'g')"
 
 
-def _mask_query(name: str):
+def _sql_masked(name: str, text: str) -> str:
     pattern, to = next((p, t) for n, p, t in P.SIMPLE if n == name)
-    pattern = _HEX_RE2 if name == "hex_id" else pattern
-    sample = SAMPLES[name]
-
-    # the pattern dialects agree on ASCII lines
-    @query(f"mask_{name}", f"""WITH {_DOC_LINES} SELECT doc_id, i, regexp_replace('{sample} ' || line, '{pattern.replace("'", "''")}', '{to}', 'g') AS masked FROM d WHERE {_ASCII}""")
-    def run(spark, sf_dir):
-        lines = _document_lines(spark, sf_dir).where(F.col("line").rlike(r"\A[ -~]*\z"))
-        return lines.select("doc_id", F.col("i").cast("long").alias("i"), M.MASKERS[name](F.concat(F.lit(sample + " "), "line")).alias("masked"))
-
-
-for _n in SAMPLES:
-    _mask_query(_n)
-
-
-@query("mask_url", """WITH u AS (SELECT page_id, replace(url, '://', '://me:pw@') AS url FROM pages), s AS (SELECT page_id, split_part(url, '://', 1) AS scheme, substr(url, strpos(url, '://') + 3) AS rest FROM u),
-    p AS (SELECT *, split_part(rest, '?', 1) AS before, strpos(rest, '?') AS q FROM s), h AS (SELECT *, split_part(before, '/', 1) AS host, string_split(before, '/')[2:] AS segments FROM p)
-    SELECT page_id, 'see ' || scheme || '://<CRED>@' || split_part(host, '@', 2) || CASE WHEN len(segments) > 0 THEN '/' || array_to_string(list_transform(segments, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') AND regexp_matches(x, '^1[0-9]{9}([0-9]{3})?$') THEN '<TS>' WHEN regexp_full_match(x, '[0-9]+') OR (regexp_full_match(x, '[0-9a-fA-F]{6,}') AND regexp_matches(x, '[a-fA-F]')) THEN '<ID>' ELSE x END), '/') ELSE '' END
-           || CASE WHEN q > 0 AND q < length(rest) THEN '?<QUERY>' ELSE '' END || ' now' AS masked FROM h""")
-def mask_url(spark, sf_dir):
-    url = F.replace(F.col("url"), F.lit("://"), F.lit("://me:pw@"))
-    return _table(spark, sf_dir, "pages").select("page_id", M.mask_urls(F.concat(F.lit("see "), url, F.lit(" now"))).alias("masked"))
-
-
-@query("mask_progress", f"WITH {_DOC_LINES} SELECT doc_id, i, '<PROGRESS!> [ <NUM>%] ' || length(line) % 10 || 'x' AS masked FROM d WHERE {_ASCII}")
-def mask_progress(spark, sf_dir):
-    lines = _document_lines(spark, sf_dir).where(F.col("line").rlike(r"\A[ -~]*\z"))
-    made = F.concat(F.repeat(F.lit("."), (F.length("line") % 7 + 4).cast("int")), F.lit("F [ "), (F.length("line") % 90).cast("string"), F.lit("%] "), (F.length("line") % 10).cast("string"), F.lit("x"))
-    return lines.select("doc_id", F.col("i").cast("long").alias("i"), M.mask_progress(made).alias("masked"))
-
-
-@query("envelope_cri", f"WITH {_DOC_LINES} SELECT doc_id, i, CASE WHEN i % 2 = 0 THEN 'stdout' ELSE 'stderr' END AS stream, ltrim(line, ' ') AS payload FROM d WHERE {_ASCII}")
-def envelope_cri(spark, sf_dir):
-    lines = _document_lines(spark, sf_dir).where(F.col("line").rlike(r"\A[ -~]*\z"))
-    c = M.cri(F.concat(F.lit("2024-01-15T10:23:45Z "), F.when(F.col("i") % 2 == 0, "stdout").otherwise("stderr"), F.lit(" F "), "line"))
-    return lines.select("doc_id", F.col("i").cast("long").alias("i"), c["stream"].alias("stream"), c["payload"].alias("payload"))
-
-
-@query("envelope_journald", f"WITH {_DOC_LINES} SELECT doc_id, i, 'sshd[<NUM>]' AS process, line AS payload FROM d WHERE {_ASCII}")
-def envelope_journald(spark, sf_dir):
-    lines = _document_lines(spark, sf_dir).where(F.col("line").rlike(r"\A[ -~]*\z"))
-    c = M.journald(F.concat(F.lit("Jan 15 10:23:45 host sshd["), F.col("doc_id").cast("string"), F.lit("]: "), "line"))
-    return lines.select("doc_id", F.col("i").cast("long").alias("i"), c["process"].alias("process"), c["payload"].alias("payload"))
+    pattern = (_HEX_RE2 if name == "hex_id" else pattern).replace(r"\s", f"[{_SQL_SPACE}]").replace("'", "''")
+    if name == "temp_path":  # no boundaries, and underscores are part of it
+        return f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+    if name == "email":  # underscores are part of it: neighbours are matched instead, each between two addresses standing twice
+        twice = rf"regexp_replace({text}, '([^\pL\pN_.%+@-])', '\1' || chr(4) || '\1', 'g')"
+        inner = pattern.removeprefix(r"\b[A-Za-z0-9._%+-]").removesuffix(r"\b")
+        found = rf"(^|[^\pL\pN_])([A-Za-z0-9_][A-Za-z0-9._%+-]*{inner.removeprefix('+')})($|[^\pL\pN_])"
+        return rf"regexp_replace(regexp_replace({twice}, '{found}', '\1{to}\3', 'g'), chr(4) || '.', '', 'gs')"
+    marked = rf"regexp_replace({text}, '({_SQL_WIDE})', '_' || chr(2) || '\1' || chr(2) || '_', 'g')"
+    return f"replace(replace(regexp_replace({marked}, '{pattern}', '{to}', 'g'), '_' || chr(2), ''), chr(2) || '_', '')"
+
+
+_SQL_PROGRESS = rf"""array_to_string(list_transform(regexp_extract_all('{PROGRESS_SAMPLE}' || line, '[^{_SQL_SPACE}]+|[{_SQL_SPACE}]+'), lambda w:
+    CASE WHEN regexp_full_match(w, '[.FEsSxX*URIfe]{{4,}}') AND length(w) - length(replace(w, '.', '')) >= 3 AND 2 * (length(w) - length(replace(w, '.', ''))) >= length(w)
+         THEN CASE WHEN regexp_matches(w, '[FE]') THEN '<PROGRESS!>' ELSE '<PROGRESS>' END
+         WHEN regexp_full_match(w, '[0-9%/\[\]()]+') THEN regexp_replace(w, '[0-9]+', '<NUM>', 'g') ELSE w END), '')"""
+_SQL_PAYLOADS = {
+    "cri": rf"SELECT doc_id, i, 'stderr' AS stream, regexp_replace(line, '^[{_SQL_SPACE}]+', '') AS payload FROM d",
+    "journald": "SELECT doc_id, i, 'sshd[<NUM>]' AS process, line AS payload FROM d",
+    "timestamp": r"SELECT doc_id, i, regexp_replace(line, '^[ \t:-]+', '') AS payload FROM d",
+}
 
 
-@query("envelope_timestamp", f"WITH {_DOC_LINES} SELECT doc_id, i, ltrim(line, ' :-') AS payload FROM d WHERE {_ASCII}")
-def envelope_timestamp(spark, sf_dir):
-    lines = _document_lines(spark, sf_dir).where(F.col("line").rlike(r"\A[ -~]*\z"))
-    return lines.select("doc_id", F.col("i").cast("long").alias("i"), M.strip_leading_timestamp(F.concat(F.lit("2024-01-15T10:23:45.1234567Z - "), "line")).alias("payload"))
+def _by_line(lines: DataFrame, f, schema: str) -> DataFrame:
+    """``f`` of every line, by the Python functions that mining applies."""
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
+    def run(batches):
+        for b in batches:
+            made = list(zip(*map(f, b.column(2).to_pylist()), strict=True)) or [()] * len(names)
+            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(c, pa.string()) for c in made)], ["doc_id", "i", *names])
 
-#: What stands before every line in ``masked`` and ``enveloped``, by column.
-PROGRESS_SAMPLE = "....F [ 12%] "
-ENVELOPES = {
-    "cri": ("2024-01-15T10:23:45Z stderr F ", M.cri),
-    "journald": ("Jan 15 10:23:45 host sshd[123]: ", M.journald),
-    "timestamp": ("2024-01-15T10:23:45.1234567Z - ", M.strip_leading_timestamp),
-}
+    return lines.select("doc_id", F.col("i").cast("long").alias("i"), "line").mapInArrow(run, f"doc_id long, i long, {schema}")
 
 
 def masked(lines: DataFrame) -> DataFrame:
@@ -498,18 +463,49 @@ def enveloped(lines: DataFrame) -> DataFrame:
     )
 
 
-def _whole_query(name: str, make, columns: list):
-    @query(name, None)
-    def run(spark, sf_dir):
-        return make(_document_lines(spark, sf_dir)).selectExpr("doc_id", "i", *columns)
+def _mask_queries(name: str, sample: str, sql: str) -> None:
+    """``mask_X`` by the function that mining applies, ``mask_X_all`` by the Column function; every line of every document."""
+    sql = f"WITH {_DOC_LINES} SELECT doc_id, i, {sql} AS masked FROM d"
+
+    @query(f"mask_{name}", sql)
+    def by_function(spark, sf_dir):
+        return _by_line(_document_lines(spark, sf_dir), lambda line: (T.mask_one(name, sample + line),), "masked string")
 
+    @query(f"mask_{name}_all", sql)
+    def by_column(spark, sf_dir):
+        return masked(_document_lines(spark, sf_dir)).select("doc_id", "i", F.col(name).alias("masked"))
 
-# every line of every document; DuckDB's patterns know ASCII alone, so these have no SQL, and the tests hold them to the Python maskers
-for _n in [*SAMPLES, "progress"]:
-    _whole_query(f"mask_{_n}_all", masked, [f"{_n} AS masked"])
-_whole_query("envelope_cri_all", enveloped, ["stream", "cri AS payload"])
-_whole_query("envelope_journald_all", enveloped, ["process", "journald AS payload"])
-_whole_query("envelope_timestamp_all", enveloped, ["timestamp AS payload"])
+
+def _envelope_queries(name: str, kept: str | None, sql: str) -> None:
+    head = ENVELOPES[name][0]
+
+    @query(f"envelope_{name}", f"WITH {_DOC_LINES} {sql}")
+    def by_function(spark, sf_dir):
+        def taken(line):
+            words, payload = T.envelope(head + line)
+            return (*words, payload)
+
+        return _by_line(_document_lines(spark, sf_dir), taken, f"{kept} string, payload string" if kept else "payload string")
+
+    @query(f"envelope_{name}_all", f"WITH {_DOC_LINES} {sql}")
+    def by_column(spark, sf_dir):
+        return enveloped(_document_lines(spark, sf_dir)).select("doc_id", "i", *([kept] if kept else []), F.col(name).alias("payload"))
+
+
+for _n, _s in SAMPLES.items():
+    _mask_queries(_n, _s + " ", _sql_masked(_n, f"('{_s} ' || line)"))
+_mask_queries("progress", PROGRESS_SAMPLE, _SQL_PROGRESS)
+for _n, _c in (("cri", "stream"), ("journald", "process"), ("timestamp", None)):
+    _envelope_queries(_n, _c, _SQL_PAYLOADS[_n])
+
+
+@query("mask_url", """WITH u AS (SELECT page_id, replace(url, '://', '://me:pw@') AS url FROM pages), s AS (SELECT page_id, split_part(url, '://', 1) AS scheme, substr(url, strpos(url, '://') + 3) AS rest FROM u),
+    p AS (SELECT *, split_part(rest, '?', 1) AS before, strpos(rest, '?') AS q FROM s), h AS (SELECT *, split_part(before, '/', 1) AS host, string_split(before, '/')[2:] AS segments FROM p)
+    SELECT page_id, 'see ' || scheme || '://<CRED>@' || split_part(host, '@', 2) || CASE WHEN len(segments) > 0 THEN '/' || array_to_string(list_transform(segments, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') AND regexp_matches(x, '^1[0-9]{9}([0-9]{3})?$') THEN '<TS>' WHEN regexp_full_match(x, '[0-9]+') OR (regexp_full_match(x, '[0-9a-fA-F]{6,}') AND regexp_matches(x, '[a-fA-F]')) THEN '<ID>' ELSE x END), '/') ELSE '' END
+           || CASE WHEN q > 0 AND q < length(rest) THEN '?<QUERY>' ELSE '' END || ' now' AS masked FROM h""")
+def mask_url(spark, sf_dir):
+    url = F.replace(F.col("url"), F.lit("://"), F.lit("://me:pw@"))
+    return _table(spark, sf_dir, "pages").select("page_id", M.mask_urls(F.concat(F.lit("see "), url, F.lit(" now"))).alias("masked"))
 
 
 # ---------------------------------------------------------------- whole comparisons, without SQL

@@ -20,13 +20,22 @@ HEAD = 256 * 1024
 def numbered(rows: DataFrame, run_idx: int = 0, order: tuple[str, ...] = ("_split", "_place")) -> DataFrame:
     """(run_idx, line_no, raw) of rows in ``order``: rows within a split are counted there, splits by running totals.
 
-    So no task sorts a whole run: only one row a split meets in one place.
+    So no task sorts a whole run: only one row a split meets in one place.  A column
+    ``run_idx`` of ``rows`` tells runs apart that are numbered each.
     """
     split, place = order
-    own = rows.withColumn("_own", F.row_number().over(Window.partitionBy(split).orderBy(place)))
-    sizes = rows.groupBy(split).count()
-    before = sizes.select(split, (F.sum("count").over(Window.orderBy(split)) - F.col("count")).alias("_before"))
-    return own.join(before, split).select(F.lit(run_idx).alias("run_idx"), (F.col("_own") + F.col("_before")).cast("long").alias("line_no"), "raw")
+    rows = rows if "run_idx" in rows.columns else rows.withColumn("run_idx", F.lit(run_idx))
+    own = rows.withColumn("_own", F.row_number().over(Window.partitionBy("run_idx", split).orderBy(place)))
+    sizes = rows.groupBy("run_idx", split).count()
+    before = sizes.select("run_idx", split, (F.sum("count").over(Window.partitionBy("run_idx").orderBy(split)) - F.col("count")).alias("_before"))
+    return own.join(before, ["run_idx", split]).select("run_idx", (F.col("_own") + F.col("_before")).cast("long").alias("line_no"), "raw")
+
+
+def numbered_in_place(rows: DataFrame, run_idx: int = 0) -> DataFrame:
+    """Like ``numbered`` for places that count up by one within a split: no line is shuffled or sorted for its number."""
+    sizes = rows.groupBy("_split").agg(F.count("*").alias("n"), F.min("_place").alias("_low"))
+    before = sizes.select("_split", (F.sum("n").over(Window.orderBy("_split")) - F.col("n") - F.col("_low") + 1).alias("_before"))  # a row a split
+    return rows.join(before, "_split").select(F.lit(run_idx).alias("run_idx"), (F.col("_place") + F.col("_before")).cast("long").alias("line_no"), "raw")
 
 
 def _cleaned(c):
@@ -45,7 +54,7 @@ def read_lines(spark: SparkSession, path: str, run_idx: int = 0, exact: bool = F
         F.monotonically_increasing_id().alias("_place"),
         _cleaned(F.validate_utf8("value") if exact else F.make_valid_utf8("value")).alias("raw"),
     )
-    return numbered(rows, run_idx)
+    return numbered_in_place(rows, run_idx)
 
 
 def first_bytes(spark: SparkSession, path: str, n: int = 2) -> list[bytes]:
@@ -112,7 +121,7 @@ def read_any(spark: SparkSession, path: str, run_idx: int = 0, exact: bool = Fal
                     yield pa.record_batch([pa.array([name] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.string())], ["_split", "_place", "raw"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return numbered(files.mapInArrow(run, "_split string, _place long, raw string"), run_idx)
+    return numbered_in_place(files.mapInArrow(run, "_split string, _place long, raw string"), run_idx)
 
 
 def from_lines(spark: SparkSession, lines, run_idx: int = 0) -> DataFrame:
