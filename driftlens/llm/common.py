@@ -13,10 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftlens.operators.joins import HEAVY, lookup
+
+__all__ = ["HEAVY", "components", "cut_lineage", "free_name", "into_blocks", "lookup", "release", "runs", "shared_folder", "sieve", "slices", "table"]
+
 #: Bytes of text that a Python task works on at once.
 SLICE_BYTES = 3_000_000
-#: Keys that hold more than one of this many rows are heavy; there are at most as many of them.
-HEAVY = 10_000
 #: Bits of the bitmap that ``sieve`` sends to all tasks.
 SIEVE_BITS = 1 << 26
 
@@ -46,24 +48,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
-def lookup(rows: DataFrame, found: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """``rows`` with the columns of ``found`` (one row a key); null where a key is null or not found.
-
-    ``found._n`` tells how many of ``rows``, ``total`` in all, have the key.  Keys with more
-    than one of ``HEAVY`` rows, so at most ``HEAVY`` keys, are broadcast, and only rows of
-    the others are shuffled: no task gets all rows of a heavy key.  Both are read several
-    times and should be cheap to read.
-    """
-    many = F.col("_n") > max(1, total // HEAVY)
-    heavy, few = F.broadcast(found.where(many).drop("_n")), found.where(~many).drop("_n")
-    known = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
-    whole = rows.where(known)
-    new = [c for c in few.columns if c not in keys]
-    alone = rows.where(f"NOT ({known})").select("*", *(F.lit(None).cast(few.schema[c].dataType).alias(c) for c in new))
-    light = whole.join(heavy.select(*keys), keys, "left_anti").join(few, keys, "left")
-    return whole.join(heavy, keys).select(*rows.columns, *new).unionByName(light.select(*rows.columns, *new)).unionByName(alone)
-
-
 def free_name(columns: list[str], name: str) -> str:
     """``name``, or it with as many underscores as keep it apart from ``columns``, whatever their case."""
     taken = {c.lower() for c in columns}

@@ -3,9 +3,9 @@
 A page becomes its sequence of text blocks.  Each block is a vector: hashed elements of its
 tag path (names, classes, ids), hashed words, and a few figures on length, links and marks.
 A bidirectional LSTM in numpy reads the sequence both ways and says of each block whether
-it belongs to the article.  It is trained here, on pages that ``made_page`` composes of
-invented words in many layouts, with every kind of boilerplate; seeds are fixed, so every
-session has the same model.
+it belongs to the article.  It was trained by ``trained`` on pages that ``made_page`` composes
+of invented words in many layouts, with every kind of boilerplate; seeds are fixed.  The
+weights are stored beside this module (``python -m driftlens.llm.html`` makes them again).
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,18 @@ WIDTH = PATH + WORDS + FIGURES
 HIDDEN = 20
 #: Pages composed for training, and passes over them.
 PAGES, PASSES, BATCH = 2000, 7, 32
+#: Blocks of a page that are labelled at once; pages of more go window by window.
+WINDOW = 8192
+WEIGHTS = Path(__file__).with_name("html_weights.npz")
 
 # Elements that end a block, that hold nothing to read, and that have no end tag.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 SILENT = frozenset("script style noscript template iframe noembed noframes svg math object canvas audio video textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
+#: End tags that may be left out where these begin; of a paragraph where any other block does.
+_LEFT_OUT = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+|\d+")
@@ -41,35 +49,76 @@ _WORD = re.compile(r"[^\W\d_]+|[©®™»|·›]")
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: int  # buckets of the tag path's names, as bits
     text: str
     linked: int  # characters within links
 
 
+class _Open:
+    """The elements that are open; every question takes the same time however many there are."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.paths = [0]
+        self.at: dict[str, list[int]] = {}  # where each tag is open
+        self.ends: list[int] = []  # where elements that end blocks are open
+        self.links = 0
+
+    def push(self, tag: str, bits: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        if tag in BLOCKS:
+            self.ends.append(len(self.tags))
+        self.links += tag == "a"
+        self.tags.append(tag)
+        self.paths.append(self.paths[-1] | bits)
+
+    def close(self, depth: int) -> None:
+        """Close all from ``depth`` on."""
+        while len(self.tags) > depth:
+            tag = self.tags.pop()
+            self.paths.pop()
+            self.at[tag].pop()
+            self.links -= tag == "a"
+        while self.ends and self.ends[-1] >= depth:
+            self.ends.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the last element of its name; one that ends no block doesn't reach beyond a block."""
+        if self.at.get(tag):
+            depth = self.at[tag][-1]
+            if tag in BLOCKS or not self.ends or self.ends[-1] < depth:
+                self.close(depth)
+
+    def left_out(self, tags: tuple[str, ...]) -> None:
+        """The end tag of the last block may have been left out, if it is one of these."""
+        if self.ends and self.tags[self.ends[-1]] in tags:
+            self.close(self.ends[-1])
+
+
 def blocks(page: str) -> list[Block]:
-    """Text blocks of a page in order; white space within one is one space."""
+    """Text blocks of a page in order; white space within one is one space.  Work is linear in the page, however deep it nests."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    now = _Open()
     parts: list[str] = []
-    held_path: list[tuple[str, ...]] = []
-    linked = links = at = 0
+    held: list[int] = []
+    linked = at = 0
 
     def flush():
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(held_path[0] if held_path else (), text, min(linked, len(text))))
+            out.append(Block(held[0] if held else 0, text, min(linked, len(text))))
         parts.clear()
-        held_path.clear()
+        held.clear()
         linked = 0
 
     def add(text: str):
         nonlocal linked
         if text:
-            if not held_path and not text.isspace():
-                held_path.append(tuple(x for _, p in stack for x in p))
+            if not held and not text.isspace():
+                held.append(now.paths[-1])
             parts.append(text)
-            if links:
+            if now.links:
                 linked += len(text.strip())
 
     while True:
@@ -89,10 +138,7 @@ def blocks(page: str) -> list[Block]:
         elif tag in ("br", "wbr"):
             parts.append(" " if tag == "br" else "")
         if m["end"]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None and (tag in BLOCKS or not any(t in BLOCKS for t, _ in stack[depth + 1 :])):
-                links -= sum(t == "a" for t, _ in stack[depth:])
-                del stack[depth:]
+            now.end(tag)
             continue
         if tag in SILENT and not m["rest"].endswith("/"):
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -100,23 +146,15 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in VOID or m["rest"].endswith("/"):
             continue
-        # end tags that may be left out
-        same = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
-        if tag in BLOCKS and stack and not same:
-            same = ("p",)
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in same:
-                links -= sum(t == "a" for t, _ in stack[k:])
-                del stack[k:]
-                break
-            if stack[k][0] in BLOCKS:
-                break
-        names = [tag]
+        if tag in BLOCKS:
+            now.left_out(_LEFT_OUT.get(tag, ("p",)))
+        bits = 1 << _bucket(tag, PATH)
         for a in _ATTRIBUTE.finditer(m["rest"]):
             value = (a[2] or a[3] or a[4] or "").lower()
-            names += ["." + n for n in _NAME.findall(value) if not n.isdigit()]
-        stack.append((tag, tuple(names)))
-        links += tag == "a"
+            for n in _NAME.findall(value):
+                if not n.isdigit():
+                    bits |= 1 << _bucket("." + n, PATH)
+        now.push(tag, bits)
     flush()
     return out
 
@@ -133,28 +171,33 @@ def _bucket(word: str, n: int) -> int:
     return got
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    """A row for each block."""
-    out = np.zeros((len(page), WIDTH), np.float32)
-    for i, b in enumerate(page):
-        for name in b.path:
-            out[i, _bucket(name, PATH)] = 1
+def vectors(page: list[Block], start: int = 0, end: int | None = None) -> np.ndarray:
+    """A row for each block from ``start`` to ``end``."""
+    chosen = page[start:end]
+    out = np.zeros((len(chosen), WIDTH), np.float32)
+    for k, b in enumerate(chosen):
+        i = start + k
+        out[k, [j for j in range(PATH) if b.path >> j & 1]] = 1
         words = _WORD.findall(b.text.lower())
         if words:
             count = np.bincount([_bucket(w, WORDS) for w in words], minlength=WORDS)
-            out[i, PATH : PATH + WORDS] = count / np.sqrt((count * count).sum())
+            out[k, PATH : PATH + WORDS] = count / np.sqrt((count * count).sum())
         n = len(b.text)
-        out[i, PATH + WORDS :] = (
+        out[k, PATH + WORDS :] = (
             np.log1p(n) / 6, b.linked / n, len(words) / 50 if len(words) < 50 else 1, sum(c in ".!?" for c in b.text[-1:]),
             min(1, 20 * sum(map(b.text.count, ".,;")) / n), (i + 1) / len(page), i / 20 if i < 20 else 1, 1,
         )
     return out
 
 
-def _lstm(x: np.ndarray, w: dict[str, np.ndarray], side: str, mask: np.ndarray):
-    """States of one direction; x is (time, page, WIDTH).  Padding leaves the state as it is."""
+def _lstm(x: np.ndarray, w: dict[str, np.ndarray], side: str, mask: np.ndarray, state=None, keep: bool = True):
+    """States of one direction; x is (time, page, WIDTH).  Padding leaves the state as it is.
+
+    ``state`` goes on from before; with ``keep`` the second result is what training needs
+    of each step, else the state at the end.
+    """
     steps, pages, _ = x.shape
-    h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
+    h, c = state or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
     hs = np.zeros((steps, pages, HIDDEN), np.float32)
     kept = []
     given = x @ w[side + "x"] + w[side + "b"]
@@ -165,11 +208,12 @@ def _lstm(x: np.ndarray, w: dict[str, np.ndarray], side: str, mask: np.ndarray):
         g = np.tanh(z[:, 3 * HIDDEN :])
         new = f * c + i * g
         m = mask[t][:, None]
-        kept.append((t, h, c, i, f, o, g, new))
+        if keep:
+            kept.append((t, h, c, i, f, o, g, new))
         c = m * new + (1 - m) * c
         h = m * (o * np.tanh(new)) + (1 - m) * h
         hs[t] = h
-    return hs, kept
+    return hs, kept if keep else (h, c)
 
 
 def _lstm_back(x, w, side, mask, kept, dhs, grad):
@@ -209,13 +253,30 @@ def predict(pages: list[np.ndarray], w: dict[str, np.ndarray]) -> list[np.ndarra
             part = part[: len(part) // 2]
         at += len(part)
         x, mask = _batch([pages[k] for k in part])
-        both = np.concatenate([_lstm(x, w, "f", mask)[0], _lstm(x, w, "b", mask)[0], x], axis=2)
+        both = np.concatenate([_lstm(x, w, "f", mask, keep=False)[0], _lstm(x, w, "b", mask, keep=False)[0], x], axis=2)
         p = 1 / (1 + np.exp(-(both @ w["out"] + w["bias"])[:, :, 0]))
         for j, k in enumerate(part):
             out[k] = p[: len(pages[k]), j]
     return out
 
 
+def predict_long(page: list[Block], w: dict[str, np.ndarray], window: int = WINDOW) -> np.ndarray:
+    """``predict`` of one page of very many blocks: each way window by window, with the state handed on."""
+    cuts = range(0, len(page), window)
+    back, state, out = np.zeros((len(page), HIDDEN), np.float32), None, np.zeros(len(page), np.float32)
+    for a in reversed(cuts):
+        x = vectors(page, a, a + window)[:, None]
+        hs, state = _lstm(x, w, "b", np.ones(x.shape[:2], np.float32), state, keep=False)
+        back[a : a + window] = hs[:, 0]
+    state = None
+    for a in cuts:
+        x = vectors(page, a, a + window)[:, None]
+        hs, state = _lstm(x, w, "f", np.ones(x.shape[:2], np.float32), state, keep=False)
+        both = np.concatenate([hs[:, 0], back[a : a + window], x[:, 0]], axis=1)
+        out[a : a + window] = 1 / (1 + np.exp(-(both @ w["out"] + w["bias"])[:, 0]))
+    return out
+
+
 def made_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
     """A page in one of many layouts, and of each of its blocks whether it is the article's."""
     letters = [chr(c) for c in range(97, 123)] + list("éèüößñóíçа日本")
@@ -322,13 +383,15 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
     return head + pick("", "\n").join(out) + pick("</body></html>", ""), truth
 
 
-_models: dict[tuple[int, int, int], dict[str, np.ndarray]] = {}
+@cache
+def stored() -> dict[str, np.ndarray]:
+    """The weights beside this module."""
+    with np.load(WEIGHTS) as f:
+        return {k: f[k] for k in f.files}
 
 
 def trained(pages: int = PAGES, passes: int = PASSES, seed: int = 11) -> dict[str, np.ndarray]:
-    """The labeller's weights; trained once a session."""
-    if (pages, passes, seed) in _models:
-        return _models[pages, passes, seed]
+    """The labeller's weights, trained anew."""
     rng = np.random.default_rng(seed)
     data = []
     while len(data) < pages:
@@ -366,7 +429,6 @@ def trained(pages: int = PAGES, passes: int = PASSES, seed: int = 11) -> dict[st
                 first[k] = 0.9 * first[k] + 0.1 * grad[k]
                 second[k] = 0.99 * second[k] + 0.01 * grad[k] ** 2
                 w[k] = w[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)
-    _models[pages, passes, seed] = w
     return w
 
 
@@ -377,14 +439,19 @@ def main_text(pages: DataFrame, weights: dict[str, np.ndarray] | None = None) ->
     empty text and 0 characters; repeated rows are extracted each; null ids and urls stay;
     other columns are ignored.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(weights or trained())
+    shared = pages.sparkSession.sparkContext.broadcast(weights or stored())
 
     def run(batches):
         for part in slices(batches, "html", 2_000_000):
             found = [blocks(h or "") for h in part.column(2).to_pylist()]
-            marks = predict([vectors(b) for b in found], shared.value)
+            marks = predict([vectors(b) if len(b) <= WINDOW else np.zeros((0, WIDTH), np.float32) for b in found], shared.value)
+            marks = [predict_long(b, shared.value) if len(b) > WINDOW else m for b, m in zip(found, marks, strict=True)]
             texts = ["\n".join(b.text for b, p in zip(bs, ps, strict=True) if p >= 0.5) for bs, ps in zip(found, marks, strict=True)]
             yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     chosen = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return chosen.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    np.savez(WEIGHTS, **trained())

@@ -92,6 +92,70 @@ def test_gif_round_trip_and_features(odd, empty):
     assert by[2].feature == by[3].feature and by[2].media_sha256 == by[3].media_sha256
 
 
+def plain_gif(gif):
+    """(payload, milliseconds) by the format's rules, a bit at a time; a second decoder that shares nothing with the first."""
+    assert gif[:6] in (b"GIF87a", b"GIF89a")
+    at, ms, out = 13 + (3 << (gif[10] & 7) + 1 if gif[10] & 128 else 0), 0, []
+    palette = gif[13:at]
+    while gif[at] != 0x3B:
+        if gif[at] == 0x21:
+            if gif[at + 1] == 0xF9:
+                ms += 10 * (gif[at + 4] | gif[at + 5] << 8)
+            at += 2
+        else:
+            assert gif[at] == 0x2C and not gif[at + 9] & 0xC0  # no palette of its own, not interlaced
+            size = (gif[at + 5] | gif[at + 6] << 8) * (gif[at + 7] | gif[at + 8] << 8)
+            least = gif[at + 10]
+            at += 11
+            data, k = b"", at
+            while gif[k]:
+                data += gif[k + 1 : k + 1 + gif[k]]
+                k += gif[k] + 1
+            bits = "".join(format(b, "08b")[::-1] for b in data)
+            names, width, pos, before, pixels = {}, least + 1, 0, b"", b""
+            while True:
+                code = int(bits[pos : pos + width][::-1], 2)
+                pos += width
+                if code == 1 << least:
+                    names, width, before = {i: bytes([i]) for i in range(1 << least)}, least + 1, b""
+                    names[1 << least] = names[(1 << least) + 1] = b""
+                    continue
+                if code == (1 << least) + 1:
+                    break
+                now = names[code] if code in names else before + before[:1]
+                if before and len(names) < 4096:
+                    names[len(names)] = before + now[:1]
+                    if len(names) == 1 << width and width < 12:
+                        width += 1
+                pixels += now
+                before = now
+            out.append(bytes(palette[3 * p] for p in pixels[:size]))
+        while gif[at]:
+            at += gif[at] + 1
+        at += 1
+    return b"".join(out), ms
+
+
+def test_gif_by_another_decoder(spark):
+    """Stored form, payload and feature of texts, some over several frames, by a plain decoder."""
+    from driftlens.llm import gif
+
+    rng = np.random.default_rng(2)
+    texts = ["", "short", "é" * 500, "ab" * 3000, "".join(rng.choice(list("abcdefgh \n"), 20_000)), "".join(map(chr, rng.integers(32, 1000, 4000)))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in gif.media(df, keep_media=True).collect():
+        payload, ms = plain_gif(bytes(r.media))
+        assert payload == gif.padded(texts[r.doc_id].encode()) and hashlib.sha256(payload).hexdigest() == r.payload_sha256
+        assert (r.media_bytes, r.media_sha256) == (len(r.media), hashlib.sha256(bytes(r.media)).hexdigest())
+        frames = -(-len(payload) // (gif.WIDTH * gif.ROWS))
+        # grey pixels: red, green and blue are the sample
+        counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256).reshape(gif.BINS, -1).sum(1)
+        assert r.feature == f"frames={frames};ms={ms};hist=" + ",".join(f"{v:.6f}" for v in counts / counts.sum())
+        assert ms == 10 * gif.DELAY * frames
+    long = rng.integers(0, 256, 192 * 100, np.uint8).tobytes()
+    assert plain_gif(gif.encode(long, rows=7)) == (long, 10 * gif.DELAY * 15)
+
+
 def test_gif_rules():
     import struct
 
@@ -245,7 +309,7 @@ def test_sentencepiece(odd, empty):
 
 
 def test_html(spark):
-    from driftlens.llm.html import blocks, made_page, main_text, predict, trained, vectors
+    from driftlens.llm.html import blocks, made_page, main_text, predict, stored, vectors
 
     page = (
         "<html><head><title>t</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><div class=ad>Buy now.</div>"
@@ -253,7 +317,7 @@ def test_html(spark):
     )
     found = blocks(page)
     assert [b.text for b in found] == ["Home", "News", "Buy now.", "A & B", "First long paragraph of the text, with words.", "Second one <here>.", "Nice one.", "© x"]
-    weights = trained()
+    weights = stored()
     rng = np.random.default_rng(123)
     right = total = 0
     for _ in range(150):
@@ -269,3 +333,36 @@ def test_html(spark):
     assert out.count() == 6 and got[1].text.startswith("A & B\nFirst long") and "Buy" not in got[1].text and "Nice" not in got[1].text
     assert (got[2].text, got[2].n_chars, got[3].text) == ("", 0, "")
     assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_html_deep_and_long_pages(spark, monkeypatch):
+    """Work is linear in nesting, and a page of very many blocks gives what it would give at once."""
+    import time
+
+    from driftlens.llm import html
+
+    for page, n in (("<div>x" * 50_000, 50_000), ("<b>" + "<div></b>" * 50_000, 0), ("<span>" * 50_000 + "<p>x</p>" * 20_000, 20_000), ("<div>" * 50_000 + "x" + "</span>" * 50_000, 1)):
+        began = time.time()
+        assert len(html.blocks(page)) == n
+        assert time.time() - began < 5
+    made = "".join(html.made_page(np.random.default_rng(k))[0] for k in range(12))
+    found = html.blocks(made)
+    whole = html.predict([html.vectors(found)], html.stored())[0]
+    assert np.allclose(whole, html.predict_long(found, html.stored(), 50), atol=1e-5)
+    monkeypatch.setattr(html, "WINDOW", 64)
+    rows = spark.createDataFrame([(1, "u", made, "n", 7)], "page_id long, url string, html string, text string, n_chars int")
+    (row,) = html.main_text(rows).collect()
+    assert row.n_chars == len(row.text) > 0
+
+
+def test_html_training():
+    """The stored weights' maker learns: a small run is better than always saying no."""
+    from driftlens.llm.html import blocks, made_page, predict, trained, vectors
+
+    weights = trained(pages=150, passes=3)
+    rng, right, total, yes = np.random.default_rng(5), 0, 0, 0
+    for _ in range(40):
+        made, truth = made_page(rng)
+        right += int(((predict([vectors(blocks(made))], weights)[0] >= 0.5) == np.array(truth)).sum())
+        total, yes = total + len(truth), yes + sum(truth)
+    assert right > max(yes, total - yes) * 1.1
