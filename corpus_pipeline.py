@@ -28,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents or more hold go; every document stays, even without a line."""
-    return _counted(dedup_lines(docs, min_docs=10, min_chars=1), docs)
+    return _rewritten(docs, dedup_lines(_apart(docs), min_docs=10, min_chars=1))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes that repeat 50 bytes or more of a document of a smaller doc_id go."""
-    found = remove_repeats(docs)
-    return _counted(found.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))), docs)
+    found = remove_repeats(_apart(docs))
+    return _rewritten(docs, found.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +49,15 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path(WORD_BPE))
 
 
-def _counted(changed: DataFrame, docs: DataFrame) -> DataFrame:
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+def _apart(docs: DataFrame) -> DataFrame:
+    """All columns but doc_id and text under numbered names, as theirs may be those that an operator adds."""
+    return docs.select(*(F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"_{k}") for k, c in enumerate(docs.columns)))
+
+
+def _rewritten(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """``changed``, made of ``_apart(docs)``, with the columns of ``docs``; n_chars follows the text."""
+    size = lambda c: F.char_length("text").cast(docs.schema[c].dataType)
+    return changed.select(*((F.col(c) if c in ("doc_id", "text") else size(c) if c == "n_chars" else F.col(f"_{k}")).alias(c) for k, c in enumerate(docs.columns)))
 
 
 STAGES = [
@@ -67,11 +72,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``."""
+    """The rows of the last stage over ``documents``; a stage's table goes when the next one's is written."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
         docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        if k:
+            _delete(spark, f"{folder}/{k - 1}_{STAGES[k - 1][0]}")
     return docs
