@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.operators.joins import HEAVY, lookup
+from driftlens.operators.lineage import shared_folder
 
 __all__ = ["HEAVY", "components", "cut_lineage", "free_name", "into_blocks", "lookup", "release", "runs", "shared_folder", "sieve", "slices", "table"]
 
@@ -27,14 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftlens-"))
-    return sc.getCheckpointDir()
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's shared checkpoint folder and go on from there.
 

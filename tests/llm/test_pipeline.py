@@ -37,3 +37,26 @@ def test_stages(spark, tmp_path):
     run = pipeline.run(spark, str(tmp_path))
     assert run.count() == seen[-1][1] and run.columns == kept.columns
     assert [name for name, _ in pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "suffix_array_dedup", "best_fit_packing"]
+
+
+def test_odd_documents(spark, tmp_path):
+    """No rows; null ids, repeated rows; columns with names that the operators use themselves."""
+    import corpus_pipeline as pipeline
+
+    schema = "doc_id long, text string, lang string, n_lines int, n_dropped string, kept_sha256 string, kept boolean, kept_text string, component_id long, score double, slice long, _gone long, _of long, rep long, band long"
+    extra = ("en", 7, "x", "y", True, "z", 3, 0.5, 1, 2, 3, 4, 5)
+    words = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, words, *extra), (1, words, *extra), (None, words + " more", *extra), (None, None, *extra), (2, "", *extra), (3, words + " other", *extra)]
+    for name, made in (("some", rows), ("none", [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(made, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)] if made else [], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        docs = kept = spark.read.parquet(f"{at}/documents.parquet")
+        for k, (_, stage) in enumerate(pipeline.STAGES[:-1]):
+            stage(spark, kept, at).write.parquet(f"{at}/{k}")
+            kept = spark.read.parquet(f"{at}/{k}")
+            assert kept.columns == docs.columns and all(tuple(r)[2:] == extra for r in kept.collect())
+        left = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect())
+        if made:  # 3 goes as a near duplicate of 1; of the row without an id only what 1 has too
+            assert [x[:2] for x in left] == [(False, 1), (False, 1), (False, 2), (True, 0), (True, 0)]
+        assert pipeline.run(spark, at).count() == len(left)
