@@ -3,24 +3,32 @@
 from __future__ import annotations
 
 import argparse
+import re
 import sys
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
-from driftlens.config import SIGNIFICANCE, THRESHOLD, CustomMask, DiffOptions, check_stdin
+from driftlens.config import SIGNIFICANCE, THRESHOLD, CustomMask, DiffOptions, check_stdin, check_threshold
 from driftlens.operators.lineage import durable
 from driftlens.operators.mining import templates
 from driftlens.plans import report
 from driftlens.plans.diff import diff_runs
-from driftlens.sources.lines import PACKED, first_bytes, from_lines, read_any, read_lines, runs
-from driftlens.streaming.novel import model, novel
+from driftlens.sources.lines import from_lines, read, runs
+from driftlens.streaming.novel import live, model, novel
 
 
 def _read(spark: SparkSession, path: str, exact: bool = False) -> DataFrame:
     if path == "-":
         return from_lines(spark, sys.stdin)
-    packed = path.endswith((".gz", ".bin")) or any(b.startswith(PACKED) for b in first_bytes(spark, path))
-    return (read_any if packed else read_lines)(spark, path, exact=exact)
+    return read(spark, path, exact=exact)
+
+
+def _stdin():
+    """Lines of standard input as they come, without their ends."""
+    for line in iter(sys.stdin.readline, ""):
+        yield line.rstrip("\r\n")
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -56,38 +64,56 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """0 without findings, 1 with some, 2 for an error or an incomplete watch."""
     a = _parser().parse_args(argv)
-    spark = spark or SparkSession.builder.appName("driftlens").getOrCreate()
     try:
+        check_threshold(a.threshold)
         masks = [CustomMask.inline(m) for m in a.mask]
         if a.mask_file:
             with open(a.mask_file, encoding="utf-8") as f:
                 masks += CustomMask.load(f)
-        if a.command == "templates":
-            lines = durable(_read(spark, a.input))
-            top = templates(lines, None if a.json else a.n, a.threshold, masks)
-            print("\n".join(top.toJSON().collect()) if a.json else report.templates_text(top, lines.count()), end="")
-            return 0
-        if a.command == "novel":
-            check_stdin([*a.baseline, a.target])
-            base = runs([_read(spark, b) for b in a.baseline[:-1]], _read(spark, a.baseline[-1]))
-            out = novel(_read(spark, a.target), model(base, a.threshold, masks), a.threshold, masks).orderBy("line_no")
-            n = 0
-            for row in out.toLocalIterator():
-                print(row["raw"])
-                n += 1
-            return int(n > 0)
-        baselines, target = (a.inputs, a.target) if a.target else (a.inputs[:-1], a.inputs[-1])
-        check_stdin([*baselines, target])
-        options = DiffOptions(a.threshold, a.significance, not a.flat, 0 if target == "-" else a.context, tuple(a.watch_field), tuple(a.watch_by), a.watch_rate_change, tuple(masks))
-        exact = bool(a.watch_field)
-        d = diff_runs([_read(spark, b, exact) for b in baselines], _read(spark, target, exact), options)
-        print(report.to_json(d) if a.json else report.to_text(d, baselines, target, a.block_lines, a.markdown), end="")
-        return d.exit_code()
+        spark = spark or SparkSession.builder.appName("driftlens").getOrCreate()
+        return {"templates": _templates, "novel": _novel, "diff": _diff}[a.command](a, spark, tuple(masks))
     except BrokenPipeError:
         return 0
-    except (ValueError, OSError) as e:
+    except (ValueError, OSError, re.error) as e:
         print(f"driftlens: {e}", file=sys.stderr)
-        return 2
+    except (PySparkException, Py4JJavaError) as e:  # what a task raised while it read
+        said = re.findall(r"^(?:[\w.]*(?:Error|Exception)): (.+)", str(e), re.M)
+        print(f"driftlens: {said[-1] if said else str(e).splitlines()[0]}", file=sys.stderr)
+    return 2
+
+
+def _templates(a, spark: SparkSession, masks) -> int:
+    lines = durable(_read(spark, a.input))
+    top = templates(lines, None if a.json else a.n, a.threshold, masks)
+    print("\n".join(top.toJSON().collect()) if a.json else report.templates_text(top, lines.count()), end="")
+    return 0
+
+
+def _novel(a, spark: SparkSession, masks) -> int:
+    check_stdin([*a.baseline, a.target])
+    base = model(runs([_read(spark, b) for b in a.baseline[:-1]], _read(spark, a.baseline[-1])), a.threshold, masks)
+    if a.target == "-":
+        found = live(_stdin(), base, a.threshold, masks)
+    else:
+        found = (r["raw"] for r in novel(_read(spark, a.target), base, a.threshold, masks).orderBy("line_no").toLocalIterator())
+    n = 0
+    for line in found:
+        print(line, flush=a.target == "-")
+        n += 1
+    return int(n > 0)
+
+
+def _diff(a, spark: SparkSession, masks) -> int:
+    baselines, target = (a.inputs, a.target) if a.target else (a.inputs[:-1], a.inputs[-1])
+    if not baselines:
+        raise ValueError("a comparison takes a baseline and a target")
+    check_stdin([*baselines, target])
+    options = DiffOptions(a.threshold, a.significance, not a.flat, 0 if target == "-" else a.context, tuple(a.watch_field), tuple(a.watch_by), a.watch_rate_change, masks)
+    exact = bool(a.watch_field)
+    d = diff_runs([_read(spark, b, exact) for b in baselines], _read(spark, target, exact), options)
+    shown = report.to_json(d) + "\n" if a.json else report.to_markdown(d, baselines, target, a.block_lines) if a.markdown else report.to_text(d, baselines, target, a.block_lines)
+    print(shown, end="")
+    return d.exit_code()
 
 
 if __name__ == "__main__":

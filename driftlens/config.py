@@ -56,8 +56,7 @@ class DiffOptions:
     masks: tuple[CustomMask, ...] = field(default_factory=tuple)
 
     def __post_init__(self):
-        if not 0 < self.threshold <= 1:
-            raise ValueError("threshold must be over 0 and at most 1")
+        check_threshold(self.threshold)
         if not (math.isfinite(self.significance) and self.significance >= 0):
             raise ValueError("significance must be a finite number of 0 or more")
         pointers(self.watch_fields, WATCHES)
@@ -73,6 +72,11 @@ class DiffOptions:
                 raise ValueError("a rate change takes a significance over 0")
 
 
+def check_threshold(threshold: float) -> None:
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be over 0 and at most 1")
+
+
 def pointers(given: tuple[str, ...], limit: int) -> list[list[str]]:
     """JSON pointers as their decoded steps."""
     if len(given) > limit:

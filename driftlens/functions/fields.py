@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from driftlens.config import EXCERPT_BYTES, RECORD_BYTES
-from driftlens.functions.text import Ambiguous, docker, envelope
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
+from driftlens.config import CONTEXT_BYTES, CONTEXT_LINES, EXCERPT_BYTES, RECORD_BYTES
+from driftlens.functions.text import Ambiguous, docker, envelope
 
 
 class _Raw(str):
@@ -17,8 +19,6 @@ class _Object(list):
     """Members in order, duplicates kept."""
 
 
-
-
 def _refuse(text):
     raise ValueError(text)
 
@@ -93,3 +93,33 @@ def excerpt(raw: str, limit: int = EXCERPT_BYTES) -> tuple[str, bool]:
     """The first ``limit`` bytes up to a whole character, and whether more was there."""
     b = raw.encode("utf-8", "surrogatepass")
     return (raw, False) if len(b) <= limit else (b[:limit].decode("utf-8", "ignore"), True)
+
+
+def clipped(raw: Column, limit: int = EXCERPT_BYTES) -> tuple[Column, Column]:
+    """``excerpt`` as Columns: a character's bytes after its first are 80 to BF, so at most three bytes less are taken."""
+    data = raw.cast("binary")
+    within = lambda at: F.hex(F.substr(data, F.lit(at + 1), F.lit(1))).between("80", "BF")
+    end = F.when(~within(limit), limit).when(~within(limit - 1), limit - 1).when(~within(limit - 2), limit - 2).otherwise(limit - 3)
+    over = F.octet_length(raw) > limit
+    return F.when(over, F.substr(data, F.lit(1), end).cast("string")).otherwise(raw), over
+
+
+def bounded_window(before: list[tuple[int, str]], after: list[tuple[int, str]]) -> tuple[list, list, bool]:
+    """The lines of a window that are shown with a watched value, and whether some were left out or clipped.
+
+    The nearest lines come first, a line before and one after in turn, ``CONTEXT_LINES`` a side,
+    ``EXCERPT_BYTES`` of a line and ``CONTEXT_BYTES`` in all.
+    """
+    sides = (before[::-1], after)
+    out: tuple[list, list] = ([], [])
+    cut, room = any(len(x) > CONTEXT_LINES for x in sides), CONTEXT_BYTES
+    for k in range(CONTEXT_LINES):
+        for side, kept in zip(sides, out, strict=True):
+            if k < len(side):
+                number, raw = side[k]
+                text, more = excerpt(raw, min(EXCERPT_BYTES, room))
+                cut |= more
+                if text or not raw:
+                    kept.append((number, text))
+                    room -= len(text.encode("utf-8", "surrogatepass"))
+    return out[0][::-1], out[1], cut

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftlens.config import GROUP_BYTES, GROUPED_VALUES, POOLED_VALUES, VALUE_BYTES, pointers
-from driftlens.functions.fields import payload, select
+from driftlens.functions.fields import bounded_window, clipped, payload, select
 from driftlens.functions.scoring import score_template
 
 PROBLEMS = ["invalid_json", "non_scalar", "ambiguous", "oversized", "untracked", "group_missing", "group_non_scalar", "group_ambiguous"]
@@ -47,11 +47,19 @@ def observed(lines: DataFrame, fields: tuple[str, ...], by: tuple[str, ...] = ()
     )
 
 
-def ledger(seen: DataFrame, n: int, grouped: bool) -> tuple[DataFrame, DataFrame]:
-    """(coverage, values): lines of each class by pointer and run; counts by pointer, group and value.
+def _occurrence(at: Column, baseline: bool) -> Column:
+    """Where a value or a problem was seen, with an excerpt of the line; null where it wasn't."""
+    text, cut = clipped(at["raw"])
+    run = [at["run_idx"].alias("baseline_index")] if baseline else []
+    return F.when(at.isNotNull(), F.struct(*run, at["line_no"].alias("line_no"), text.alias("raw"), cut.alias("truncated")))
+
+
+def ledger(seen: DataFrame, n: int, grouped: bool, fields: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(coverage, values): lines of each class by pointer and run, with the first problem; counts by pointer, group and value.
 
     Only the first 64 values (grouped: 256 pairs) of a pointer are tracked, in line order;
-    the rest count as untracked, as do values and groups that are too long.
+    the rest count as untracked, as do values and groups that are too long.  Each of
+    ``fields`` has a row for every run, even one without a line.
     """
     limit = GROUPED_VALUES if grouped else POOLED_VALUES
     key = ["pointer", "group_json", "value_json"]
@@ -68,10 +76,22 @@ def ledger(seen: DataFrame, n: int, grouped: bool) -> tuple[DataFrame, DataFrame
     rank = F.row_number().over(Window.partitionBy("pointer").orderBy("seen"))
     values = sums.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
     held = values.groupBy("pointer").agg(*[F.sum(f"c{i}").alias(f"h{i}") for i in range(n)], F.sum("tc").alias(f"h{n}"))
-    cover = seen.groupBy("pointer", "run_idx").agg(F.count("*").alias("lines"), *[F.count_if(F.col("status") == c).alias(c) for c in CLASSES if c != "untracked"])
+    problems = [p for p in PROBLEMS if p != "untracked"]
+    wrong = F.min(F.when(F.col("status").isin(*problems), full)).alias("wrong")
+    cover = seen.groupBy("pointer", "run_idx").agg(F.count("*").alias("lines"), wrong, *[F.count_if(F.col("status") == c).alias(c) for c in CLASSES if c != "untracked"])
+    if fields:
+        runs = seen.sparkSession.createDataFrame([(p, i) for p in fields for i in range(n + 1)], "pointer string, run_idx int")
+        cover = runs.join(cover, ["pointer", "run_idx"], "left").fillna(0, ["lines", *(c for c in CLASSES if c != "untracked")])
     h = F.coalesce(F.element_at(F.array(*[F.col(f"h{i}") for i in range(n + 1)]), F.col("run_idx") + 1), F.lit(0))
-    cover = cover.join(held, "pointer", "left").withColumn("untracked", F.col("matched") - h).select("pointer", "run_idx", "lines", *CLASSES)
-    return cover, values
+    cover = cover.join(held, "pointer", "left").withColumn("untracked", F.col("matched") - h)
+    # values beyond the limit are looked up by the few that are tracked
+    tracked = F.broadcast(values.select("pointer", F.coalesce("group_json", F.array().cast("array<string>")).alias("g"), "value_json", F.lit(True).alias("known")))
+    rest = matched.withColumn("g", F.coalesce("group_json", F.array().cast("array<string>"))).join(tracked, ["pointer", "g", "value_json"], "left_anti")
+    rest = rest.groupBy("pointer", "run_idx").agg(F.min(full).alias("beyond"))
+    cover = cover.join(rest, ["pointer", "run_idx"], "left")
+    first = F.least("wrong", "beyond")  # of the line numbers, as both are of one run
+    values = values.withColumn("first_baseline", _occurrence(F.col("first_baseline"), True)).withColumn("first_target", _occurrence(F.col("first_target"), False))
+    return cover.select("pointer", "run_idx", "lines", *CLASSES, _occurrence(first, False).alias("first_problem")), values
 
 
 def completeness(cover: DataFrame, n: int) -> DataFrame:
@@ -117,3 +137,34 @@ def rate_changes(values: DataFrame, groups: DataFrame, n: int, min_change_pp: fl
         (distance * 100.0).alias("range_distance_pp"), score_template(cs, ts, F.col("tc"), F.col("target_total")).alias("score"),
     )
     return out.where((F.col("range_distance_pp") != 0) & (F.abs("range_distance_pp") + 1e-12 >= min_change_pp) & (F.col("score") >= significance))
+
+
+def finding_values(values: DataFrame, changes: DataFrame | None) -> DataFrame:
+    """The rows of ``values`` that a finding is about: those that are new, and those whose rate has changed."""
+    key = ["pointer", "group_json", "value_json"]
+    new = values.where("is_new")
+    if changes is None:
+        return new
+    moved = changes.select(*(F.col(k).alias(f"_{k}") for k in key)).distinct()
+    same = (F.col("pointer") == F.col("_pointer")) & F.col("group_json").eqNullSafe(F.col("_group_json")) & (F.col("value_json") == F.col("_value_json"))
+    return new.unionByName(values.where("NOT coalesce(is_new, false)").join(moved, same, "left_semi"))
+
+
+def with_context(values: DataFrame, found: DataFrame, windows: DataFrame) -> DataFrame:
+    """``values`` with the bounded context of those first seen in the target where one of ``found`` was.
+
+    ``windows`` (line_no, before, after) are a row a finding; values are a ledger's, so few.
+    """
+    wanted = found.where("first_target IS NOT NULL").select(F.col("first_target.line_no").alias("line_no")).distinct()
+    shape = "array<struct<line_no: bigint, raw: string>>"
+
+    def run(batches):
+        for b in batches:
+            made = [bounded_window(*([(x["line_no"], x["raw"]) for x in side or []] for side in (b.column(1)[i].as_py(), b.column(2)[i].as_py()))) for i in range(b.num_rows)]
+            side = pa.list_(pa.struct([("line_no", pa.int64()), ("raw", pa.string())]))
+            cols = [pa.array([[{"line_no": n, "raw": r} for n, r in m[k]] for m in made], side) for k in (0, 1)]
+            yield pa.record_batch([b.column(0), *cols, pa.array([m[2] for m in made], pa.bool_())], ["_line", "before", "after", "context_truncated"])
+
+    bounded = windows.join(wanted, "line_no").select("line_no", "before", "after").mapInArrow(run, f"_line long, before {shape}, after {shape}, context_truncated boolean")
+    out = values.join(bounded, F.col("first_target.line_no") == F.col("_line"), "left")
+    return out.withColumn("context", F.when(F.col("_line").isNotNull(), F.struct("before", "after"))).drop("_line", "before", "after")

@@ -84,6 +84,14 @@ def bucket_of(tokens: list[str]) -> str:
     return "\x1f".join([str(len(tokens)), "w" if WORD in kinds else "", route, *(k or "" for k in keys)])
 
 
+def similarity(own: list[str | None], words: int, attributes: int, shapes: list[str], kinds: list[int]) -> float:
+    """Share of a template's words (without any: of its attributes) at which a line has the shape of all before."""
+    if words or attributes:
+        kind, of = (WORD, words) if words else (ATTRIBUTE, attributes)
+        return sum(k == kind and a == b for a, b, k in zip(own, shapes, kinds, strict=True)) / of
+    return float(all(a is None or a == b for a, b in zip(own, shapes, strict=True)))
+
+
 class Template:
     """A cluster on its way: what it shows, and the shapes that all its lines have had."""
 
@@ -100,11 +108,7 @@ class Template:
         self.literal = self.pick(self.shown)
 
     def similarity(self, shapes: list[str], kinds: list[int]) -> float:
-        """Share of the template's words (without any: of its attributes) at which the line has the shape of all before."""
-        if self.words or self.attributes:
-            kind, of = (WORD, self.words) if self.words else (ATTRIBUTE, self.attributes)
-            return sum(k == kind and a == b for a, b, k in zip(self.shapes, shapes, kinds, strict=True)) / of
-        return float(all(a is None or a == b for a, b in zip(self.shapes, shapes, strict=True)))
+        return similarity(self.shapes, self.words, self.attributes, shapes, kinds)
 
     def take(self, tokens: list[str], shapes: list[str]) -> bool:
         """Generalise by one more line; whether its shapes have changed."""

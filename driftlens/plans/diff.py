@@ -33,6 +33,14 @@ class Watch:
     rate_groups: DataFrame | None = None
     rate_changes: DataFrame | None = None
 
+    def finding_values(self) -> DataFrame:
+        """Values that are new or whose rate has changed."""
+        return W.finding_values(self.values, self.rate_changes)
+
+    def is_complete(self) -> bool:
+        row = self.complete.first()
+        return row is not None and bool(row["complete"])
+
 
 @dataclass
 class Diff:
@@ -48,9 +56,13 @@ class Diff:
     context: DataFrame | None = None
     mined: Mined | None = None
 
+    def report_count(self) -> int:
+        """Items of a report: blocks, findings and values outside of them, and those of watched fields."""
+        return self.blocks.count() + self.findings.where("block IS NULL").count() + self.value_findings.where("block IS NULL").count() + self.field_finding_count()
+
     def finding_count(self) -> int:
-        """Items of a report: blocks, and findings and values outside of them."""
-        return self.blocks.count() + self.findings.where("block IS NULL").count() + self.value_findings.where("block IS NULL").count()
+        """Findings before they are put into blocks: templates that differ, new values, and those of watched fields."""
+        return self.findings.count() + self.value_findings.count() + self.field_finding_count()
 
     def field_finding_count(self) -> int:
         """New values, and groups with a changed rate."""
@@ -64,7 +76,7 @@ class Diff:
     def complete(self) -> bool:
         """Whether every watch saw all that it had to."""
         for w in self.watches:
-            if not w.complete.first()["complete"]:
+            if not w.is_complete():
                 return False
             if w.rate_groups is not None and w.rate_groups.where("status <> 'compared'").count():
                 return False
@@ -72,12 +84,13 @@ class Diff:
 
     def exit_code(self) -> int:
         """0 without findings, 1 with some, 2 where a watch is incomplete."""
-        return 2 if not self.complete() else int(self.finding_count() + self.field_finding_count() > 0)
+        return 2 if not self.complete() else int(self.finding_count() > 0)
 
 
 def diff(lines: DataFrame, n: int, options: DiffOptions = DiffOptions()) -> Diff:
     """Compare run ``n`` of ``lines`` (run_idx, line_no, raw) with runs 0 to n - 1."""
     spark: SparkSession = lines.sparkSession
+    lines = durable(lines.select("run_idx", "line_no", "raw"))  # read by each step below
     totals = C.run_totals(lines, n + 1)
     mined = mine(lines, options.threshold, options.masks)
     counts = durable(C.counted(mined, n))
@@ -106,7 +119,7 @@ def diff(lines: DataFrame, n: int, options: DiffOptions = DiffOptions()) -> Diff
     if options.watch_fields:
         grouped = bool(options.watch_by)
         seen = durable(W.observed(lines, options.watch_fields, options.watch_by))
-        cover, ledger = W.ledger(seen, n, grouped)
+        cover, ledger = W.ledger(seen, n, grouped, options.watch_fields)
         cover, ledger = durable(cover), durable(ledger)
         complete = W.completeness(cover, n)
         shown = W.field_values(ledger, complete, n, grouped)
@@ -116,9 +129,16 @@ def diff(lines: DataFrame, n: int, options: DiffOptions = DiffOptions()) -> Diff
             own = lambda df, p=p: df.where(F.col("pointer") == p)
             result.watches.append(Watch(p, options.watch_by, own(cover), own(complete), own(shown), None if rates is None else own(rates), None if changes is None else own(changes)))
     if options.context:
-        single = findings.where("block IS NULL AND first_target_line_no IS NOT NULL").select(F.col("first_target_line_no").alias("line_no"))
-        wanted = single.unionByName(values.where("block IS NULL").select(F.col("first_target_line_no").alias("line_no")))
-        result.context = B.context(lines.where(F.col("run_idx") == n), wanted, options.context)
+        at = lambda df, c: df.where(F.col(c).isNotNull()).select(F.col(c).alias("line_no"))
+        wanted = at(findings.where("block IS NULL"), "first_target_line_no").unionByName(at(values.where("block IS NULL"), "first_target_line_no"))
+        for w in result.watches:
+            wanted = wanted.unionByName(at(w.finding_values(), "first_target.line_no"))
+        result.context = durable(B.context(lines.where(F.col("run_idx") == n), durable(wanted.distinct()), options.context))
+        window = result.context.select(F.col("line_no").alias("_at"), F.struct("before", "after").alias("context"))
+        beside = lambda df: df.join(window, F.col("first_target_line_no") == F.col("_at"), "left").drop("_at")
+        result.findings, result.value_findings = beside(result.findings), beside(result.value_findings)
+        for w in result.watches:
+            w.values = W.with_context(w.values, w.finding_values(), result.context)
     return result
 
 

@@ -57,23 +57,35 @@ def read_lines(spark: SparkSession, path: str, run_idx: int = 0, exact: bool = F
     return numbered_in_place(rows, run_idx)
 
 
-def first_bytes(spark: SparkSession, path: str, n: int = 2) -> list[bytes]:
-    """The first ``n`` bytes of each file of a path, pattern or folder, by the store's own reader."""
+def first_bytes(spark: SparkSession, path: str, n: int = HEAD) -> list[bytes]:
+    """The first ``n`` bytes of each file of a path, pattern or folder, by the store's own reader.  There must be one."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = [s for g in fs.globStatus(root) or [] for s in (fs.listStatus(g.getPath()) if g.isDirectory() else [g])]
     out = []
+    if not found:
+        raise FileNotFoundError(f"{path}: no such file")
     for status in found:
         if status.isDirectory():
             continue
         stream = fs.open(status.getPath())
         try:
-            out.append(bytes(b for b in (stream.read() for _ in range(n)) if b >= 0))
+            out.append(bytes(stream.readNBytes(n)))
         finally:
             stream.close()
     return out
 
 
+def read(spark: SparkSession, path: str, run_idx: int = 0, exact: bool = False) -> DataFrame:
+    """Lines by the reader that the files' first bytes ask for; what holds a NUL is refused."""
+    heads = first_bytes(spark, path)
+    if any(h.startswith(PACKED) for h in heads):
+        return read_any(spark, path, run_idx, exact)
+    if any(b"\0" in h for h in heads):
+        raise ValueError(f"{path}: binary, not text")
+    return read_lines(spark, path, run_idx, exact)
+
+
 def gunzip_bounded(data: bytes, limit: int) -> bytes:
     """All members of a gzip file, checked, if they come to at most ``limit`` bytes."""
     out, rest = [], data

@@ -6,6 +6,8 @@ templates of their own bucket in a stream-static join, and those that none takes
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 
 from driftlens.config import THRESHOLD
 from driftlens.functions.text import signature, tokenize
-from driftlens.operators.mining import bucket_of, clusters
+from driftlens.operators.mining import bucket_of, clusters, similarity
 
 
 def model(baselines: DataFrame, threshold: float = THRESHOLD, masks=()) -> DataFrame:
@@ -47,6 +49,21 @@ def novel(lines: DataFrame, templates: DataFrame, threshold: float = THRESHOLD,
     return d.where(F.expr(f"NOT coalesce(exists(templates, t -> {score} >= {threshold}), false)")).select(*lines.columns)
 
 
+def live(source, templates: DataFrame, threshold: float = THRESHOLD, masks=()) -> Iterator[str]:
+    """The novel ones of lines that come one by one, such as those of a pipe, each as soon as it is read.
+
+    One pipe is read by one process, so this runs on the driver, which holds the templates;
+    ``watch`` is for what comes as files.
+    """
+    held = {r["bucket"]: r["templates"] for r in templates.toLocalIterator()}
+    masks = tuple(masks)
+    for line in source:
+        tokens = tokenize(line, masks)
+        shapes, _, kinds, _ = signature(tokens)
+        if not any(similarity(t["shapes"], t["words"], t["attributes"], shapes, kinds) >= threshold for t in held.get(bucket_of(tokens), ())):
+            yield line
+
+
 def watch(spark, path: str, templates: DataFrame, threshold: float = THRESHOLD, masks=()):
     """A stream of the novel lines of files that come into ``path``."""
     live = spark.readStream.option("lineSep", "\n").text(path).select(F.regexp_replace(F.make_valid_utf8("value"), r"[\r\n]+\z", "").alias("raw"))
