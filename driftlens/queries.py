@@ -303,6 +303,50 @@ def field_coverage(spark, sf_dir):
     return _watched(spark, sf_dir, "/k")[0].select("run_idx", "lines", "matched", "non_json")
 
 
+_ODD = [  # (when, class, line): every class that coverage counts; oversized lines are built, as they are long
+    ("event_id % 101 = 0", "non_json", "'plain text'"), ("event_id % 103 = 0", "invalid_json", """'{"k":1'"""), ("event_id % 107 = 0", "non_scalar", """'{"k":[1],"g":1}'"""),
+    ("event_id % 109 = 0", "ambiguous", """'{"k":1,"k":2,"g":1}'"""), ("event_id % 113 = 0", "missing", """'{"g":1}'"""), ("event_id % 127 = 0", "group_missing", """'{"k":1}'"""),
+    ("event_id % 131 = 0", "group_non_scalar", """'{"k":1,"g":{}}'"""), ("event_id % 137 = 0", "group_ambiguous", """'{"k":1,"g":1,"g":2}'"""),
+    ("event_id % 4999 = 0", "oversized", """'{"k":1,"g":1,"pad":"' || repeat('x', 1048576) || '"}'"""),
+]
+_ODD_LINE = "CASE " + " ".join(f"WHEN {when} THEN {line}" for when, _, line in _ODD) + """ ELSE '{"k":' || CAST(event_id AS STRING) || ',"g":"' || event_type || '"}' END"""
+_ODD_CLASS = "CASE " + " ".join(f"WHEN {when} THEN '{kind}'" for when, kind, _ in _ODD) + " ELSE 'matched' END"
+_PROBLEM = "class NOT IN ('matched', 'missing', 'non_json')"
+
+
+@query("field_coverage_classes", f"""WITH f AS (SELECT event_id, {_RUN} AS run_idx, {_ODD_LINE} AS raw, {_ODD_CLASS} AS class FROM events),
+    t AS (SELECT *, class = 'matched' AND row_number() OVER (PARTITION BY class ORDER BY run_idx, event_id) > 256 AS untracked FROM f)
+    SELECT run_idx, count(*) AS lines, {', '.join(f"count(*) FILTER (WHERE class = '{c}') AS {c}" for c in ['matched', *(k for _, k, _ in _ODD)])}, count(*) FILTER (WHERE untracked) AS untracked,
+           min(event_id) FILTER (WHERE {_PROBLEM} OR untracked) AS problem_line, left(arg_min(raw, event_id) FILTER (WHERE {_PROBLEM} OR untracked), 4096) AS problem_raw,
+           length(arg_min(raw, event_id) FILTER (WHERE {_PROBLEM} OR untracked)) > 4096 AS problem_truncated FROM t GROUP BY run_idx""".replace("STRING", "VARCHAR"))
+def field_coverage_classes(spark, sf_dir):
+    """Every counter of a grouped watch with many values, and where its first problem is."""
+    lines = _table(spark, sf_dir, "events").select(F.expr(_RUN).alias("run_idx"), F.col("event_id").alias("line_no"), F.expr(_ODD_LINE).alias("raw"))
+    cover, _ = W.ledger(durable(W.observed(lines, ("/k",), ("/g",))), 2, True, ("/k",))
+    at = F.col("first_problem")
+    return cover.select("run_idx", "lines", *W.CLASSES, at["line_no"].alias("problem_line"), at["raw"].alias("problem_raw"), at["truncated"].alias("problem_truncated"))
+
+
+_PADDED = """'{"k":"' || CAST(event_id % 97 AS STRING) || '","pad":"' || repeat('界', CAST(event_id * 37 % 41 AS INTEGER) * 50) || '"}'"""
+_CLIP = "CASE WHEN strlen(raw) > 4096 THEN left(raw, (4096 - strpos(raw, '界') + 1) // 3 + strpos(raw, '界') - 1) ELSE raw END"
+
+
+@query("field_occurrences", f"""WITH f AS (SELECT event_id, {_RUN} AS run_idx, '"' || event_id % 97 || '"' AS value_json, {_PADDED} AS raw FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY value_json, run_idx = 2 ORDER BY run_idx, event_id) AS nth, min(run_idx * 1000000000 + event_id) OVER (PARTITION BY value_json) AS seen FROM f),
+    k AS (SELECT value_json FROM o GROUP BY value_json ORDER BY min(seen) LIMIT 64)
+    SELECT value_json, run_idx = 2 AS in_target, CASE WHEN run_idx < 2 THEN run_idx END AS baseline_index, event_id AS line_no, {_CLIP} AS raw, strlen(raw) > 4096 AS truncated FROM o WHERE nth = 1 AND value_json IN (SELECT value_json FROM k)""".replace("STRING", "VARCHAR"))
+def field_occurrences(spark, sf_dir):
+    """Where each tracked value was first seen in the baselines and in the target, with its clipped line."""
+    lines = _table(spark, sf_dir, "events").select(F.expr(_RUN).alias("run_idx"), F.col("event_id").alias("line_no"), F.expr(_PADDED).alias("raw"))
+    values = durable(W.ledger(durable(W.observed(lines, ("/k",))), 2, False, ("/k",))[1])
+    out = None
+    for side in ("first_baseline", "first_target"):
+        run = F.col(f"{side}.baseline_index") if side == "first_baseline" else F.lit(None).cast("int")
+        own = values.where(F.col(side).isNotNull()).select("value_json", F.lit(side == "first_target").alias("in_target"), run.alias("baseline_index"), *(F.col(f"{side}.{c}").alias(c) for c in ("line_no", "raw", "truncated")))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 _PER_VALUE = "count(*) FILTER (WHERE run_idx = 0) AS c0, count(*) FILTER (WHERE run_idx = 1) AS c1, count(*) FILTER (WHERE run_idx = 2) AS tc"
 
 
@@ -511,9 +555,51 @@ def mask_url(spark, sf_dir):
 # ---------------------------------------------------------------- whole comparisons, without SQL
 
 
-@query("diff_report", None)
-def diff_report(spark, sf_dir):
-    """All findings of the changed runs with their blocks."""
+_WORD = """CASE WHEN run_idx = 2 AND line_no BETWEEN 100 AND 111 THEN 'step' || chr(CAST(97 + line_no - 100 AS INTEGER)) WHEN run_idx = 2 AND line_no IN (150, 152, 154) THEN 'burst' || chr(CAST(97 + (line_no - 150) / 2 AS INTEGER))
+    WHEN run_idx < 2 AND line_no BETWEEN 50 AND 57 THEN 'gone' || chr(CAST(97 + line_no - 50 AS INTEGER)) WHEN run_idx < 2 AND line_no BETWEEN 120 AND 123 THEN 'left' || chr(CAST(97 + line_no - 120 AS INTEGER)) ELSE event_type END"""
+_SQL_BLOCKS = f"""
+    e AS (SELECT *, {_RUN} AS run_idx FROM events), o AS (SELECT run_idx, event_type, row_number() OVER (PARTITION BY run_idx ORDER BY event_id) AS line_no FROM e), l AS (SELECT run_idx, line_no, {_WORD} AS w FROM o),
+    kinds AS (SELECT w, count(*) FILTER (WHERE run_idx = 0) AS c0, count(*) FILTER (WHERE run_idx = 1) AS c1, count(*) FILTER (WHERE run_idx = 2) AS tc, min(run_idx * 1000000000000 + line_no) AS cid,
+                     min(line_no) FILTER (WHERE run_idx = 2) AS target_line, min(line_no) FILTER (WHERE run_idx = 0) AS base_line FROM l GROUP BY w),
+    totals AS (SELECT count(*) FILTER (WHERE run_idx = 0) AS t0, count(*) FILTER (WHERE run_idx = 1) AS t1, count(*) FILTER (WHERE run_idx = 2) AS tt FROM l),
+    f AS (SELECT w, cid, c0, c1, tc, target_line, base_line, {_KIND} AS kind, {_SCORE} AS score, tc / CAST(tt AS DOUBLE) - (c0 + c1) / CAST(t0 + t1 AS DOUBLE) AS share FROM kinds, totals),
+    g AS (SELECT *, CAST(row_number() OVER (ORDER BY CASE kind WHEN 'new' THEN 0 WHEN 'gone' THEN 1 ELSE 2 END, score DESC, cid) - 1 AS INTEGER) AS index FROM f WHERE kind IS NOT NULL),
+    n AS (SELECT l.line_no, l.w, l.line_no - lag(l.line_no) OVER (ORDER BY l.line_no) AS gap FROM l JOIN g ON g.w = l.w AND g.kind = 'new' WHERE l.run_idx = 2),
+    r AS (SELECT line_no, w, max(CASE WHEN gap IS NULL OR gap > 3 THEN line_no END) OVER (ORDER BY line_no) AS run FROM n),
+    s AS (SELECT run, min(line_no) AS first, max(line_no) AS last FROM r GROUP BY run HAVING count(DISTINCT w) >= 2),
+    c AS (SELECT w, count(*) AS n, count(s.run) AS inside, arg_min(r.run, r.line_no) AS home FROM r LEFT JOIN s ON s.run = r.run GROUP BY w),
+    nb AS (SELECT 'new' AS kind, s.first, s.last, c.w FROM c JOIN s ON s.run = c.home WHERE c.n = c.inside),
+    x AS (SELECT w, cid, base_line AS line, base_line - lag(base_line) OVER (ORDER BY base_line) AS gap FROM g WHERE kind = 'gone'),
+    y AS (SELECT *, count(*) FILTER (WHERE gap IS NULL OR gap > 3) OVER (ORDER BY line) AS chain FROM x),
+    gb AS (SELECT 'gone' AS kind, min(line) OVER (PARTITION BY chain) AS first, max(line) OVER (PARTITION BY chain) AS last, w FROM y),
+    m AS (SELECT b.kind, b.first, b.last, g.* EXCLUDE (kind) FROM (SELECT * FROM nb UNION ALL SELECT * FROM gb) b JOIN g ON g.w = b.w),
+    b AS (SELECT kind, first, last, sum(CASE WHEN kind = 'gone' THEN c0 ELSE tc END) AS line_count, sum(score) AS score, count(*) AS n,
+                 string_agg(CAST(index AS VARCHAR), ',' ORDER BY CASE WHEN kind = 'gone' THEN base_line ELSE target_line END) AS findings FROM m GROUP BY kind, first, last HAVING count(*) >= 2),
+    z AS (SELECT *, CAST(row_number() OVER (ORDER BY CASE kind WHEN 'new' THEN 0 ELSE 1 END, round(score, 6) DESC, first) - 1 AS INTEGER) AS block FROM b)
+"""
+
+
+def block_lines(spark, sf_dir):
+    """A line an event; the target has two stretches of new lines, the baselines two of lines that it lacks."""
+    e = _table(spark, sf_dir, "events").select(F.expr(_RUN).alias("run_idx"), F.col("event_type").alias("raw"), F.floor(F.col("event_id") / 65536).alias("_split"), F.col("event_id").alias("_place"))
+    lines = numbered(e).withColumnRenamed("raw", "event_type")
+    return lines.select("run_idx", "line_no", F.concat(F.expr(_WORD), F.lit(" happened")).alias("raw"))
+
+
+def _block_report(spark, sf_dir):
     from driftlens.plans.diff import diff
 
-    return diff(changed_lines(spark, sf_dir), 2).findings.select("index", "kind", "direction", "template", F.round("score", 6).alias("score"), "target_count", "block")
+    return diff(block_lines(spark, sf_dir), 2)
+
+
+@query("diff_blocks", f"WITH {_SQL_BLOCKS} SELECT block, kind, first AS first_line_no, last AS last_line_no, CAST(line_count AS BIGINT) AS line_count, CAST(0 AS BIGINT) AS lines_elsewhere, round(score, 6) AS score, findings FROM z")
+def diff_blocks(spark, sf_dir):
+    b = _block_report(spark, sf_dir).blocks
+    return b.select("block", "kind", "first_line_no", "last_line_no", "line_count", "lines_elsewhere", F.round("score", 6).alias("score"), F.array_join(F.col("findings").cast("array<string>"), ",").alias("findings"))
+
+
+@query("diff_report", f"""WITH {_SQL_BLOCKS} SELECT g.index, g.kind, CASE WHEN g.kind = 'new' THEN 'up' WHEN g.kind = 'gone' THEN 'down' WHEN g.share > 0 THEN 'up' ELSE 'down' END AS direction, g.w || ' happened' AS template, round(g.score, 6) AS score,
+    g.tc AS target_count, z.block FROM g LEFT JOIN m ON m.w = g.w LEFT JOIN z ON z.kind = m.kind AND z.first = m.first""")
+def diff_report(spark, sf_dir):
+    """All findings in their order, with their blocks."""
+    return _block_report(spark, sf_dir).findings.select("index", "kind", "direction", "template", F.round("score", 6).alias("score"), "target_count", "block")
