@@ -90,7 +90,7 @@ def tracked(mined: Mined, counts: DataFrame, n: int) -> DataFrame:
     key = ["first_run", "first_line"]
     wild = both.select(*key, "cid", F.expr("filter(sequence(0, size(template_tokens) - 1), i -> size(template_tokens) > 0)").alias("all"), "template_tokens", F.col("groups").alias("_n"))
     wild = wild.select(*key, "cid", "_n", F.filter("all", lambda i: is_wildcard(F.get("template_tokens", i))).alias("at")).where(F.size("at") > 0)
-    rows = lookup(mined.groups, durable(wild), key, mined.groups.count()).where("cid IS NOT NULL")
+    rows = lookup(mined.groups, durable(wild), key).where("cid IS NOT NULL")
     rows = rows.select("run_idx", "cid", "line_no", "raw", F.col("n").alias("lines"), F.explode(F.transform("at", lambda i: F.struct(i.alias("pos"), F.get("tokens", i).alias("value")))).alias("x"))
     v = F.col("x.value")
     rows = rows.where(~is_placeholder(v) & (~_identifier(v) | _source(v)))

@@ -257,7 +257,7 @@ class Mined:
         key = ["first_run", "first_line"]
         sizes = self.groups.groupBy(*key).agg(F.count("*").alias("_n"))
         ids = self.clusters.select("cid", "first_run", F.col("first_line_no").alias("first_line")).join(sizes, key)
-        return lookup(self.groups, durable(ids), key, self.groups.count())
+        return lookup(self.groups, durable(ids), key)
 
 
 def _mined(lines: DataFrame, threshold: float, masks, groups: bool, size: int) -> DataFrame:
