@@ -12,10 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.operators.joins import HEAVY, lookup
+from driftlens.operators.joins import FEW, HEAVY, lookup
 from driftlens.operators.lineage import shared_folder
 
-__all__ = ["HEAVY", "components", "cut_lineage", "free_name", "into_blocks", "lookup", "release", "runs", "shared_folder", "sieve", "slices", "table"]
+__all__ = ["FEW", "HEAVY", "components", "cut_lineage", "free_name", "into_blocks", "lookup", "release", "runs", "shared_folder", "sieve", "slices", "table"]
 
 #: Bytes of text that a Python task works on at once.
 SLICE_BYTES = 3_000_000
@@ -117,20 +117,20 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     grow with the logarithm of the component's size; if ``max_rounds`` are too few, it raises.
     """
     e = cut_lineage(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct())
-    n, sign = e.count(), None
+    sign = None
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("_n"))
-        large = lookup(both.where("v > u"), cut_lineage(least), ["u"], n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut_lineage(large)  # at most ``n`` rows, as each edge has one larger node
+        large = lookup(both.where("v > u"), cut_lineage(least), ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut_lineage(large)
         low = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")))
         ends = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
-        small = lookup(large, low, ["u"], n).select(ends.alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = lookup(large, low, ["u"]).select(ends.alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         e = cut_lineage(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sign:
             break
-        n, sign = now[0], now
+        sign = now
     else:
         raise RuntimeError(f"components still change after {max_rounds} rounds")
     pairs = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import HEAVY, components, cut_lineage, into_blocks, lookup, runs, sieve
+from driftlens.llm.common import components, cut_lineage, into_blocks, lookup, runs, sieve
 
 TABLES, BITS = 14, 12
 BLOCK = 1024
@@ -150,10 +150,7 @@ def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = TABLES, bit
     at = [*key, "low_block", "high_block"]
     spread = cut_lineage(classes.select("label", "dim", "cls", "raw").mapInArrow(hashed, "hash_table int, sig int, label long, dim int, cls long, sigs binary"))
     large = cut_lineage(spread.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > block).withColumn("_rows", F.col("_n")))
-    if large.count() <= HEAVY:
-        sized = spread.join(F.broadcast(large.drop("_n")), key, "left")
-    else:
-        sized = lookup(spread, large, key, spread.count())
+    sized = lookup(spread, large, key)
     dealt = into_blocks(sized.withColumn("_rows", F.coalesce("_rows", F.lit(1))), "cls", block).repartition(*at).sortWithinPartitions(*at)
 
     def sides(table):
@@ -208,16 +205,16 @@ def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = TABLES, bit
     several = cut_lineage(ids.where("dim IS NOT NULL").groupBy("vec_id").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_rows", F.col("_n")))
     edges = found.where("a <> b").select("a", "b")
     if not several.isEmpty():
-        repeated = cut_lineage(lookup(ids.where("dim IS NOT NULL"), several, ["vec_id"], ids.count()).where("_rows IS NOT NULL").drop("_rows"))
-        its = lookup(repeated, classes.select(*same, "cls", F.col("copies").alias("_n")), same, repeated.count())
+        repeated = cut_lineage(lookup(ids.where("dim IS NOT NULL"), several, ["vec_id"]).where("_rows IS NOT NULL").drop("_rows"))
+        its = lookup(repeated, classes.select(*same, "cls", F.col("copies").alias("_n")), same)
         first = its.groupBy("vec_id").agg(F.min("cls").alias("a"), F.count("*").alias("_n"))
-        edges = edges.unionByName(lookup(its.select("vec_id", F.col("cls").alias("b")), first, ["vec_id"], repeated.count()).where("a <> b").select("a", "b").distinct())
+        edges = edges.unionByName(lookup(its.select("vec_id", F.col("cls").alias("b")), first, ["vec_id"]).where("a <> b").select("a", "b").distinct())
     joined = cut_lineage(components(edges).withColumnRenamed("node", "cls"))
     named = cut_lineage(classes.select("cls", "rep", *same, "copies").join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     least_id = named.groupBy("component").agg(F.min("rep").alias("of_class"), F.count("*").alias("_n"))
-    named = lookup(named, cut_lineage(least_id), ["component"], named.count())
+    named = lookup(named, cut_lineage(least_id), ["component"])
     per_class = named.join(degree, "cls", "left").select(*same, F.col("copies").alias("_n"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "of_class")
-    out = lookup(ids, cut_lineage(per_class), same, ids.count())
+    out = lookup(ids, cut_lineage(per_class), same)
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("of_class", "vec_id").alias("component_id"),
         (F.col("vec_id") == F.coalesce("of_class", "vec_id")).alias("kept"),

@@ -214,7 +214,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, bits: i
 
     ident, drop = free_name(kept.columns, "_of"), free_name(kept.columns, "_drop")
     found = cut_lineage(found)
-    drops = lookup(found, often, ["low", "high"], found.count()).where("often").groupBy(F.col("doc_id").alias(ident)).agg(F.collect_set(F.struct("low", "high")).alias(drop))
+    drops = lookup(found, often, ["low", "high"]).where("often").groupBy(F.col("doc_id").alias(ident)).agg(F.collect_set(F.struct("low", "high")).alias(drop))
     joined = kept.join(drops, F.col("doc_id").eqNullSafe(F.col(ident)), "left").drop(ident)
 
     def by_documents(batches):

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import components, cut_lineage, into_blocks, lookup, runs, sieve, slices
+from driftlens.llm.common import FEW, components, cut_lineage, into_blocks, lookup, runs, sieve, slices
 
 WORDS = 5
 REGISTERS = 256
@@ -191,6 +191,18 @@ def _banded(classes: DataFrame, extra: list[str]) -> DataFrame:
     return classes.mapInArrow(run, f"band long, {fields}")
 
 
+def _fetched(wanted: DataFrame, payload: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``wanted`` (small values) with what ``payload`` has for its ``key``; ``ids`` are the keys, cheap to read.
+
+    Of few keys, the payload's rows are picked where they are read; of many, it is sieved
+    by a bitmap and then shuffled.
+    """
+    if ids.count() <= FEW:
+        chosen = payload.join(F.broadcast(ids.distinct()), key, "left_semi")
+        return wanted.join(chosen, key)
+    return wanted.join(sieve(payload, key, ids), key)
+
+
 def _by_hub(pairs: DataFrame, payload: DataFrame) -> DataFrame:
     """(a, chunk, role, need, payload's second column and on) for every row of ``pairs`` (a, b).
 
@@ -200,12 +212,12 @@ def _by_hub(pairs: DataFrame, payload: DataFrame) -> DataFrame:
     """
     degree = cut_lineage(pairs.groupBy("a").agg(F.count("*").alias("_n")).withColumn("degree", F.col("_n")))
     chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / CHUNK)).alias("chunk")
-    dealt = cut_lineage(lookup(pairs, degree, ["a"], pairs.count()).select("a", "b", chunk))  # read several times below
+    dealt = cut_lineage(lookup(pairs, degree, ["a"]).select("a", "b", chunk))  # read several times below
     wanted = dealt.select("a", "chunk", F.lit(1).alias("role"), F.col("b").alias("need")).unionByName(
         dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("need"))
     )
-    ids = dealt.select("b").unionByName(dealt.select(F.col("a").alias("b")).distinct())
-    rows = wanted.join(sieve(payload, "need", ids), "need").select("a", "chunk", "role", "need", *payload.columns[1:])
+    ids = dealt.select(F.col("b").alias("need")).unionByName(dealt.select(F.col("a").alias("need")).distinct())
+    rows = _fetched(wanted, payload, "need", ids).select("a", "chunk", "role", "need", *payload.columns[1:])
     return rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role")
 
 
@@ -315,10 +327,10 @@ def across(members: DataFrame, sketch: DataFrame, docs: DataFrame, percent: int,
                         out_b.append(max(rep[i], rep[o]))
             yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    dealt = members.join(sieve(sketch, "rep", members.select("rep")), "rep").repartition(*at).sortWithinPartitions(*at)
+    dealt = _fetched(members, sketch, "rep", members.select("rep")).repartition(*at).sortWithinPartitions(*at)
     found = cut_lineage(dealt.mapInArrow(touched, "band long, low_block int, high_block int, block int, comp long, rep long").distinct())
     texts = _input(docs).where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "rep")
-    full = found.join(sieve(sketch, "rep", found.select("rep")), "rep").join(sieve(texts, "rep", found.select("rep")), "rep")
+    full = _fetched(_fetched(found, sketch, "rep", found.select("rep")), texts, "rep", found.select("rep"))
     return full.repartition(*at).sortWithinPartitions(*at).mapInArrow(confirmed, "a long, b long").distinct()
 
 
@@ -341,9 +353,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
     # the buckets of two classes or more, with their least class
     banded = cut_lineage(_banded(classes, []))
     roots = cut_lineage(banded.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("_n")).where("_n > 1"))
-    total = roots.agg(F.sum("_n")).first()[0] or 0
-    shared = cut_lineage(sieve(banded, "band", roots.select("band")))
-    shared = cut_lineage(lookup(shared, roots, ["band"], total).where("a IS NOT NULL"))
+    if roots.count() > FEW:
+        banded = cut_lineage(sieve(banded, "band", roots.select("band")))
+    shared = cut_lineage(lookup(banded, roots, ["band"]).where("a IS NOT NULL"))
     del banded, roots
 
     # round 1: each member of a bucket with the least
@@ -357,13 +369,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
     keyed = cut_lineage(keyed)
     mixed = keyed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("_n")).where("low <> high")
     mixed = cut_lineage(mixed.select("band", "_n", F.col("_n").alias("_rows")))
-    members = cut_lineage(lookup(keyed, mixed, ["band"], total).where("_rows IS NOT NULL"))
+    members = cut_lineage(lookup(keyed, mixed, ["band"]).where("_rows IS NOT NULL"))
     del shared, keyed, mixed
     sketch = classes.select("rep", "n", "regs")
     more = cut_lineage(across(into_blocks(members, "rep", BLOCK), sketch, docs, percent, words))
     final = joined if more.isEmpty() else cut_lineage(components(links.unionByName(more)))
 
     per_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.col("copies").alias("_n"), F.coalesce("component", "rep").alias("of_class"))
-    out = lookup(sets, cut_lineage(per_class), ["set_a", "set_b"], sets.count())
+    out = lookup(sets, cut_lineage(per_class), ["set_a", "set_b"])
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
