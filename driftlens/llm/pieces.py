@@ -31,10 +31,18 @@ from pyspark.sql import functions as F
 from driftlens.llm.common import slices
 
 SPACE = "▁"
-MEMO = 400_000
+MEMO = 200_000
 _coders: dict[tuple[str, str], "PieceCoder"] = {}
 
 
+def gathered(parts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the parts that ``codes`` name, one after another; where each begins, and the end); part k is ``lengths[k]`` long."""
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    each = lengths[codes]
+    cuts = np.concatenate([[0], np.cumsum(each)])
+    return parts[np.arange(cuts[-1]) - np.repeat(cuts[:-1] - starts[codes], each)], cuts
+
+
 class PieceCoder:
     def __init__(self, path: str, kind: str = "bpe", memo: int = MEMO):
         import sentencepiece
@@ -54,6 +62,7 @@ class PieceCoder:
         self.size = [len(t) for t in self.text_of]
         self.pairs: dict[tuple[int, int], bool] = {}
         self.memo: dict[str, bytes] = {}
+        self.shown: tuple[np.ndarray, np.ndarray] | None = None  # what each id gives back, and how long it is
 
     @classmethod
     def of(cls, path: str, kind: str) -> "PieceCoder":
@@ -143,8 +152,24 @@ class PieceCoder:
         coded = lists.flatten().dictionary_encode()
         found = self.units([SPACE + w for w in coded.dictionary.to_pylist()])
         codes, ends = coded.indices.to_numpy(), lists.offsets.to_numpy()
-        ends = ends - ends[0]
-        return [self.encode(texts[k].as_py()) if odd[k] else np.frombuffer(b"".join([found[c] for c in codes[a:b].tolist()]), np.uint16) for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+        flat, cuts = gathered(np.frombuffer(b"".join(found), np.uint16), np.fromiter(map(len, found), np.int64, len(found)) // 2, codes)
+        at = cuts[ends - ends[0]].tolist()
+        return [self.encode(texts[k].as_py()) if o else flat[a:b] for k, (o, a, b) in enumerate(zip(odd.tolist(), at, at[1:], strict=False))]
+
+    def decode_column(self, ids: list[np.ndarray]) -> list[bytes]:
+        """``decode`` of many, as UTF-8: the pieces' bytes gathered for all at once."""
+        if self.shown is None:
+            parts = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.special else self.text_of[i].replace(SPACE, " ").encode() for i in range(len(self.text_of))]
+            self.shown = np.frombuffer(b"".join(parts), np.uint8), np.fromiter(map(len, parts), np.int64, len(parts))
+        raw, cuts = gathered(*self.shown, np.concatenate(ids) if ids else np.zeros(0, np.int64))
+        at = cuts[np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)].tolist()
+        out, whole = [], raw.tobytes()
+        for a, b in zip(at, at[1:], strict=False):
+            text = whole[a:b]
+            if not text.isascii():
+                text = text.decode("utf-8", "replace").replace(SPACE, " ").encode()
+            out.append(text[1:] if text.startswith(b" ") else text)
+        return out
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces joined, marks as spaces, the first space taken off; broken bytes become U+FFFD."""
@@ -167,9 +192,9 @@ def encode_decode(docs: DataFrame, model: str, kind: str = "bpe", keep_ids: bool
         for part in slices(batches, "text"):
             rows = []
             texts = part.column(1)
-            for doc_id, text, ids in zip(part.column(0).to_pylist(), texts.to_pylist(), coder.encode_column(texts), strict=True):
-                back = coder.decode(ids.tolist())
-                rows.append((doc_id, len((text or "").encode()), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == (text or ""), *([ids.tolist()] if keep_ids else [])))
+            all_ids = coder.encode_column(texts)
+            for doc_id, text, ids, back in zip(part.column(0).to_pylist(), texts.cast(pa.binary()).to_pylist(), all_ids, coder.decode_column(all_ids), strict=True):
+                rows.append((doc_id, len(text or b""), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), hashlib.sha256(back).hexdigest(), back == (text or b""), *([ids.tolist()] if keep_ids else [])))
             cols = list(zip(*rows, strict=True))
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 

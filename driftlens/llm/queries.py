@@ -20,6 +20,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the public model, which is BPE: its scores are merge ranks, so that the cut with
+    the greatest sum (``kind="unigram"``, Viterbi) is not what its library gives.  The same
+    single pass over the automaton's output links is made, but a link is relaxed by whether its
+    piece goes with the last one of the prefix before it, which gives the library's ids.
+    """
     from driftlens.llm.pieces import encode_decode
 
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
