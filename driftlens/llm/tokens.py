@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from driftlens.llm.common import SLICE_BYTES, slices
 
-#: Distinct words that a worker remembers (some 20 MB); it starts afresh when it has more.
-MEMO = 150_000
+#: Distinct words that a worker remembers (some 40 MB); it starts afresh when it has more.
+MEMO = 300_000
 #: A text of more characters than this is encoded in overlapping chunks.
 HUGE = 32_768
 CHUNK, OVERLAP = 16_384, 256
