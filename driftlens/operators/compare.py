@@ -13,9 +13,9 @@ from driftlens.operators.lineage import durable
 from driftlens.operators.mining import Mined
 
 
-def run_totals(lines: DataFrame, runs: int) -> list[int]:
+def run_totals(mined: Mined, runs: int) -> list[int]:
     """Lines of each run; one number a run comes to the driver."""
-    got = {r["run_idx"]: r["n"] for r in lines.groupBy("run_idx").agg(F.count("*").alias("n")).collect()}
+    got = {r["run_idx"]: r["n"] for r in mined.groups.groupBy("run_idx").agg(F.sum("n").alias("n")).collect()}
     return [got.get(i, 0) for i in range(runs)]
 
 

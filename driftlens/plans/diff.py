@@ -90,9 +90,10 @@ class Diff:
 def diff(lines: DataFrame, n: int, options: DiffOptions = DiffOptions()) -> Diff:
     """Compare run ``n`` of ``lines`` (run_idx, line_no, raw) with runs 0 to n - 1."""
     spark: SparkSession = lines.sparkSession
-    lines = durable(lines.select("run_idx", "line_no", "raw"))  # read by each step below
-    totals = C.run_totals(lines, n + 1)
+    if options.watch_fields or options.context:
+        lines = durable(lines.select("run_idx", "line_no", "raw"))  # read again below
     mined = mine(lines, options.threshold, options.masks)
+    totals = C.run_totals(mined, n + 1)
     counts = durable(C.counted(mined, n))
     found = C.findings(counts, totals, n, options.significance)
     values = spark.createDataFrame([], VALUE)

@@ -105,9 +105,8 @@ _SCORE = f"({_sql_g('(c0 + c1)', '(t0 + t1)', 'tc', 'tt')}) / ({_sql_penalty(_R0
 
 
 def _counts(spark, sf_dir):
-    lines = durable(changed_lines(spark, sf_dir))
-    mined = mine(lines)
-    return lines, mined, C.counted(mined, 2)
+    mined = mine(changed_lines(spark, sf_dir))
+    return mined, durable(C.counted(mined, 2))
 
 
 # ---------------------------------------------------------------- mining
@@ -140,7 +139,7 @@ def line_templates(spark, sf_dir):
 
 @query("cluster_counts", f"WITH {_SQL_LINES} SELECT template, c0, c1, tc FROM kinds")
 def cluster_counts(spark, sf_dir):
-    return _counts(spark, sf_dir)[2].select("template", "c0", "c1", "tc")
+    return _counts(spark, sf_dir)[1].select("template", "c0", "c1", "tc")
 
 
 # ---------------------------------------------------------------- scores
@@ -179,8 +178,8 @@ _KIND = f"""CASE WHEN tc > 0 AND c0 + c1 = 0 THEN 'new' WHEN tc = 0 AND c0 > 0 A
 
 
 def _findings(spark, sf_dir):
-    lines, mined, counts = _counts(spark, sf_dir)
-    return C.findings(counts, C.run_totals(lines, 3), 2, SIGNIFICANCE)
+    mined, counts = _counts(spark, sf_dir)
+    return C.findings(counts, C.run_totals(mined, 3), 2, SIGNIFICANCE)
 
 
 def _finding_query(kind: str):
@@ -203,9 +202,8 @@ def diff_summary(spark, sf_dir):
 
 
 def _tracked(spark, sf_dir):
-    lines, mined, counts = _counts(spark, sf_dir)
-    counts = durable(counts)
-    return lines, counts, durable(C.tracked(mined, counts, 2))
+    mined, counts = _counts(spark, sf_dir)
+    return mined, counts, durable(C.tracked(mined, counts, 2))
 
 
 @query("new_values", f"""WITH {_SQL_LINES}, v AS (SELECT event_type, state, count(*) FILTER (WHERE run_idx < 2) AS b, count(*) FILTER (WHERE run_idx = 2) AS t, min(line_no) FILTER (WHERE run_idx = 2) AS line FROM l GROUP BY ALL)
@@ -221,9 +219,9 @@ def new_values(spark, sf_dir):
     SELECT replace(template, 'on <*>', 'on svc-' || svc) AS template, v0 AS c0, v1 AS c1, line AS line_no FROM v JOIN kinds k ON k.event_type = v.event_type, totals
     WHERE v.t = 0 AND k.tc > 0 AND v0 > 0 AND least(v0 / CAST(k.c0 AS DOUBLE), v1 / CAST(k.c1 AS DOUBLE)) * k.tc >= 8""")
 def gone_values(spark, sf_dir):
-    lines, counts, tracked = _tracked(spark, sf_dir)
+    mined, counts, tracked = _tracked(spark, sf_dir)
     c = F.col("baseline_counts")
-    return C.gone_values(tracked, counts, C.run_totals(lines, 3), 2).select("template", F.get(c, F.lit(0)).alias("c0"), F.get(c, F.lit(1)).alias("c1"), F.col("first_baseline_line_no").alias("line_no"))
+    return C.gone_values(tracked, counts, C.run_totals(mined, 3), 2).select("template", F.get(c, F.lit(0)).alias("c0"), F.get(c, F.lit(1)).alias("c1"), F.col("first_baseline_line_no").alias("line_no"))
 
 
 # ---------------------------------------------------------------- blocks and context

@@ -1,7 +1,8 @@
 """Live lines that fit no template of the baselines.
 
-The model is frozen, so the stream keeps no state: each micro-batch's lines meet the
-templates of their own bucket in a stream-static join, and those that none takes go on.
+The model is frozen, so the stream keeps no state: lines meet the templates of their own
+bucket where they are read, or, where the model is large, in a stream-static join, and
+those that none takes go on.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ from pyspark.sql import types as T
 
 from driftlens.config import THRESHOLD
 from driftlens.functions.text import signature, tokenize
+from driftlens.operators.joins import FEW
 from driftlens.operators.mining import bucket_of, clusters, similarity
 
+#: Bytes of templates that are sent to all tasks at most, and token lists whose answer is remembered.
+MODEL_BYTES, MEMO = 32_000_000, 100_000
+
 
 def model(baselines: DataFrame, threshold: float = THRESHOLD, masks=()) -> DataFrame:
     """The templates of ``baselines`` as rows to match against: one row a bucket."""
@@ -40,8 +45,45 @@ def described(lines: DataFrame, masks=()) -> DataFrame:
     return lines.mapInArrow(run, T.StructType([*lines.schema.fields, *T.StructType.fromDDL("bucket string, line_shapes array<string>, line_kinds array<int>").fields]))
 
 
+class Frozen:
+    """Templates that answer whether one of them takes a line, and never change."""
+
+    def __init__(self, held: dict[str, list[tuple]], threshold: float, masks):
+        self.held, self.threshold, self.masks, self.memo = held, threshold, tuple(masks), {}
+
+    def takes(self, line: str) -> bool:
+        tokens = tokenize(line, self.masks)
+        key = tuple(tokens)
+        known = self.memo.get(key)
+        if known is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            shapes, _, kinds, _ = signature(tokens)
+            known = self.memo[key] = any(similarity(*t, shapes, kinds) >= self.threshold for t in self.held.get(bucket_of(tokens), ()))
+        return known
+
+
+def _held(templates: DataFrame) -> dict[str, list[tuple]]:
+    return {r["bucket"]: [(t["shapes"], t["words"], t["attributes"]) for t in r["templates"]] for r in templates.toLocalIterator()}
+
+
 def novel(lines: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, masks=()) -> DataFrame:
-    """The rows of ``lines``, a batch or a stream, that fit no template; all their columns."""
+    """The rows of ``lines``, a batch or a stream, that fit no template; all their columns.
+
+    Templates of at most ``MODEL_BYTES`` of text and ``FEW`` in number go to all tasks, which
+    filter lines where they are read; of more, lines meet those of their bucket by a join.
+    """
+    size = F.aggregate("templates", F.lit(0), lambda n, t: n + F.octet_length(F.array_join(t["shapes"], " ", "")))
+    count, total = templates.agg(F.coalesce(F.sum(F.size("templates")), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+    if count <= FEW and total <= MODEL_BYTES:
+        shared, at, own = lines.sparkSession.sparkContext.broadcast(_held(templates)), lines.columns.index("raw"), tuple(masks)
+
+        def run(batches):
+            frozen = Frozen(shared.value, threshold, own)
+            for b in batches:
+                yield b.filter(pa.array([not frozen.takes(r or "") for r in b.column(at).to_pylist()], pa.bool_()))
+
+        return lines.mapInArrow(run, lines.schema)
     d = described(lines, masks).join(templates, "bucket", "left")
     agree = lambda kind: "aggregate(zip_with(zip_with(t.shapes, line_shapes, (a, b) -> a IS NOT NULL AND a = b), line_kinds, (s, k) -> s AND k = %d), 0, (n, x) -> n + int(x))" % kind
     same = "forall(zip_with(t.shapes, line_shapes, (a, b) -> a IS NULL OR a = b), x -> x)"
@@ -55,12 +97,9 @@ def live(source, templates: DataFrame, threshold: float = THRESHOLD, masks=()) -
     One pipe is read by one process, so this runs on the driver, which holds the templates;
     ``watch`` is for what comes as files.
     """
-    held = {r["bucket"]: r["templates"] for r in templates.toLocalIterator()}
-    masks = tuple(masks)
+    frozen = Frozen(_held(templates), threshold, masks)
     for line in source:
-        tokens = tokenize(line, masks)
-        shapes, _, kinds, _ = signature(tokens)
-        if not any(similarity(t["shapes"], t["words"], t["attributes"], shapes, kinds) >= threshold for t in held.get(bucket_of(tokens), ())):
+        if not frozen.takes(line):
             yield line
 
 

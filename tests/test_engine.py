@@ -211,19 +211,24 @@ def test_sources(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-def test_novel_batch_and_stream(spark, tmp_path):
+@pytest.mark.parametrize("few", [100, 0])
+def test_novel_batch_and_stream(spark, tmp_path, monkeypatch, few):
+    from driftlens.streaming import novel as module
+    from driftlens.streaming.novel import live as one_by_one
     from driftlens.streaming.novel import model, novel, watch
 
+    monkeypatch.setattr(module, "FEW", few)  # with 0, lines meet templates by a join
+
     base = lines(spark, ["user alice logged in", "user bob logged in", "job 12345 done", ""])
     live = ["user carol logged in", "disk failed badly", "job 99999 done", "", "user carol logged out now"]
     m = model(base)
     want = ["disk failed badly", "user carol logged out now"]
-    assert [r.raw for r in novel(lines(spark, live), m).orderBy("line_no").collect()] == want
+    assert [r.raw for r in novel(lines(spark, live), m).orderBy("line_no").collect()] == want == list(one_by_one(live, m))
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.log").write_text("\n".join(live))
-    q = watch(spark, str(tmp_path / "in"), m).writeStream.format("memory").queryName("novel_test").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = watch(spark, str(tmp_path / "in"), m).writeStream.format("memory").queryName(f"novel_test{few}").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert sorted(r.raw for r in spark.table("novel_test").collect()) == sorted(want)
+    assert sorted(r.raw for r in spark.table(f"novel_test{few}").collect()) == sorted(want)
 
 
 def test_reports_and_cli(spark, tmp_path, capsys):
