@@ -38,7 +38,10 @@ SLICE = 1_500_000
 #: Anchors that a shard sorts at once, about.
 SHARD = 1_000_000
 
-_PLACE = 28  # bits of a place within a slice
+#: Bytes of a slice that are looked at at once; only a text that is longer than a slice has more.
+STEP = 4_000_000
+
+_PLACE = 28  # bits of a place within a step
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -60,16 +63,24 @@ def _join(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
 class Slice:
     """The anchors of a slice: ``doc`` (number of the text), string starts ``low`` to ``high``, ``gram`` identifier."""
 
-    def __init__(self, texts: list[bytes], least: int = LEAST, gram: int = GRAM):
+    def __init__(self, texts: list[bytes], least: int = LEAST, gram: int = GRAM, step: int = STEP):
         self.least, self.size = least, gram
         self.bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         raw = np.frombuffer(b"".join(texts), np.uint8)
-        n = len(raw) - gram + 1
         empty = np.zeros(0, np.int64)
         self.low = self.high = self.doc = empty
         self.gram = self.grams = empty.astype(np.uint64)
         if len(raw) < least:
             return
+        self.grams = np.empty(len(raw) - gram + 1, np.uint64)
+        found = [self._anchors(raw, a, min(a + step, len(raw) - least + 1)) for a in range(0, len(raw) - least + 1, step)]
+        self.low, self.high, self.doc, self.gram = (np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _anchors(self, raw: np.ndarray, begin: int, end: int):
+        """Anchors of the starts from ``begin`` to ``end``; a longer slice than ``STEP`` is one very long text, and taken a part at a time."""
+        least, gram = self.least, self.size
+        raw = raw[begin : end + least - 1]
+        n = len(raw) - gram + 1
         power = np.full(len(raw), _BASE, np.uint64)
         power[0] = 1
         np.multiply.accumulate(power, out=power)
@@ -80,29 +91,31 @@ class Slice:
         power[0] = 1
         grams *= np.multiply.accumulate(power[:n], out=power[:n])
         del power
-        self.grams = _mix(grams)
-        del grams
+        grams = _mix(grams)
+        self.grams[begin : begin + n] = grams
         # leftmost smallest identifier of each window: identifier above, place below
         wide = least - gram + 1
         mask = np.uint64((1 << _PLACE) - 1)
-        best = (self.grams & ~mask) | np.arange(n, dtype=np.uint64)
+        best = (grams & ~mask) | np.arange(n, dtype=np.uint64)
         span = 1
         while span < wide:
-            step = min(span, wide - span)
-            best = np.minimum(best[:-step], best[step:])
-            span += step
+            move = min(span, wide - span)
+            best = np.minimum(best[:-move], best[move:])
+            span += move
         at = (best & mask).astype(np.int32)
         del best
-        start = np.arange(len(at), dtype=np.int32)
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(self.bounds))[: len(at)]
+        start = np.arange(begin, end)
+        first_doc = int(np.searchsorted(self.bounds, begin, "right")) - 1
+        held = np.diff(np.clip(self.bounds[first_doc:], begin, end))
+        doc = np.repeat(np.arange(first_doc, first_doc + len(held), dtype=np.int32), held)
         own = start + least <= self.bounds[doc + 1]
         new = np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
         first = np.flatnonzero(new & own)
         # a run's last start: the next run's start, or where the text's own starts end
         nxt = np.concatenate([np.flatnonzero(new), [len(at)]])
-        last = nxt[np.searchsorted(nxt, first, "right")] - 1
+        last = begin + nxt[np.searchsorted(nxt, first, "right")] - 1
         last = np.minimum(last, self.bounds[doc[first] + 1] - least)
-        self.low, self.high, self.doc, self.gram = first, last, doc[first].astype(np.int64), self.grams[at[first]]
+        return begin + first, last, doc[first].astype(np.int64), grams[at[first]]
 
     def strings(self, at: np.ndarray) -> np.ndarray:
         """Identifiers of the ``least``-byte strings that start at ``at``, refined from the q-grams'."""
@@ -156,9 +169,9 @@ def _sharded(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
 class Work:
     """A slice on its way through the rounds; every step follows from its texts and the bits that came back."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes], shards: int, least: int, gram: int):
+    def __init__(self, ids: np.ndarray, texts: list[bytes], shards: int, least: int, gram: int, step: int = STEP):
         self.shards = shards
-        self.part = Slice(texts, least, gram)
+        self.part = Slice(texts, least, gram, step)
         self.key, self.of = np.unique(self.part.gram, return_inverse=True)
         # gram identifiers that two documents of this very slice hold
         own = ids[self.part.doc].astype(np.int64)
@@ -273,7 +286,7 @@ def _sort_shard(table: pa.Table) -> pa.Table:
     })
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, slice_bytes: int = SLICE) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, slice_bytes: int = SLICE, step: int = STEP) -> DataFrame:
     """All columns of ``docs`` and n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes
     that stay) and kept_text (those as text; characters that lost a part are left out).
 
@@ -328,7 +341,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, slice_
 
     def through(blob, replies, rounds):
         table, ids, texts = opened(blob)
-        work = Work(ids, texts, shards, least, gram)
+        work = Work(ids, texts, shards, least, gram, step)
         if rounds > 1:
             work.take_first(replies.get(1, {}))
         if rounds > 2:

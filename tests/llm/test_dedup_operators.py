@@ -158,6 +158,23 @@ def test_repeats(spark, seed):
         assert r.kept_text == kept.decode("utf-8", "ignore")
 
 
+def test_repeats_of_texts_longer_than_a_slice(spark):
+    """A text over a slice is taken in steps; runs that a step cuts find their likes in other texts."""
+    from driftlens.llm import substrings
+
+    rng = np.random.default_rng(9)
+    made = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage, other = made(400), made(900)
+    rows = [(1, made(3000) + passage + made(2500) + other[:500]), (2, made(37) + passage), (3, made(10) + other + made(4000) + passage[100:300]), (4, other[200:800]), (5, made(2000))]
+    docs = [(i, t.encode()) for i, t in rows]
+    whole = [substrings.Slice([t for _, t in docs], step=s) for s in (1 << 20, 700)]
+    assert np.array_equal(whole[0].grams, whole[1].grams) and len(whole[1].low) >= len(whole[0].low)
+    work = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substrings.remove_repeats(work, slice_bytes=1000, step=700).orderBy("doc_id").collect()
+    for r, (_, t), gone in zip(got, docs, covered(docs), strict=True):
+        assert r.n_removed == int(gone.sum()) and r.kept == bytes(b for b, g in zip(t, gone, strict=True) if not g)
+
+
 def test_repeats_odd(spark):
     from driftlens.llm.substrings import remove_repeats
 
@@ -201,6 +218,24 @@ def test_embeddings(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_at_the_threshold_and_repeated_ids(spark):
+    from driftlens.llm.embeddings import near_vectors
+
+    # 0.98 is not a double, so take vectors whose cosine in double precision is what we ask for
+    a, b, c = [3.0, 4.0, 0.0], [4.0, 3.0, 0.0], [0.0, 0.0, 1.0]
+    cosine = float(np.dot(a, b)) / (float(np.sqrt(np.dot(a, a))) * float(np.sqrt(np.dot(b, b))))
+    df = spark.createDataFrame([(1, a, 0), (2, b, 0), (3, c, 0)], "vec_id long, embedding array<double>, label int")
+    assert [r.n_links for r in near_vectors(df, least=cosine, tables=60, bits=1).orderBy("vec_id").collect()] == [1, 1, 0]
+    assert [r.n_links for r in near_vectors(df, least=np.nextafter(cosine, 1), tables=60, bits=1).orderBy("vec_id").collect()] == [0, 0, 0]
+    # 7 has two vectors of its own, near 2 and near 9; they make one component
+    near = lambda v: [x + 0.01 for x in v]
+    rows = [(2, a, 0), (7, near(a), 0), (7, near(c), 0), (9, c, 0), (9, c, 0), (8, b, 1), (None, a, 0)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in got), key=str) == sorted(
+        [(False, 2, 1, 2, True), (False, 7, 1, 2, False), (False, 7, 2, 2, False), (False, 9, 2, 2, False), (False, 9, 2, 2, False), (False, 8, 0, 8, True), (True, 0, 0, None, None)], key=str
+    )
+
+
 def test_components(spark):
     from driftlens.llm.common import components
 
