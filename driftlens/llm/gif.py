@@ -319,7 +319,7 @@ def media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
 
     One pass without a shuffle.  A null text is an empty one, which is one row of spaces;
     repeated rows come out repeated; a null doc_id stays null; an empty table gives no rows.
-    ``keep_media`` adds the column ``media``.
+    Frames' times and the histogram of their colours are columns too.  ``keep_media`` adds the column ``media``.
     """
 
     def run(batches):
@@ -330,13 +330,16 @@ def media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 gif = encode(padded(text))
                 frames = decode(gif)
                 back = b"".join(f.drawn[:, :, 0].tobytes() for f in frames)  # grey: red is the sample
-                counts = sum(colour_histogram(f.drawn) for f in frames).reshape(3, BINS).sum(0)
+                histogram = sum(colour_histogram(f.drawn) for f in frames)
+                counts = histogram.reshape(3, BINS).sum(0)
                 share = counts / counts.sum()
                 feature = f"frames={len(frames)};ms={sum(f.duration_ms for f in frames)};hist=" + ",".join(f"{v:.6f}" for v in share)
-                rows.append((doc_id, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(gif), hashlib.sha256(gif).hexdigest(), feature, *([gif] if keep_media else [])))
+                rows.append((doc_id, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(gif), hashlib.sha256(gif).hexdigest(), feature, [f.start_ms for f in frames], [f.duration_ms for f in frames], histogram.tolist(), *([gif] if keep_media else [])))
             yield pa.RecordBatch.from_pylist([dict(zip(shape.names, r, strict=True)) for r in rows], shape)
 
     fields = [("doc_id", "int64"), ("n_bytes", "int64"), ("payload_bytes", "int64"), ("payload_sha256", "string"), ("tail_crc32", "int64"), ("media_bytes", "int64"), ("media_sha256", "string"), ("feature", "string")]
-    shape = pa.schema([(n, getattr(pa, t)()) for n, t in fields + [("media", "binary")] * keep_media])
-    ddl = ", ".join(f"{n} {'long' if t == 'int64' else t}" for n, t in fields + [("media", "binary")] * keep_media)
+    fields += [("frame_start_ms", "int64s"), ("frame_duration_ms", "int64s"), ("histogram", "int64s")] + [("media", "binary")] * keep_media
+    kinds = {"int64": (pa.int64(), "long"), "string": (pa.string(), "string"), "int64s": (pa.list_(pa.int64()), "array<long>"), "binary": (pa.binary(), "binary")}
+    shape = pa.schema([(n, kinds[t][0]) for n, t in fields])
+    ddl = ", ".join(f"{n} {kinds[t][1]}" for n, t in fields)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text")).mapInArrow(run, ddl)

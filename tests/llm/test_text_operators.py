@@ -151,7 +151,8 @@ def test_gif_by_another_decoder(spark):
         # grey pixels: red, green and blue are the sample
         counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256).reshape(gif.BINS, -1).sum(1)
         assert r.feature == f"frames={frames};ms={ms};hist=" + ",".join(f"{v:.6f}" for v in counts / counts.sum())
-        assert ms == 10 * gif.DELAY * frames
+        assert ms == 10 * gif.DELAY * frames == sum(r.frame_duration_ms) and r.frame_start_ms == [10 * gif.DELAY * k for k in range(frames)]
+        assert r.histogram == counts.tolist() * 3
     long = rng.integers(0, 256, 192 * 100, np.uint8).tobytes()
     assert plain_gif(gif.encode(long, rows=7)) == (long, 10 * gif.DELAY * 15)
 
