@@ -45,7 +45,7 @@ CHUNK = 256
 #: Classes of a bucket that are compared with as many others at once.
 BLOCK = 512
 #: Standard errors by which an estimate may fall short of the threshold.
-SLACK = 3.5
+SLACK = 5.0
 
 _rng = np.random.default_rng(64)
 _LENDERS = np.stack([_rng.permutation(COARSE) for _ in range(256)], axis=1)  # [bucket, attempt]
