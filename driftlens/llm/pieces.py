@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from driftlens.llm.common import slices
 
 SPACE = "▁"
-MEMO = 200_000
+MEMO = 400_000
 _coders: dict[tuple[str, str], "PieceCoder"] = {}
 
 
@@ -55,12 +55,13 @@ class PieceCoder:
         self.id_of_byte = {b: i for i, b in self.byte_of.items()}
         self.id_of = {t: i for i, t in enumerate(self.text_of) if i not in self.special and i not in self.byte_of}
         self.score = {i: model.get_score(i) for i in self.id_of.values()}
+        self.characters = frozenset(t for t in self.id_of if len(t) == 1)
         self.automaton = ahocorasick.Automaton()
         for t, i in self.id_of.items():
             self.automaton.add_word(t, (i, len(t)))
         self.automaton.make_automaton()
         self.size = [len(t) for t in self.text_of]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by left + 1 and right, 16 bits each
         self.memo: dict[str, bytes] = {}
         self.shown: tuple[np.ndarray, np.ndarray] | None = None  # what each id gives back, and how long it is
 
@@ -85,12 +86,10 @@ class PieceCoder:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging ``left`` and ``right`` (-1: nothing) together gives just these two."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > self.limit:
-                self.pairs.clear()
-            want = [self.text_of[right]] if left < 0 else [self.text_of[left], self.text_of[right]]
-            known = self.pairs[left, right] = self.merged("".join(want)) == want
+        if len(self.pairs) > self.limit:
+            self.pairs.clear()
+        want = [self.text_of[right]] if left < 0 else [self.text_of[left], self.text_of[right]]
+        known = self.pairs[left + 1 << 16 | right] = self.merged("".join(want)) == want
         return known
 
     def known(self, text: str) -> list[int]:
@@ -103,12 +102,15 @@ class PieceCoder:
                 if s > best[end + 1]:
                     best[end + 1], last[end + 1] = s, i
         else:
-            last, done, fits = [-1] * (n + 1), -1, self.fits
+            last, done, asked = [-1] * (n + 1), -1, self.pairs.get
             for end, (i, size) in self.automaton.iter(text):  # longest first at each end
                 if end != done:
                     begin = end + 1 - size
-                    if (begin == 0 or last[begin] >= 0) and fits(last[begin], i):
-                        last[end + 1], done = i, end
+                    left = last[begin]
+                    if left >= 0 or not begin:
+                        fits = asked(left + 1 << 16 | i)
+                        if self.fits(left, i) if fits is None else fits:
+                            last[end + 1], done = i, end
         out, at = [], n
         while at:
             out.append(last[at])
@@ -116,6 +118,8 @@ class PieceCoder:
         return out[::-1]
 
     def word(self, text: str) -> list[int]:
+        if self.characters.issuperset(text):
+            return self.known(text)
         out: list[int] = []
         run = 0
         for k, ch in enumerate(text):
