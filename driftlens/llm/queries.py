@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftlens.llm.common import table
 
+BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 WORD_BPE = "word_bpe_49k.json"
 
@@ -79,6 +81,21 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlens.llm.alignment import alignment
+
+    return alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftlens.llm.fim import fill_in_middle, restored
+
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -95,5 +112,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE o.key IS NOT NULL) AS n_dropped,
                    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE o.key IS NULL), '')) AS kept_sha256
             FROM lines l LEFT JOIN often o ON l.key = o.key GROUP BY r, doc_id
-        """
+        """,
+        "op12_fill_in_middle": r"""
+            WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS hash FROM documents
+            ), u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM h
+            ), g AS (SELECT *, len(units) AS n, [CAST('0x' || hash[8 * i + 1 : 8 * i + 8] AS UBIGINT) for i in range(4)] AS r FROM u
+            ), c AS (
+                SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS low, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS high,
+                       CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM g
+            ), t AS (SELECT *, coalesce(array_to_string(units[1 : low], ''), '') AS prefix, coalesce(array_to_string(units[low + 1 : high], ''), '') AS middle, coalesce(array_to_string(units[high + 1 : n], ''), '') AS suffix FROM c
+            ), o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END AS output FROM t)
+            SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+                   sha256(output) AS output_sha256, sha256(text) AS restored_sha256 FROM o
+        """,
     }
