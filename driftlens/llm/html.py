@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 from pathlib import Path
@@ -24,11 +25,11 @@ from pyspark.sql import functions as F
 
 from driftlens.llm.common import slices
 
-PATH, WORDS, FIGURES = 72, 32, 8
+PATH, WORDS, FIGURES = 96, 32, 8
 WIDTH = PATH + WORDS + FIGURES
 HIDDEN = 20
 #: Pages composed for training, and passes over them.
-PAGES, PASSES, BATCH = 2000, 7, 32
+PAGES, PASSES, BATCH = 6000, 6, 32
 #: Blocks of a page that are labelled at once; pages of more go window by window.
 WINDOW = 8192
 WEIGHTS = Path(__file__).with_name("html_weights.npz")
@@ -41,12 +42,33 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: End tags that may be left out where these begin; of a paragraph where any other block does.
 _LEFT_OUT = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'])*?)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: An attribute; a quote opens a value only right after its equals sign, and one that nothing closes is a letter like others.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]++)"""
+_ONE = rf"(?:=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+{_VALUE}?+)?+"
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[\s/]++|{_ONE})*+)(?:>|\Z)", re.S,
+)
+_ATTRIBUTE = re.compile(rf"(?P<name>=[^\s/>=]*+|[^\s/>=]++)(?:\s*+=\s*+(?P<value>{_VALUE})?+)?+")
+_MARKED = frozenset(("class", "id", "role"))
 _NAME = re.compile(r"[a-z]+|\d+")
 _WORD = re.compile(r"[^\W\d_]+|[©®™»|·›]")
 
 
+def attributes(rest: str) -> Iterator[tuple[str, str]]:
+    """(name, value) of what stands in a start tag behind its name; references in values decoded."""
+    for a in _ATTRIBUTE.finditer(rest):
+        value = a["value"] or ""
+        if value[:1] in "\"'" and len(value) > 1 and value[0] == value[-1]:
+            value = value[1:-1]
+        yield a["name"].lower(), html.unescape(value)
+
+
+def _closes_itself(tag: str, rest: str) -> bool:
+    """``/>`` ends a foreign element at once; in HTML it says nothing, and behind an unquoted value it is part of that."""
+    return tag in ("svg", "math") and rest.endswith("/") and not any(a.end() == len(rest) for a in _ATTRIBUTE.finditer(rest))
+
+
 @dataclass
 class Block:
     path: int  # buckets of the tag path's names, as bits
@@ -105,7 +127,7 @@ def blocks(page: str) -> list[Block]:
 
     def flush():
         nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = " ".join("".join(parts).split())
         if text:
             out.append(Block(held[0] if held else 0, text, min(linked, len(text))))
         parts.clear()
@@ -123,12 +145,12 @@ def blocks(page: str) -> list[Block]:
 
     while True:
         m = _TOKEN.search(page, at)
-        add(page[at : m.start()] if m else page[at:])
+        add(html.unescape(page[at : m.start()] if m else page[at:]))  # a reference doesn't go on past a tag
         if m is None:
             break
         at = m.end()
         if m["cdata"] is not None:
-            add(html.escape(m["cdata"], quote=False))
+            add(m["cdata"])
             continue
         tag = (m["tag"] or "").lower()
         if not tag:
@@ -140,20 +162,22 @@ def blocks(page: str) -> list[Block]:
         if m["end"]:
             now.end(tag)
             continue
-        if tag in SILENT and not m["rest"].endswith("/"):
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+        if tag in SILENT:
+            if not _closes_itself(tag, m["rest"]):
+                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
+                at = close.end() if close else len(page)
             continue
-        if tag in VOID or m["rest"].endswith("/"):
+        if tag in VOID:
             continue
         if tag in BLOCKS:
             now.left_out(_LEFT_OUT.get(tag, ("p",)))
         bits = 1 << _bucket(tag, PATH)
-        for a in _ATTRIBUTE.finditer(m["rest"]):
-            value = (a[2] or a[3] or a[4] or "").lower()
-            for n in _NAME.findall(value):
-                if not n.isdigit():
-                    bits |= 1 << _bucket("." + n, PATH)
+        if "=" in m["rest"]:
+            for name, value in attributes(m["rest"]):
+                if name in _MARKED:
+                    for n in _NAME.findall(value.lower()):
+                        if not n.isdigit():
+                            bits |= 1 << _bucket("." + n, PATH)
         now.push(tag, bits)
     flush()
     return out
@@ -177,7 +201,7 @@ def vectors(page: list[Block], start: int = 0, end: int | None = None) -> np.nda
     out = np.zeros((len(chosen), WIDTH), np.float32)
     for k, b in enumerate(chosen):
         i = start + k
-        out[k, [j for j in range(PATH) if b.path >> j & 1]] = 1
+        out[k, :PATH] = np.unpackbits(np.frombuffer(b.path.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little")
         words = _WORD.findall(b.text.lower())
         if words:
             count = np.bincount([_bucket(w, WORDS) for w in words], minlength=WORDS)
@@ -364,6 +388,8 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
     top = [k for k in ("notice", "header", "nav", "ad", "form", "side") if maybe({"nav": 0.8, "header": 0.6, "ad": 0.4}.get(k, 0.25))]
     end = [k for k in ("ad", "side", "comments", "form", "nav", "footer", "notice") if maybe({"footer": 0.85, "comments": 0.4, "nav": 0.2}.get(k, 0.3))]
     rng.shuffle(top)
+    if maybe(0.08):  # nothing but an article
+        top = end = []
     for k in top:
         out.append(bad(k))
     shell = pick("<article>", "<article>", "<main>", "<main><article>", '<div class="article">', '<div id="content">', '<div class="post">', '<div class="entry-content">', '<section class="story">', "<div class='main-content'><article>", "<div>")
