@@ -1,16 +1,19 @@
 """Token ids and token counts of the library behind ``word_bpe_49k.json``.
 
-**Why whole words can be encoded apart.**  The tokenizer's pre-tokenizer never joins
-characters across white space, its normalizer turns every run of white space into one
-space and maps other characters one by one, and no special token holds white space.  So
-the ids of a text are those of its words, in order.  ``WordCoder`` uses this to encode
-each distinct word of a slice once.
-
-**Huge documents** take the path of overlapping chunks: each chunk is encoded with offsets
-and neighbours are spliced where both have a token that begins right after the same white
-space character, which by the above is a boundary whatever stands around it.  Where an
-overlap has no such place (one "word" longer than the overlap), it is widened until it
-has, or until it takes in the whole rest of the text.
+**Whole words.**  The tokenizer's pre-tokenizer never joins characters across white space,
+its normalizer turns every run of white space into one space and composes and lowers what
+stands between, and no special token holds white space.  So the ids of a text are those of
+its words, in order, and ``WordCoder`` encodes each distinct word of a slice once.  Within a
+word, closing marks are taken off only behind a character that is still a letter once it is
+composed and lowered: some letters come apart into a letter and a mark, and marks join
+what follows.
+
+**Huge documents** are encoded in overlapping chunks with offsets.  In an overlap, tokens of
+both chunks that have the same offsets and id make runs; the longest one is spliced behind
+a token that ends a word in both, near the run's middle.  There both have come to the same
+state: the pre-tokenizer looks ahead only, so from a common end of a word on it goes on
+alike, and what a chunk's cut spoils lies at the outer ends of the overlap.  Where the
+longest run is short or ends no word, the overlap is widened, and then the chunk.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
-from unicodedata import is_normalized
+from unicodedata import category, is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +35,18 @@ from driftlens.llm.common import SLICE_BYTES, slices
 MEMO = 300_000
 #: A text of more characters than this is encoded in overlapping chunks.
 HUGE = 32_768
-CHUNK, OVERLAP = 16_384, 256
+CHUNK, OVERLAP = 16_384, 512
+#: Tokens that two chunks must have in common one after another to be spliced.
+RUN = 8
 
 _coders: dict[str, "WordCoder"] = {}
 
 
+def _ends_in_letter(word: str) -> bool:
+    """Whether the last character is a letter as the normalizer leaves it (``İ`` becomes ``i`` and a mark)."""
+    return category(normalize("NFC", word)[-1].lower()[-1])[0] == "L"
+
+
 class WordCoder:
     """Ids of texts by way of their distinct words."""
 
@@ -64,13 +74,13 @@ class WordCoder:
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of each word as little-endian 16-bit numbers (the vocabulary has fewer than 65,536).
 
-        Closing marks after a letter are a pre-token of their own, and the normalizer makes
-        ASCII letters small, so ``Word,`` takes what is known of ``word`` and of ``,``.
+        Closing marks after what is normalized to a letter are a pre-token of their own, and the
+        normalizer makes ASCII letters small, so ``Word,`` takes what is known of ``word`` and of ``,``.
         """
         memo, plan, new = self.memo, [], {}
         for w in words:
             base = w.rstrip(",.;:!?")
-            tail = w[len(base) :] if base and base[-1].isalpha() else ""
+            tail = w[len(base) :] if base and (base[-1].isascii() and base[-1].isalpha() or _ends_in_letter(base)) else ""
             base = base if tail else w
             if base.isascii() and "<|" not in base:
                 base = base.lower()
@@ -135,35 +145,78 @@ class WordCoder:
         return ends - ends[0], coded.indices.to_numpy(), lengths, np.frombuffer(b"".join(found), np.uint16)
 
 
-def chunked_ids(library, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[list[int]]:
-    """The ids of ``text``, a part at a time, from overlapping chunks that are spliced where both agree."""
-    begin, taken = 0, 0  # the open chunk's first character; characters whose tokens are out
-    size, n = chunk, len(text)
-    while True:
-        end = min(n, begin + size)
-        left = library.encode(text[begin:end], add_special_tokens=False)
-        if end == n:
-            yield [i for i, (a, _) in zip(left.ids, left.offsets, strict=True) if begin + a >= taken]
-            return
-        starts = {begin + a for a, _ in left.offsets}
-        wide = overlap
-        while True:
-            low = max(taken, end - wide)
-            # a token begins here in the left chunk, right after white space, which the right chunk has too
-            cut = next((p for p in range(end - 1, low, -1) if p in starts and text[p - 1] in " \t\n\r\x0b\x0c"), None)
-            if cut is not None or low <= taken:
-                break
-            wide *= 2
-        if cut is None:  # no common boundary in the whole chunk: take in more text
-            size *= 2
+class Encoded:
+    """A chunk's ids with their offsets in the whole text."""
+
+    def __init__(self, library, text: str, begin: int, end: int):
+        e = library.encode(text[begin:end], add_special_tokens=False)
+        self.begin, self.end, self.ids = begin, end, e.ids
+        self.offsets = [(begin + a, begin + b) for a, b in e.offsets]
+
+
+def _common_run(left: Encoded, right: Encoded, first: int, limit: int, ends: frozenset[int]) -> tuple[int, int, int]:
+    """(tokens of the longest run that both have, and the places in both behind which to splice; -1 where it ends no word).
+
+    ``first`` is the first token of ``left`` that may be in it, ``limit`` the character by which it must end.
+    """
+    i, j, best, run = first, 0, (0, -1, -1), 0
+    ids_a, at_a, ids_b, at_b = left.ids, left.offsets, right.ids, right.offsets
+    longest = (0, 0)  # length, and where it ends in left
+    shift = 0
+    while i < len(ids_a) and j < len(ids_b) and at_a[i][1] <= limit:
+        if at_a[i] == at_b[j] and ids_a[i] == ids_b[j]:
+            run += 1
+            i, j = i + 1, j + 1
+            if run > longest[0]:
+                longest, shift = (run, i), j - i
             continue
-        right_begin = cut - 1
-        right = library.encode(text[right_begin : min(n, right_begin + chunk)], add_special_tokens=False)
-        if not any(right_begin + a == cut for a, _ in right.offsets):  # alignment fails: widen
+        run = 0
+        if at_a[i] == at_b[j]:
+            i, j = i + 1, j + 1
+        elif at_a[i] < at_b[j]:
+            i += 1
+        else:
+            j += 1
+    n, stop = longest
+    middle = stop - 1 - n // 2
+    words = [k for k in range(stop - n, stop) if ids_a[k] in ends]
+    if words:
+        k = min(words, key=lambda k: abs(k - middle))
+        best = (n, k, k + shift)
+    return best if words else (n, -1, -1)
+
+
+def word_ends(library) -> frozenset[int]:
+    """Ids behind which a word is over: those with the suffix of a word's end, and special tokens."""
+    suffix = library.model.end_of_word_suffix
+    special = set(library.get_added_tokens_decoder())
+    return frozenset(i for t, i in library.get_vocab().items() if i in special or t.endswith(suffix))
+
+
+def chunked_ids(library, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, ends: frozenset[int] | None = None, run: int = RUN) -> Iterator[list[int]]:
+    """The ids of ``text``, a part at a time, from overlapping chunks that are spliced within what both have."""
+    ends = word_ends(library) if ends is None else ends
+    margin = max((len(t.content) for t in library.get_added_tokens_decoder().values()), default=0)  # what a chunk's end may cut in two
+    n, size, first = len(text), chunk, 0
+    left = Encoded(library, text, 0, min(n, size))  # tokens before ``first`` are out
+    while left.end < n:
+        wide, spliced = overlap, False
+        while not spliced:
+            begin = max(left.begin, left.end - wide)
+            right = Encoded(library, text, begin, min(n, max(begin + chunk, left.end + overlap)))
+            found = next((k for k in range(first, len(left.ids)) if left.offsets[k][0] >= begin), len(left.ids)) if begin else first
+            length, a, b = _common_run(left, right, max(first, found), left.end - margin, ends)
+            if a >= 0 and length >= run and right.end > left.end:
+                yield left.ids[first : a + 1]
+                left, first, size, spliced = right, b + 1, chunk, True
+            elif begin > left.begin:
+                wide *= 2
+            else:
+                break
+        if not spliced:  # nothing in common in the whole chunk: take in more text
             size *= 2
-            continue
-        yield [i for i, (a, _) in zip(left.ids, left.offsets, strict=True) if taken <= begin + a < cut]
-        begin, taken, size = right_begin, cut, chunk
+            left = Encoded(library, text, left.begin, min(n, left.begin + size))
+    yield left.ids[first:]
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, huge: int = HUGE) -> DataFrame:
@@ -175,13 +228,14 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, huge: int
 
     def run(batches):
         coder = WordCoder.of(vocabulary)
+        ends = word_ends(coder.library)
         for part in slices(batches, "text", 3 * SLICE_BYTES):
             texts = part.column(1)
             chars = pc.fill_null(pc.utf8_length(texts), 0).to_numpy()
             long = chars > huge
             n = coder.count(pc.if_else(pa.array(long), pa.scalar("", texts.type), texts))
             for i in np.flatnonzero(long):
-                n[i] = sum(map(len, chunked_ids(coder.library, texts[i].as_py())))
+                n[i] = sum(map(len, chunked_ids(coder.library, texts[i].as_py(), ends=ends)))
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             yield pa.record_batch([part.column(0), size, pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
