@@ -26,9 +26,15 @@ from driftlens.llm.common import cut_lineage, release, slices
 #: Pairs whose sums are broadcast at most (13 bytes each); of more, documents meet them in a join.
 FEW_PAIRS = 3_000_000
 #: Bytes of text that are aligned at once.
-SLICE = 2_000_000
+SLICE = 1_500_000
 _B_BITS = 16
 
+#: Words whose ids a worker remembers for each tokenizer; it starts afresh when it has more.
+MEMO = 600_000
+#: White space other than single spaces and line feeds between words.
+_ODD = r"[ \n][ \n]|^[ \n]|[ \n]$|^$|[\x{00}-\x{09}\x{0b}-\x{1f}\x{7f}-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2581}\x{3000}\x{feff}]"
+
+Ids = tuple[np.ndarray, np.ndarray]  # ids one after another, and how many each text has
 _coders: dict[tuple[str, str], "Pair"] = {}
 
 
@@ -59,6 +65,10 @@ class Pair:
             raise ValueError("ids of the second tokenizer take more than 16 bits")
         pieces = [self.b.id_to_piece(i) for i in range(n)]
         self.b_bytes = _packed([bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        if any("▁" in p.lstrip("▁") for p in pieces):
+            raise ValueError("a piece of the second tokenizer goes on past a space")
+        self.memo_a: dict[str, bytes] = {}
+        self.memo_b: dict[str, bytes] = {}
         # the digits of each id with what may stand behind it
         most = max(len(parts), n)
         self.digits = _packed([f"{i}{mark}".encode() for i in range(most) for mark in ",|;"])
@@ -69,8 +79,62 @@ class Pair:
             _coders[a, b] = cls(a, b)
         return _coders[a, b]
 
-    def encode(self, texts: list[str]) -> tuple[list, list]:
-        return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> tuple[Ids, Ids]:
+        """Ids of space+text by A and of text by B, for all texts one after another.
+
+        Where white space is single spaces and line feeds alone, neither tokenizer joins what
+        stands before a space with what stands behind it (A's pre-tokens and B's pieces begin
+        with one), so distinct words are encoded once; other texts go to the libraries whole.
+        """
+        odd = pc.match_substring_regex(pa.array(texts, pa.string()), _ODD).to_numpy(zero_copy_only=False).astype(bool)
+        alone = np.flatnonzero(odd)
+        plain = pa.array(["" if o else t for t, o in zip(texts, odd.tolist(), strict=True)], pa.string())
+        out = []
+        for memo, library, lead, split in ((self.memo_a, self._by_a, " ", pc.replace_substring(plain, "\n", " \n")), (self.memo_b, self._by_b, "", plain)):
+            lists = pc.split_pattern(split, " ")
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            self._learn(memo, words, library, lead)
+            found = [memo[w] for w in words]
+            starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 2)])
+            flat, stop = _joined((np.frombuffer(b"".join(found), np.uint16), starts), coded.indices.to_numpy())
+            size = np.diff(np.concatenate([[0], stop])[ends - ends[0]])
+            if len(alone):  # an odd text has none so far
+                each = [library(lead + texts[k]) for k in alone]
+                of_plain = np.repeat(~odd, size := size + np.bincount(alone, list(map(len, each)), len(texts)).astype(np.int64))
+                merged = np.empty(len(of_plain), np.uint16)
+                merged[of_plain], merged[~of_plain] = flat, np.concatenate(each)
+                flat = merged
+            out.append((flat.astype(np.int64), size))
+        return out[0], out[1]
+
+    def _by_a(self, text: str) -> np.ndarray:
+        return np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+
+    def _by_b(self, text: str) -> np.ndarray:
+        return np.array(self.b.encode(text), np.uint16)
+
+    def _learn(self, memo: dict[str, bytes], words: list[str], library, lead: str) -> None:
+        """Encode what ``memo`` lacks of ``words``, many to a text, which is cut by the bytes of its tokens."""
+        new = [w for w in words if w not in memo]
+        if len(memo) + len(new) > MEMO:
+            kept = {w: memo[w] for w in words if w in memo}
+            memo.clear()
+            memo.update(kept)
+        memo[""] = b""
+        token_bytes = np.diff((self.a_bytes if lead else self.b_bytes)[1])
+        new = [w for w in new if w]
+        for at in range(0, len(new), 2000):
+            part = new[at : at + 2000]
+            # behind a line feed no space goes before the word
+            units = part if not lead else [w if w[0] == "\n" else " " + w for w in part]
+            ids = library("".join(units) if lead else " ".join(units))
+            size = np.fromiter((len(u.encode()) for u in units), np.int64, len(units)) + (0 if lead else 1)
+            cuts = np.searchsorted(np.cumsum(token_bytes[ids]), np.cumsum(size)) + 1
+            raw = ids.tobytes()
+            for w, i, j in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                memo[w] = raw[2 * i : 2 * j]
 
 
 def _packed(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,11 +180,8 @@ class Bitset:
 
 def aligned(coder: Pair, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
     """(tokens of A, of B, groups, digest of the groups, links as packed id pairs) of each text."""
-    ids_a, ids_b = coder.encode(texts)
     n = len(texts)
-    size_a, size_b = (np.fromiter(map(len, ids), np.int64, n) for ids in (ids_a, ids_b))
-    flat_a, flat_b = (np.fromiter((i for ids in both for i in ids), np.int64, int(size.sum())) for both, size in ((ids_a, size_a), (ids_b, size_b)))
-    del ids_a, ids_b
+    (flat_a, size_a), (flat_b, size_b) = coder.encode(texts)
     raw_a, end_a = _joined(coder.a_bytes, flat_a)
     raw_b, end_b = _joined(coder.b_bytes, flat_b)
     want = [(" " + t).encode() for t in texts]
