@@ -26,11 +26,11 @@ from driftlens.llm.common import cut_lineage, release, slices
 #: Pairs whose sums are broadcast at most (13 bytes each); of more, documents meet them in a join.
 FEW_PAIRS = 3_000_000
 #: Bytes of text that are aligned at once.
-SLICE = 1_500_000
+SLICE = 1_000_000
 _B_BITS = 16
 
 #: Words whose ids a worker remembers for each tokenizer; it starts afresh when it has more.
-MEMO = 600_000
+MEMO = 250_000
 #: White space other than single spaces and line feeds between words.
 _ODD = r"[ \n][ \n]|^[ \n]|[ \n]$|^$|[\x{00}-\x{09}\x{0b}-\x{1f}\x{7f}-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2581}\x{3000}\x{feff}]"
 
