@@ -9,17 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftlens.config import THRESHOLD
-from driftlens.functions.text import signature, tokenize
+from driftlens.functions.text import signature
+from driftlens.functions.words import Lexicon
 from driftlens.operators.joins import FEW
-from driftlens.operators.mining import bucket_of, clusters, similarity
+from driftlens.operators.mining import Bucket, Template, bucket_of, clusters
 
-#: Bytes of templates that are sent to all tasks at most, and token lists whose answer is remembered.
+#: Bytes of templates that are sent to all tasks at most, and rows of tokens whose answer is remembered.
 MODEL_BYTES, MEMO = 32_000_000, 100_000
 
 
@@ -29,18 +32,36 @@ def model(baselines: DataFrame, threshold: float = THRESHOLD, masks=()) -> DataF
     return c.groupBy("bucket").agg(F.collect_list(F.struct("shapes", "words", "attributes")).alias("templates"))
 
 
+class _Rows:
+    """Batches of lines as distinct rows of tokens; a worker's words are begun afresh when they are many."""
+
+    def __init__(self, masks):
+        self.masks, self.words, self.memo = tuple(masks), Lexicon(masks), {}
+
+    def distinct(self, raw: pa.Array) -> tuple[list[tuple[bytes, list[str]]], np.ndarray]:
+        """(each distinct row's numbers and tokens; which of them each line has)."""
+        if self.words.full():
+            self.words, self.memo = Lexicon(self.masks), {}
+        flat, start, size = self.words.read(pc.fill_null(raw, ""))
+        first, which = self.words.alike(flat, start, size)
+        return [(flat[s : s + n].tobytes(), flat[s : s + n].tolist()) for s, n in zip(start[first].tolist(), size[first].tolist(), strict=True)], which
+
+    def tokens(self, row: list[int]) -> list[str]:
+        return [self.words.tokens[k] for k in row]
+
+
 def described(lines: DataFrame, masks=()) -> DataFrame:
     """All columns of ``lines`` (one is ``raw``) with the bucket, shapes and kinds of each line."""
     masks, at = tuple(masks), lines.columns.index("raw")
 
     def run(batches):
+        rows = _Rows(masks)
         for b in batches:
-            tokens = [tokenize(r or "", masks) for r in b.column(at).to_pylist()]
+            own, which = rows.distinct(b.column(at))
+            tokens = [rows.tokens(r) for _, r in own]
             seen = [signature(t) for t in tokens]
-            yield pa.record_batch(
-                [*b.columns, pa.array(map(bucket_of, tokens), pa.string()), pa.array([s[0] for s in seen], pa.list_(pa.string())), pa.array([s[2] for s in seen], pa.list_(pa.int32()))],
-                [*b.schema.names, "bucket", "line_shapes", "line_kinds"],
-            )
+            made = pa.array(map(bucket_of, tokens), pa.string()), pa.array([s[0] for s in seen], pa.list_(pa.string())), pa.array([s[2] for s in seen], pa.list_(pa.int32()))
+            yield pa.record_batch([*b.columns, *(m.take(pa.array(which)) for m in made)], [*b.schema.names, "bucket", "line_shapes", "line_kinds"])
 
     return lines.mapInArrow(run, T.StructType([*lines.schema.fields, *T.StructType.fromDDL("bucket string, line_shapes array<string>, line_kinds array<int>").fields]))
 
@@ -49,18 +70,33 @@ class Frozen:
     """Templates that answer whether one of them takes a line, and never change."""
 
     def __init__(self, held: dict[str, list[tuple]], threshold: float, masks):
-        self.held, self.threshold, self.masks, self.memo = held, threshold, tuple(masks), {}
+        self.held, self.threshold, self.rows = held, threshold, _Rows(masks)
+        self.buckets: dict[str, Bucket] = {}  # made when first asked for
+
+    def _bucket(self, name: str) -> Bucket:
+        if name not in self.buckets:
+            own = self.buckets[name] = Bucket(self.threshold)
+            for shapes, words, attributes in self.held.get(name, ()):
+                own.enter(Template.known((), shapes, words, attributes, 0, 0, None))
+        return self.buckets[name]
+
+    def taken(self, raw: pa.Array) -> np.ndarray:
+        """Whether a template takes each of some lines."""
+        own, which = self.rows.distinct(raw)
+        memo, out = self.rows.memo, []
+        if len(memo) >= MEMO:
+            memo.clear()
+        for key, row in own:
+            known = memo.get(key)
+            if known is None:
+                tokens = self.rows.tokens(row)
+                shapes, _, kinds, _ = signature(tokens)
+                known = memo[key] = self._bucket(bucket_of(tokens)).best(shapes, kinds)[0] is not None
+            out.append(known)
+        return np.array(out, bool)[which]
 
     def takes(self, line: str) -> bool:
-        tokens = tokenize(line, self.masks)
-        key = tuple(tokens)
-        known = self.memo.get(key)
-        if known is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            shapes, _, kinds, _ = signature(tokens)
-            known = self.memo[key] = any(similarity(*t, shapes, kinds) >= self.threshold for t in self.held.get(bucket_of(tokens), ()))
-        return known
+        return bool(self.taken(pa.array([line], pa.string()))[0])
 
 
 def _held(templates: DataFrame) -> dict[str, list[tuple]]:
@@ -81,7 +117,8 @@ def novel(lines: DataFrame, templates: DataFrame, threshold: float = THRESHOLD,
         def run(batches):
             frozen = Frozen(shared.value, threshold, own)
             for b in batches:
-                yield b.filter(pa.array([not frozen.takes(r or "") for r in b.column(at).to_pylist()], pa.bool_()))
+                if b.num_rows:
+                    yield b.filter(pa.array(~frozen.taken(b.column(at))))
 
         return lines.mapInArrow(run, lines.schema)
     d = described(lines, masks).join(templates, "bucket", "left")
