@@ -61,8 +61,8 @@ def plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs that differ: signup is new, error is gone, click is rarer, view fails at times, purchase misses svc-3."""
-    e = _table(spark, sf_dir, "events").withColumn("run_idx", F.expr(_RUN)).where(_CHANGED)
+    """All events in runs that differ: signup is new, error is gone, click is rarer (they are views instead), view fails at times, purchase misses svc-3."""
+    e = _table(spark, sf_dir, "events").withColumn("run_idx", F.expr(_RUN)).withColumn("event_type", F.expr(_KIND_OF))
     raw = F.concat(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit(" "), "event_type", F.lit(" user "), F.col("user_id").cast("string"), F.lit(" state "), F.expr(_STATE),
         F.lit(" on svc-"), F.expr(_SVC).cast("string"), F.lit(" value "), F.round(F.col("value") * 100).cast("long").cast("string"),
@@ -70,12 +70,12 @@ def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(e.select("run_idx", "event_id", raw.alias("raw")))
 
 
-_CHANGED = "NOT (event_type = 'signup' AND run_idx < 2) AND NOT (event_type = 'error' AND run_idx = 2) AND NOT (event_type = 'click' AND run_idx = 2 AND event_id % 10 <> 0)"
+_KIND_OF = "CASE WHEN (event_type = 'signup' AND run_idx < 2) OR (event_type = 'error' AND run_idx = 2) OR (event_type = 'click' AND run_idx = 2 AND event_id % 10 <> 0) THEN 'view' ELSE event_type END"
 _STATE = "CASE WHEN event_type = 'view' AND run_idx = 2 AND event_id % 3 = 0 THEN 'failed' ELSE 'ok' END"
 _SVC = "CASE WHEN event_type = 'purchase' AND run_idx = 2 THEN event_id % 3 ELSE event_id % 4 END"
 _SQL_LINES = f"""
-    e AS (SELECT *, {_RUN} AS run_idx FROM events),
-    l AS (SELECT *, {_STATE} AS state, {_SVC} AS svc, row_number() OVER (PARTITION BY run_idx ORDER BY event_id) AS line_no FROM e WHERE {_CHANGED}),
+    e AS (SELECT * REPLACE ({_KIND_OF} AS event_type) FROM (SELECT *, {_RUN} AS run_idx FROM events)),
+    l AS (SELECT *, {_STATE} AS state, {_SVC} AS svc, row_number() OVER (PARTITION BY run_idx ORDER BY event_id) AS line_no FROM e),
     kinds AS (SELECT event_type, count(*) FILTER (WHERE run_idx = 0) AS c0, count(*) FILTER (WHERE run_idx = 1) AS c1, count(*) FILTER (WHERE run_idx = 2) AS tc,
                      event_type || ' user <*> state ' || CASE WHEN count(DISTINCT state) > 1 THEN '<*>' ELSE min(state) END || ' on <*> value <*>' AS template,
                      min(line_no) FILTER (WHERE run_idx = 2) AS first_target_line_no, min(line_no) FILTER (WHERE run_idx = 0) AS first_baseline
