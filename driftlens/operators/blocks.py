@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,8 +51,8 @@ def gone_extents(found: DataFrame) -> DataFrame:
     return e.withColumn("covered", F.when(packed, F.col("last")).otherwise(F.col("first"))).withColumn("placed", F.when(packed, F.col("count")).otherwise(1))
 
 
-def gone_chains(extents: DataFrame) -> DataFrame:
-    """Extents with their chain, numbered from 1: the next begins within ``BLOCK_GAP`` lines of all before it.
+def gone_chains(extents: DataFrame, gap: int = BLOCK_GAP) -> DataFrame:
+    """Extents with their chain, numbered from 1: the next begins within ``gap`` lines of all before it.
 
     As in ``new_runs``, extents are gone through range by range, and of each range only how
     far it reaches and how many chains begin in it meet the others.
@@ -61,44 +62,75 @@ def gone_chains(extents: DataFrame) -> DataFrame:
     before = ranges.rowsBetween(Window.unboundedPreceding, -1)
     reached = part.groupBy("part").agg(F.max("covered").alias("to")).select("part", F.max("to").over(before).alias("carried"))
     own = part.join(reached, "part").withColumn("reach", F.greatest(F.max("covered").over(w.rowsBetween(Window.unboundedPreceding, -1)), "carried"))
-    own = own.withColumn("begins", (F.col("reach").isNull() | (F.col("first") > F.col("reach") + BLOCK_GAP + 1)).cast("long"))
+    own = own.withColumn("begins", (F.col("reach").isNull() | (F.col("first") > F.col("reach") + gap + 1)).cast("long"))
     begun = own.groupBy("part").agg(F.sum("begins").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begun"))
     chain = F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("begun")
     return own.join(begun, "part").select(*extents.columns, chain.alias("chain"))
 
 
-def joined_chains(chains: list[tuple[int, int, int]]) -> list[int]:
-    """For chains (first, covered, placed) in order: the number of the joined chain that each is in.
+class _Joined:
+    """Chains in order on a stack; what a chain has joined can be joined again."""
 
-    A chain joins the one before it where the gap is small and a third of all lines between
-    first and last are theirs; what has grown may then join the one before that.
-    """
-    stack: list[list] = []
-    for k, (first, covered, placed) in enumerate(chains):
-        stack.append([first, covered, placed, [k]])
-        while len(stack) > 1:
-            a, b = stack[-2], stack[-1]
+    def __init__(self):
+        self.stack: list[list] = []  # first, covered, placed, the first of its chains
+
+    def push(self, first: int, covered: int, placed: int, chain: int) -> None:
+        """One more chain.  It joins the one before it where the gap is small and a third of all lines between first
+        and last are theirs; what has grown may then join the one before that."""
+        self.stack.append([first, covered, placed, chain])
+        while len(self.stack) > 1:
+            a, b = self.stack[-2], self.stack[-1]
             end = max(a[1], b[1])
             if b[0] - a[1] - 1 > GONE_GAP or 3 * (a[2] + b[2]) < end - a[0] + 1:
                 break
-            stack[-2:] = [[a[0], end, a[2] + b[2], a[3] + b[3]]]
-    out = [0] * len(chains)
-    for number, s in enumerate(stack):
-        for k in s[3]:
-            out[k] = number
-    return out
+            self.stack[-2:] = [[a[0], end, a[2] + b[2], a[3]]]
+
+
+def joined_chains(chained: DataFrame) -> DataFrame:
+    """(block, first, covered, placed) of the joined chains; ``block`` is the first chain of each.
+
+    Chains join one after another, in order.  But none joins past a gap of more than
+    ``GONE_GAP`` lines after all that lies before it, so the stretches between such gaps,
+    found as chains are, are gone through side by side, each as its sorted rows stream by.
+    """
+    chains = chained.groupBy("chain").agg(F.min("first").alias("first"), F.max("covered").alias("covered"), F.sum("placed").cast("long").alias("placed"))
+    stretches = gone_chains(chains.withColumnRenamed("chain", "cid"), GONE_GAP).select(F.col("chain").alias("stretch"), F.col("cid").alias("chain"), "first", "covered", "placed")
+
+    def run(batches):
+        stretch, now = None, _Joined()
+
+        def closed():
+            cols = [[x[k] for x in now.stack] for k in (3, 0, 1, 2)]
+            return pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["block", "first", "covered", "placed"])
+
+        for b in batches:
+            for s, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if s != stretch:
+                    if now.stack:
+                        yield closed()
+                    stretch, now = s, _Joined()
+                now.push(*row)
+        if now.stack:
+            yield closed()
+
+    rows = stretches.repartition("stretch").sortWithinPartitions("stretch", "chain").select("stretch", "first", "covered", "placed", "chain")
+    return rows.mapInArrow(run, "block long, first long, covered long, placed long")
 
 
 def gone_blocks(chained: DataFrame) -> DataFrame:
-    """(first, last, members) of the joined chains; the chains, fewer than the gone templates, are joined on the driver."""
-    spark = chained.sparkSession
-    rows = chained.groupBy("chain").agg(F.min("first").alias("first"), F.max("covered").alias("covered"), F.sum("placed").alias("placed")).orderBy("chain").collect()
-    number = joined_chains([(r["first"], r["covered"], r["placed"]) for r in rows])
-    map_ = spark.createDataFrame([(r["chain"], n) for r, n in zip(rows, number, strict=True)], "chain long, block int")
-    all_ = chained.join(map_, "chain")
-    ends = all_.groupBy("block").agg(F.min("first").alias("from"), F.max("covered").alias("to"))
-    inside = all_.join(ends, "block").where("last <= to")
-    return inside.groupBy("block", "from", "to").agg(F.collect_list("cid").alias("members")).where(F.size("members") >= MIN_TEMPLATES).select(F.col("from").alias("first"), F.col("to").alias("last"), "members")
+    """(first, last, members) of the joined chains with several templates that lie in them whole."""
+    joined = joined_chains(chained).select("block", F.col("first").alias("from"), F.col("covered").alias("to"))
+    # a template lies in the last joined chain that begins at or before its own chain: ranges of chains meet by their numbers
+    number = chained.select("cid", "last", "chain").unionByName(joined.select(F.lit(None).cast("long").alias("cid"), F.lit(None).cast("long").alias("last"), F.col("block").alias("chain"), "from", "to"), allowMissingColumns=True)
+    part = number.withColumn("part", F.floor(F.col("chain") / SPAN))
+    w = Window.partitionBy("part").orderBy(F.col("chain"), F.col("cid").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    here = F.struct("chain", "from", "to")
+    last = part.where("cid IS NULL").groupBy("part").agg(F.max(here).alias("end"))
+    before = part.select("part").distinct().join(last, "part", "left").select("part", F.max("end").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))  # a row a range
+    found = part.withColumn("own", F.max(F.when(F.col("cid").isNull(), here)).over(w)).join(before, "part")
+    of = F.coalesce("own", "before")
+    inside = found.where("cid IS NOT NULL").select("cid", "last", of["chain"].alias("block"), of["from"].alias("first"), of["to"].alias("to")).where("last <= to")
+    return inside.groupBy("block", "first", "to").agg(F.collect_list("cid").alias("members")).where(F.size("members") >= MIN_TEMPLATES).select("first", F.col("to").alias("last"), "members")
 
 
 def assembled(found: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:

@@ -263,6 +263,33 @@ def gone_chains(spark, sf_dir):
     return B.gone_chains(e).select("cid", "first", "last", "covered", "chain")
 
 
+_SPARSE = "event_id AS cid, event_id * 11 + user_id % 9 AS first, event_id * 11 + user_id % 9 + user_id % 5 AS last, 1 + user_id % 4 AS count"
+
+
+@query("joined_chains", f"""WITH RECURSIVE e AS (SELECT {_SPARSE} FROM events), x AS (SELECT *, 2 * count >= last - first + 1 AS packed FROM e),
+    c AS (SELECT cid, first, CASE WHEN packed THEN last ELSE first END AS covered, CASE WHEN packed THEN count ELSE 1 END AS placed FROM x),
+    w AS (SELECT *, max(covered) OVER (ORDER BY first, cid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
+    n AS (SELECT *, count(*) FILTER (WHERE reach IS NULL OR first > reach + 3) OVER (ORDER BY first, cid) AS chain FROM w),
+    g AS (SELECT chain, min(first) AS f, max(covered) AS t, CAST(sum(placed) AS BIGINT) AS p FROM n GROUP BY chain),
+    h AS (SELECT *, max(t) OVER (ORDER BY chain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g),
+    k AS (SELECT *, count(*) FILTER (WHERE reach IS NULL OR f > reach + 17) OVER (ORDER BY chain) AS stretch FROM h),
+    q AS (SELECT stretch, row_number() OVER (PARTITION BY stretch ORDER BY chain) AS i, {{'b': chain, 'f': f, 't': t, 'p': p}} AS v FROM k),
+    s AS (SELECT DISTINCT stretch, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(b BIGINT, f BIGINT, t BIGINT, p BIGINT)[]) AS st, false AS fits FROM q
+          UNION ALL
+          SELECT stretch, i, st, len(st) > 1 AND st[-1].f - st[-2].t - 1 <= 16 AND 3 * (st[-1].p + st[-2].p) >= greatest(st[-1].t, st[-2].t) - st[-2].f + 1 AS fits
+          FROM (SELECT s.stretch, CASE WHEN s.fits THEN s.i ELSE q.i END AS i,
+                       CASE WHEN s.fits THEN list_append(s.st[1 : len(s.st) - 2], {{'b': s.st[-2].b, 'f': s.st[-2].f, 't': greatest(s.st[-1].t, s.st[-2].t), 'p': s.st[-1].p + s.st[-2].p}}) ELSE list_append(s.st, q.v) END AS st
+                FROM s LEFT JOIN q ON q.stretch = s.stretch AND q.i = s.i + 1 WHERE s.fits OR q.i IS NOT NULL)),
+    z AS (SELECT s.stretch, unnest(s.st) AS v FROM s JOIN (SELECT stretch, max(i) AS i FROM q GROUP BY stretch) m ON m.stretch = s.stretch AND m.i = s.i WHERE NOT s.fits)
+    SELECT v.b AS block, v.f AS first, v.t AS covered, v.p AS placed FROM z""")
+def joined_chains(spark, sf_dir):
+    """All events as extents that lie apart, in chains that join where they are dense."""
+    e = _table(spark, sf_dir, "events").selectExpr(*_SPARSE.split(", "))
+    packed = 2 * F.col("count") >= F.col("last") - F.col("first") + 1
+    e = e.withColumn("covered", F.when(packed, F.col("last")).otherwise(F.col("first"))).withColumn("placed", F.when(packed, F.col("count")).otherwise(1))
+    return B.joined_chains(B.gone_chains(e))
+
+
 @query("context_window", f"""WITH {_SQL_LINES}, t AS (SELECT line_no, event_type FROM l WHERE run_idx = 2), w AS (SELECT line_no FROM t WHERE event_type = 'purchase')
     SELECT w.line_no, string_agg(t.line_no || ':' || t.event_type, ' ' ORDER BY t.line_no) FILTER (WHERE t.line_no < w.line_no) AS before, string_agg(t.line_no || ':' || t.event_type, ' ' ORDER BY t.line_no) FILTER (WHERE t.line_no > w.line_no) AS after
     FROM w JOIN t ON t.line_no BETWEEN w.line_no - 2 AND w.line_no + 2 GROUP BY w.line_no""")

@@ -131,10 +131,42 @@ def test_new_runs_are_gaps_of_more_than_two(spark, seed, monkeypatch):
     assert [(x.line_no, x.run) for x in B.new_runs(df).orderBy("line_no").collect()] == want
 
 
-def test_joined_chains():
-    assert B.joined_chains([(1, 5, 5), (10, 14, 5), (100, 101, 2)]) == [0, 0, 1]
-    assert B.joined_chains([(1, 1, 1), (18, 18, 1)]) == [0, 1]
-    assert B.joined_chains([]) == []
+def joined(chains):
+    """Chains one after another on one stack: for each, the first chain of what it is joined to."""
+    stack = []
+    for k, (first, covered, placed) in enumerate(chains):
+        stack.append([first, covered, placed, [k]])
+        while len(stack) > 1:
+            a, b = stack[-2:]
+            end = max(a[1], b[1])
+            if b[0] - a[1] - 1 > 16 or 3 * (a[2] + b[2]) < end - a[0] + 1:
+                break
+            stack[-2:] = [[a[0], end, a[2] + b[2], a[3] + b[3]]]
+    return sorted((s[3][0], s[0], s[1], s[2]) for s in stack)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_joined_chains(spark, seed, monkeypatch):
+    monkeypatch.setattr(B, "SPAN", 64)
+    assert joined([(1, 5, 5), (10, 14, 5), (100, 101, 2)]) == [(0, 1, 14, 10), (2, 100, 101, 2)]
+    r, chains, at = random.Random(seed), [], 1
+    for _ in range(300):
+        size = r.randrange(1, 9)
+        chains.append((at, at + size - 1, r.randrange(1, size + 1)))
+        at += size + r.randrange(3, (12, 18, 30, 9)[seed])
+    want = joined(chains)
+    assert 20 < len(want) < 280
+    # two templates a chain, one of which may end behind all that is joined
+    rows = [(2 * k + j, f, c + 500 * (j and k % 7 == 0), c, p - p // 2 if j else p // 2, k) for k, (f, c, p) in enumerate(chains) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "cid long, first long, last long, covered long, placed long, chain long").repartition(5)
+    assert sorted(tuple(x) for x in B.joined_chains(df).collect()) == want
+    blocks = {}
+    for cid, _, last, _, _, k in rows:
+        n, first, to, _ = next(w for w in reversed(want) if w[0] <= k)
+        if last <= to:
+            blocks.setdefault((first, to), []).append(cid)
+    assert sorted((x.first, x.last, sorted(x.members)) for x in B.gone_blocks(df).collect()) == sorted((*k, sorted(v)) for k, v in blocks.items() if len(v) > 1)
+    assert B.joined_chains(df.limit(0)).count() == B.gone_blocks(df.limit(0)).count() == 0
 
 
 def record(route, status):
