@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from driftlens.sources import files
+
 GZIP = b"\x1f\x8b"
 #: How files begin that ``read_lines`` can't read.
 PACKED = (GZIP, codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)
@@ -77,7 +79,17 @@ def first_bytes(spark: SparkSession, path: str, n: int = HEAD) -> list[bytes]:
 
 
 def read(spark: SparkSession, path: str, run_idx: int = 0, exact: bool = False) -> DataFrame:
-    """Lines by the reader that the files' first bytes ask for; what holds a NUL is refused."""
+    """Lines of files of any kind and size by the ``loglines`` source; what holds a NUL is refused.
+
+    Of a store that only Spark can open, by the reader that the files' first bytes ask for.
+    """
+    if files.reachable(path):
+        found = files.listed(path)
+        files.register(spark)
+        rows = spark.read.format("loglines").option("exact", str(exact).lower()).load(path)
+        if len(found) == 1 and found[0][1] <= files.RANGE:  # one range: its lines are counted already
+            return rows.select(F.lit(run_idx).alias("run_idx"), (F.col("place") + 1).alias("line_no"), "raw")
+        return numbered_in_place(rows.select(F.struct("file", "begin").alias("_split"), F.col("place").alias("_place"), "raw"), run_idx)
     heads = first_bytes(spark, path)
     if any(h.startswith(PACKED) for h in heads):
         return read_any(spark, path, run_idx, exact)
