@@ -16,7 +16,7 @@ from driftlens.operators.mining import templates
 from driftlens.plans import report
 from driftlens.plans.diff import diff_runs
 from driftlens.sources.lines import from_lines, read, runs
-from driftlens.streaming.novel import live, model, novel
+from driftlens.streaming.novel import follow, followed, live, model, novel
 
 
 def _read(spark: SparkSession, path: str, exact: bool = False) -> DataFrame:
@@ -31,6 +31,14 @@ def _stdin():
         yield line.rstrip("\r\n")
 
 
+def _lines(text: str) -> int:
+    """A number of lines, 0 or more."""
+    n = int(text)
+    if n < 0:
+        raise argparse.ArgumentTypeError(f"{text}: must be 0 or more")
+    return n
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="driftlens")
     common = argparse.ArgumentParser(add_help=False)
@@ -41,23 +49,26 @@ def _parser() -> argparse.ArgumentParser:
     d = sub.add_parser("diff", parents=[common])
     d.add_argument("inputs", nargs="+")
     d.add_argument("--target")
-    d.add_argument("-C", "--context", type=int, default=0)
+    d.add_argument("-C", "--context", type=_lines, default=0)
     d.add_argument("--significance", type=float, default=SIGNIFICANCE)
     d.add_argument("--watch-field", action="append", default=[])
     d.add_argument("--watch-by", action="append", default=[])
     d.add_argument("--watch-rate-change", type=float)
     d.add_argument("--flat", action="store_true")
-    d.add_argument("--block-lines", type=int, default=report.BLOCK_LINES)
+    d.add_argument("--block-lines", type=_lines, default=report.BLOCK_LINES)
     form = d.add_mutually_exclusive_group()
     form.add_argument("--json", action="store_true")
     form.add_argument("--markdown", action="store_true")
     t = sub.add_parser("templates", parents=[common])
     t.add_argument("input")
-    t.add_argument("-n", type=int, default=20)
+    t.add_argument("-n", type=_lines, default=20)
     t.add_argument("--json", action="store_true")
     n = sub.add_parser("novel", parents=[common])
     n.add_argument("--baseline", action="append", required=True)
     n.add_argument("target", nargs="?", default="-")
+    n.add_argument("--follow", metavar="FOLDER", help="take the lines of files that come into this folder")
+    n.add_argument("--out", metavar="FOLDER", help="where their novel lines are kept, each once")
+    n.add_argument("--once", action="store_true", help="end when all files that are there have been read")
     return p
 
 
@@ -90,8 +101,14 @@ def _templates(a, spark: SparkSession, masks) -> int:
 
 
 def _novel(a, spark: SparkSession, masks) -> int:
-    check_stdin([*a.baseline, a.target])
+    check_stdin([*a.baseline, *([] if a.follow else [a.target])])
+    if bool(a.follow) != bool(a.out) or a.follow and a.target != "-" or a.once and not a.follow:
+        raise ValueError("--follow takes --out and no target, --once takes --follow")
     base = model(runs([_read(spark, b) for b in a.baseline[:-1]], _read(spark, a.baseline[-1])), a.threshold, masks)
+    if a.follow:
+        query = follow(spark, a.follow, base, a.out, f"{a.out}/_checkpoint", a.threshold, masks, a.once)
+        query.awaitTermination()
+        return int(not followed(spark, a.out).isEmpty())
     if a.target == "-":
         found = live(_stdin(), base, a.threshold, masks)
     else:

@@ -59,6 +59,8 @@ class DiffOptions:
         check_threshold(self.threshold)
         if not (math.isfinite(self.significance) and self.significance >= 0):
             raise ValueError("significance must be a finite number of 0 or more")
+        if self.context < 0:
+            raise ValueError("context must be a number of lines of 0 or more")
         pointers(self.watch_fields, WATCHES)
         pointers(self.watch_by, GROUP_KEYS)
         if self.watch_by and not self.watch_fields:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,6 +90,37 @@ def select(value, steps: list[str]) -> tuple[str, str | None]:
     return "ok", {True: "true", False: "false", None: "null"}[value]
 
 
+# A line of this grammar is JSON whatever else it says; strings have no escapes, numbers are short.
+_STRING = r'"[^"\\\x00-\x1f]*+"'
+_SCALAR = rf"(?:{_STRING}|-?(?:0|[1-9][0-9]{{0,14}}+)(?![0-9])(?:\.[0-9]{{1,14}}+(?![0-9]))?+|true|false|null)"
+_WS = "[ ]*+"
+_FLAT = rf"(?:\{{{_WS}(?:{_STRING}{_WS}:{_WS}{_SCALAR}{_WS}(?:,{_WS}(?=\")|(?=\}})))*+\}}|\[{_WS}(?:{_SCALAR}{_WS}(?:,{_WS}(?=[^\]])|(?=\])))*+\])"
+_VALUE = rf"(?:{_SCALAR}|{_FLAT})"
+#: Characters of a line that the pattern is tried on; Java's patterns go deeper with every member.
+SIMPLE_CHARS = 4000
+
+
+def _members(name: str, value: str, other: str) -> str:
+    """An object's members, one of which has this name, once, and the value that is caught."""
+    quoted = re.escape(name)
+    more = rf"(?!\"{quoted}\"){_STRING}{_WS}:{_WS}{other}{_WS}"
+    return rf"\{{{_WS}(?:{more},{_WS})*+\"{quoted}\"{_WS}:{_WS}{value}{_WS}(?:,{_WS}{more})*+\}}"
+
+
+def simple(steps: list[str]) -> str | None:
+    """A pattern of whole lines that catches the scalar at a pointer of one or two steps, as it is written; None for others.
+
+    It matches only lines that are JSON objects in which every name on the way comes once,
+    so what it catches is what ``payload`` and ``select`` give.
+    """
+    if not 1 <= len(steps) <= 2 or any(re.search(r'["\\\x00-\x1f]', s) for s in steps):
+        return None
+    value = f"({_SCALAR})"
+    if len(steps) == 2:
+        value = _members(steps[1], value, _SCALAR)
+    return rf"\A{_members(steps[0], value, _VALUE)}{_WS}\z"
+
+
 def excerpt(raw: str, limit: int = EXCERPT_BYTES) -> tuple[str, bool]:
     """The first ``limit`` bytes up to a whole character, and whether more was there."""
     b = raw.encode("utf-8", "surrogatepass")

@@ -144,3 +144,24 @@ def watch(spark, path: str, templates: DataFrame, threshold: float = THRESHOLD,
     """A stream of the novel lines of files that come into ``path``."""
     live = spark.readStream.option("lineSep", "\n").text(path).select(F.regexp_replace(F.make_valid_utf8("value"), r"[\r\n]+\z", "").alias("raw"))
     return novel(live, templates, threshold, masks)
+
+
+def follow(spark, path: str, templates: DataFrame, out: str, checkpoint: str, threshold: float = THRESHOLD, masks=(), once: bool = False):
+    """A running query that keeps the novel lines of files that come into ``path``, each once, as Parquet in ``out``.
+
+    ``checkpoint`` remembers which files went into which batch.  A batch is written into a
+    folder of its own number, whole or not at all, and one that was written but not noted as
+    done before a crash is written over by the same rows; so no line is lost or kept twice.
+    With ``once`` it ends when all files that are there have been read.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream = watch(spark, path, templates, threshold, masks).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (stream.trigger(availableNow=True) if once else stream).start()
+
+
+def followed(spark, out: str) -> DataFrame:
+    """(raw, batch) of what ``follow`` has kept so far."""
+    return spark.read.schema("raw string, batch long").option("basePath", out).parquet(out)
