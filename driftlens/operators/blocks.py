@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftlens.config import BLOCK_GAP, GONE_GAP, MIN_TEMPLATES
 from driftlens.operators.compare import kind_rank
+from driftlens.operators.ranking import ranked
 
 #: Lines of a range in which gaps are looked for at once.
 SPAN = 1 << 20
@@ -146,8 +147,8 @@ def assembled(found: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
     out = rows.groupBy("kind", "first", "last", "lines_elsewhere").agg(
         F.sum(n).alias("line_count"), F.sum("score").alias("score"), F.transform(F.sort_array(F.collect_list(F.struct(line.alias("line"), "index"))), lambda x: x["index"]).alias("findings")
     ).where(F.size("findings") >= MIN_TEMPLATES)
-    number = F.row_number().over(Window.orderBy(kind_rank(F.col("kind")), F.desc("score"), "first")) - 1
-    return out.select(number.cast("int").alias("block"), "kind", F.col("first").alias("first_line_no"), F.col("last").alias("last_line_no"), "line_count", "lines_elsewhere", "score", "findings")
+    out = ranked(out, [kind_rank(F.col("kind")), F.desc("score"), F.col("first"), F.col("last")], "block")
+    return out.select(F.col("block").cast("int").alias("block"), "kind", F.col("first").alias("first_line_no"), F.col("last").alias("last_line_no"), "line_count", "lines_elsewhere", "score", "findings")
 
 
 def context(lines: DataFrame, wanted: DataFrame, n: int) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.config import MIN_EXPECTED, MIN_REPEATS, TRACKED_SOURCES, TRACKED_VALUES
@@ -11,6 +14,10 @@ from driftlens.functions.scoring import count_g_test, score_template, total
 from driftlens.operators.joins import lookup
 from driftlens.operators.lineage import durable
 from driftlens.operators.mining import Mined
+from driftlens.operators.ranking import ranked
+
+#: Values and positions that a task holds at most before it passes them on.
+HELD = 300_000
 
 
 def run_totals(mined: Mined, runs: int) -> list[int]:
@@ -83,8 +90,10 @@ def _source(c: Column) -> Column:
 def tracked(mined: Mined, counts: DataFrame, n: int) -> DataFrame:
     """(source, run_idx, cid, pos, value, n, first) of the tokens at the wildcards of templates on both sides.
 
-    Positions are cut down to those wildcards before tokens are spread, and tokens are summed
-    up with partial sums, so a frequent template costs its distinct values.
+    Positions are cut down to those wildcards before tokens are spread.  A position with more
+    than ``TRACKED_VALUES`` values (sources: ``TRACKED_SOURCES``) in a run is ruled out
+    whatever else it has, so a task keeps that many and then only a mark, a row without a
+    value: what is shuffled is bounded by positions, not by values.
     """
     both = counts.where((F.col("tc") > 0) & (total([F.col(f"c{i}") for i in range(n)]) > 0))
     key = ["first_run", "first_line"]
@@ -94,16 +103,58 @@ def tracked(mined: Mined, counts: DataFrame, n: int) -> DataFrame:
     rows = rows.select("run_idx", "cid", "line_no", "raw", F.col("n").alias("lines"), F.explode(F.transform("at", lambda i: F.struct(i.alias("pos"), F.get("tokens", i).alias("value")))).alias("x"))
     v = F.col("x.value")
     rows = rows.where(~is_placeholder(v) & (~_identifier(v) | _source(v)))
-    return rows.groupBy(_identifier(v).alias("source"), "run_idx", "cid", F.col("x.pos").alias("pos"), v.alias("value")).agg(
-        F.sum("lines").alias("n"), F.min(F.struct("line_no", "raw")).alias("first")
-    )
+    rows = rows.select(_identifier(v).alias("source"), "run_idx", "cid", F.col("x.pos").alias("pos"), v.alias("value"), F.col("lines").cast("long").alias("n"), "line_no", "raw")
+    return rows.mapInArrow(_capped, _CAPPED).groupBy("source", "run_idx", "cid", "pos", "value").agg(F.sum("n").alias("n"), F.min(F.struct("line_no", "raw")).alias("first"))
+
+
+_CAPPED = "source boolean, run_idx int, cid long, pos int, value string, n long, line_no long, raw string"
+
+
+def _capped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Values of each position of a run, summed up; one row without a value where they are too many."""
+    held: dict[tuple, dict | None] = {}
+    size = 0
+
+    def out():
+        rows = [(*key, v, *x) for key, own in held.items() for v, x in (own.items() if own is not None else [(None, (0, None, None))])]
+        kinds = [pa.bool_(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split(" ")[0] for f in _CAPPED.split(", ")])
+
+    for b in batches:
+        for source, run, cid, pos, value, n, line, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            key = source, run, cid, pos
+            own = held.setdefault(key, {})
+            if own is None:
+                continue
+            x = own.get(value)
+            if x is None:
+                if len(own) >= (TRACKED_SOURCES if source else TRACKED_VALUES):
+                    held[key] = None
+                    size -= len(own)
+                    continue
+                own[value] = [n, line, raw]
+                size += 1
+            else:
+                x[0] += n
+                if line < x[1]:
+                    x[1:] = line, raw
+        if size + len(held) > HELD:
+            yield out()
+            held, size = {}, 0
+    if held:
+        yield out()
+
+
+def _distinct(cap: int) -> Column:
+    """Values of a position in a run; more than ``cap`` where a task has met more."""
+    return F.count("value") + F.when(F.bool_or(F.col("value").isNull()), cap + 1).otherwise(0)
 
 
 def new_values(values: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     """Positions where the target has a value that no baseline has had."""
     v = values.where(~F.col("source"))
     key = ["cid", "pos"]
-    runs = v.groupBy("run_idx", *key).agg(F.count("*").alias("distinct"))
+    runs = v.groupBy("run_idx", *key).agg(_distinct(TRACKED_VALUES).alias("distinct"))
     over = runs.where(F.col("distinct") > TRACKED_VALUES).select(*key).distinct()
     v = v.join(over, key, "left_anti")
     per = v.groupBy(*key, "value").agg(
@@ -129,7 +180,7 @@ def gone_values(values: DataFrame, counts: DataFrame, totals: list[int], n: int)
     """Sources that every baseline has heard from at a position and the target has not."""
     v = values.where("source")
     key = ["cid", "pos"]
-    runs = v.groupBy("run_idx", *key).agg(F.count("*").alias("distinct"), F.sum("n").alias("lines"))
+    runs = v.groupBy("run_idx", *key).agg(_distinct(TRACKED_SOURCES).alias("distinct"), F.sum("n").alias("lines"))
     base, target = F.col("run_idx") < n, F.col("run_idx") == n
     fit = F.col("distinct") <= TRACKED_SOURCES
     usable = runs.groupBy(*key).agg(
@@ -156,5 +207,5 @@ def gone_values(values: DataFrame, counts: DataFrame, totals: list[int], n: int)
 
 def ordered(all_findings: DataFrame) -> DataFrame:
     """Findings with their index: kind, then score, then template; missing values after the templates of their kind."""
-    w = Window.orderBy(kind_rank(F.col("kind")), F.desc("score"), F.col("pos").isNotNull(), "cid", "pos", "value")
-    return all_findings.withColumn("index", (F.row_number().over(w) - 1).cast("int"))  # one row a finding
+    order = [kind_rank(F.col("kind")), F.desc("score"), F.col("pos").isNotNull(), F.col("cid"), F.col("pos"), F.col("value")]
+    return ranked(all_findings, order, "index").withColumn("index", F.col("index").cast("int"))

@@ -22,7 +22,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.config import THRESHOLD
@@ -30,6 +30,7 @@ from driftlens.functions.text import ATTRIBUTE, WORD, attribute_key, is_wildcard
 from driftlens.functions.words import Lexicon
 from driftlens.operators.joins import lookup
 from driftlens.operators.lineage import durable
+from driftlens.operators.ranking import ranked
 
 #: Lines of a chunk at most, and signatures of a bucket whose answer is remembered.
 CHUNK, REMEMBERED = 65_536, 400_000
@@ -383,11 +384,11 @@ def _mined(lines: DataFrame, threshold: float, masks, groups: bool, size: int, l
 
 
 def _clusters(out: DataFrame) -> DataFrame:
-    return out.where("line_no IS NULL").select(
-        (F.row_number().over(Window.orderBy("first_run", "first_line")) - 1).cast("long").alias("cid"),
-        F.col("tokens").alias("template_tokens"), F.array_join("tokens", " ").alias("template"), F.col("n").alias("count"),
+    made = ranked(out.where("line_no IS NULL"), ["first_run", "first_line"], "cid")
+    return made.select(
+        "cid", F.col("tokens").alias("template_tokens"), F.array_join("tokens", " ").alias("template"), F.col("n").alias("count"),
         F.col("first_run"), F.col("first_line").alias("first_line_no"), F.col("raw").alias("first_raw"), "bucket", "shapes", "words", "attributes",
-    )  # the window sees one row a template
+    )
 
 
 def mine(lines: DataFrame, threshold: float = THRESHOLD, masks=(), size: int = CHUNK, limit: int = FOLDED) -> Mined:

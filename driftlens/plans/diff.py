@@ -101,14 +101,14 @@ def diff(lines: DataFrame, n: int, options: DiffOptions = DiffOptions()) -> Diff
         tracked = durable(C.tracked(mined, counts, n))
         found = found.unionByName(C.gone_values(tracked, counts, totals, n))
         values = C.new_values(tracked, counts, n)
-    found = durable(C.ordered(found))
+    found = C.ordered(found)
     made = spark.createDataFrame([], BLOCK)
     if options.group:
         fresh = counts.where(F.lit(n == 0) | (F.col("first_any").isNull())).select("first_run", "first_line", "cid", F.col("groups").alias("_n"))
         new_lines = lookup(mined.groups.where(F.col("run_idx") == n), fresh, ["first_run", "first_line"]).where("cid IS NOT NULL")
         new_lines = new_lines.select("line_no", "cid", F.explode("offsets").alias("at")).select((F.col("line_no") + F.col("at")).alias("line_no"), "cid")
         gone = B.gone_blocks(B.gone_chains(B.gone_extents(found)))
-        made = durable(B.assembled(found, B.new_blocks(durable(B.new_runs(new_lines))), gone))
+        made = B.assembled(found, B.new_blocks(durable(B.new_runs(new_lines))), gone)
     of = made.select("block", F.explode("findings").alias("index"))
     findings = found.join(of, "index", "left").select(*[c.strip().split(" ")[0] for c in FINDING.split(", ")])
     if "block" not in values.columns:
