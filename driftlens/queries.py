@@ -20,9 +20,10 @@ from driftlens.functions.scoring import count_g_test, flakiness_penalty, g_test
 from driftlens.operators import blocks as B
 from driftlens.operators import compare as C
 from driftlens.operators import fields as W
+from driftlens.operators import pages
 from driftlens.operators.lineage import durable
 from driftlens.operators.mining import mine, templates
-from driftlens.sources.lines import numbered
+from driftlens.sources.lines import losses, lost, numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -442,6 +443,20 @@ def line_numbering(spark, sf_dir):
     return numbered(rows).select("raw.doc_id", "raw.i", "line_no")
 
 
+_PLANTED = "(doc_id + i) % 4"
+
+
+@query("decoding_loss", f"""WITH {_DOC_LINES}, n AS (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS k FROM d)
+    SELECT CAST(doc_id % 3 AS INTEGER) AS run_idx, count(*) AS lines, count(*) FILTER (WHERE {_PLANTED} > 0) AS lossy_lines, CAST(sum(CASE {_PLANTED} WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 5 END) AS BIGINT) AS lost,
+           min(doc_id * 1000000 + i) FILTER (WHERE {_PLANTED} > 0) AS first_lossy FROM n GROUP BY doc_id % 3""")
+def decoding_loss(spark, sf_dir):
+    """Every line of every document with bytes planted that are no UTF-8: one alone, a character cut short, both and two alone; U+FFFD itself is no loss."""
+    lines = _document_lines(spark, sf_dir)
+    planted = F.when(F.expr(_PLANTED) == 1, F.unhex(F.lit("FF"))).when(F.expr(_PLANTED) == 2, F.unhex(F.lit("E282"))).when(F.expr(_PLANTED) == 3, F.unhex(F.lit("E28241FFC0EFBFBDFE"))).otherwise(F.unhex(F.lit("EFBFBD")))
+    raw = F.concat(planted, F.encode(F.concat(F.lit(" "), F.col("line")), "utf-8")).cast("string")
+    return losses(lines.select((F.col("doc_id") % 3).cast("int").alias("run_idx"), (F.col("doc_id") * 1000000 + F.col("i")).alias("line_no"), lost(raw).alias("loss")))
+
+
 # ---------------------------------------------------------------- maskers
 
 #: A text of each format that the documents lack; it stands before every line.
@@ -623,6 +638,15 @@ def diff_blocks(spark, sf_dir):
     return b.select("block", "kind", "first_line_no", "last_line_no", "line_count", "lines_elsewhere", F.round("score", 6).alias("score"), F.array_join(F.col("findings").cast("array<string>"), ",").alias("findings"))
 
 
+@query("findings_page", f"""WITH {_SQL_BLOCKS} SELECT index, kind, w || ' happened' AS template, round(score, 6) AS score FROM g WHERE contains(lower(w || ' happened'), 'e') ORDER BY index LIMIT 7 OFFSET 7""")
+def findings_page(spark, sf_dir):
+    """The second page of seven findings whose text has an E, begun behind the last row of the first."""
+    found = durable(_block_report(spark, sf_dir).findings)
+    first = pages.findings_page(found, query=" E ", size=7)
+    second = pages.findings_page(found, query=" E ", after=first.tail(1)[0], size=7)
+    return second.select("index", "kind", "template", F.round("score", 6).alias("score"))
+
+
 @query("diff_report", f"""WITH {_SQL_BLOCKS} SELECT g.index, g.kind, CASE WHEN g.kind = 'new' THEN 'up' WHEN g.kind = 'gone' THEN 'down' WHEN g.share > 0 THEN 'up' ELSE 'down' END AS direction, g.w || ' happened' AS template, round(g.score, 6) AS score,
     g.tc AS target_count, z.block FROM g LEFT JOIN m ON m.w = g.w LEFT JOIN z ON z.kind = m.kind AND z.first = m.first""")
 def diff_report(spark, sf_dir):

@@ -1,7 +1,8 @@
 """A data source of log lines: any number of files of any size, plain, gzip or UTF-16.
 
-``spark.read.format("loglines").load(path)`` gives (file, begin, place, raw): the lines of
-each range of each file, counted from 0.  The driver lists files and their sizes; what a
+``spark.read.format("loglines").load(path)`` gives (file, begin, place, raw, loss): the lines
+of each range of each file, counted from 0, and how many bytes (of UTF-16: units) of each
+were malformed and have been replaced.  The driver lists files and their sizes; what a
 file is, the tasks see from its first bytes.  Plain and UTF-16 files are read by ranges, a
 line by the range in which it begins.  A gzip file can't be cut: the task of its first
 range streams it, member by member, and those of the others find nothing to do.  No task
@@ -31,7 +32,7 @@ _ORDER = {"utf-16-le": "<u2", "utf-16-be": ">u2"}
 HEAD = 256 * 1024
 #: Bytes of a range, and that a task reads or unpacks at once.
 RANGE, BLOCK = 64 << 20, 1 << 20
-SCHEMA = "file string, begin long, place long, raw string"
+SCHEMA = "file string, begin long, place long, raw string, loss int"
 
 
 def reachable(path: str) -> bool:
@@ -102,8 +103,8 @@ def _joined(blocks: Iterator[bytes], least: int) -> tuple[bytes, Iterator[bytes]
     return head, blocks
 
 
-def texts(blocks: Iterator[bytes], encoding: str, exact: bool) -> Iterator[pa.Array]:
-    """The lines of blocks of bytes, a few at a time; a last line may lack its line feed."""
+def texts(blocks: Iterator[bytes], encoding: str, exact: bool) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(lines, losses) of blocks of bytes, a few at a time; a last line may lack its line feed."""
     rest: list[bytes] = []
     odd, unit = b"", 1 if encoding == "utf-8" else 2
     for data in blocks:
@@ -124,12 +125,41 @@ def texts(blocks: Iterator[bytes], encoding: str, exact: bool) -> Iterator[pa.Ar
         yield _lines(b"".join(rest) + odd, encoding, exact)
 
 
-def _lines(data: bytes, encoding: str, exact: bool) -> pa.Array:
-    """Lines parted by line feeds, without the carriage returns and line feeds at their ends."""
-    text = data.decode(encoding, "strict" if exact else "replace")
+def _lines(data: bytes, encoding: str, exact: bool) -> tuple[pa.Array, pa.Array]:
+    """Lines parted by line feeds, without the carriage returns and line feeds at their ends; and what was replaced in each."""
+    try:
+        text = data.decode(encoding)
+    except UnicodeDecodeError:
+        if exact:
+            raise
+        return _mended(data, encoding)
     if len(text) < 1 << 28:
-        return pc.utf8_rtrim(pc.split_pattern(pa.array([text], pa.large_string()), "\n").flatten(), "\r\n").cast(pa.string())
-    return pa.array([x.rstrip("\r\n") for x in text.split("\n")], pa.string())
+        lines = pc.utf8_rtrim(pc.split_pattern(pa.array([text], pa.large_string()), "\n").flatten(), "\r\n").cast(pa.string())
+    else:
+        lines = pa.array([x.rstrip("\r\n") for x in text.split("\n")], pa.string())
+    return lines, pa.array(np.zeros(len(lines), np.int32))
+
+
+def _mended(data: bytes, encoding: str) -> tuple[pa.Array, pa.Array]:
+    lost = 0
+
+    def replaced(e: UnicodeDecodeError):
+        nonlocal lost
+        lost += e.end - e.start if encoding == "utf-8" else -(-(e.end - e.start) // 2)
+        return "\ufffd", e.end
+
+    codecs.register_error("driftlens.replaced", replaced)
+    lines, losses = [], []
+    if encoding == "utf-8":
+        parts = data.split(b"\n")
+    else:
+        feeds = np.flatnonzero(np.frombuffer(data[: len(data) // 2 * 2], _ORDER[encoding]) == 10) * 2
+        parts = [data[a:b] for a, b in zip([0, *(feeds + 2).tolist()], [*feeds.tolist(), len(data)], strict=True)]
+    for part in parts:
+        lost = 0
+        lines.append(part.decode(encoding, "driftlens.replaced").rstrip("\r\n"))
+        losses.append(lost)
+    return pa.array(lines, pa.string()), pa.array(losses, pa.int32())
 
 
 @dataclass
@@ -189,15 +219,16 @@ class LogReader(DataSourceReader):
             try:
                 with fs.open_input_file(own) as f:
                     place = 0
-                    for lines in self._of(f, n, begin, end):
+                    for lines, losses in self._of(f, n, begin, end):
                         for a in range(0, len(lines), 50_000):
                             part = lines.slice(a, 50_000)
-                            yield pa.record_batch([pa.array([name] * len(part), pa.string()), pa.array([begin] * len(part), pa.int64()), pa.array(range(place, place + len(part)), pa.int64()), part], ["file", "begin", "place", "raw"])
+                            cols = pa.array([name] * len(part), pa.string()), pa.array([begin] * len(part), pa.int64()), pa.array(range(place, place + len(part)), pa.int64()), part, losses.slice(a, 50_000)
+                            yield pa.record_batch(list(cols), ["file", "begin", "place", "raw", "loss"])
                             place += len(part)
             except (ValueError, zlib.error) as e:
                 raise ValueError(f"{name}: {e}") from e
 
-    def _of(self, f, n: int, begin: int, end: int) -> Iterator[pa.Array]:
+    def _of(self, f, n: int, begin: int, end: int) -> Iterator[tuple[pa.Array, pa.Array]]:
         head = f.read(4)
         if head.startswith(GZIP):
             if begin:

@@ -7,7 +7,7 @@ import re
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftlens.sources import files
@@ -37,7 +37,8 @@ def numbered_in_place(rows: DataFrame, run_idx: int = 0) -> DataFrame:
     """Like ``numbered`` for places that count up by one within a split: no line is shuffled or sorted for its number."""
     sizes = rows.groupBy("_split").agg(F.count("*").alias("n"), F.min("_place").alias("_low"))
     before = sizes.select("_split", (F.sum("n").over(Window.orderBy("_split")) - F.col("n") - F.col("_low") + 1).alias("_before"))  # a row a split
-    return rows.join(before, "_split").select(F.lit(run_idx).alias("run_idx"), (F.col("_place") + F.col("_before")).cast("long").alias("line_no"), "raw")
+    more = [c for c in rows.columns if c not in ("_split", "_place", "raw")]
+    return rows.join(before, "_split").select(F.lit(run_idx).alias("run_idx"), (F.col("_place") + F.col("_before")).cast("long").alias("line_no"), "raw", *more)
 
 
 def _cleaned(c):
@@ -78,9 +79,26 @@ def first_bytes(spark: SparkSession, path: str, n: int = HEAD) -> list[bytes]:
     return out
 
 
-def read(spark: SparkSession, path: str, run_idx: int = 0, exact: bool = False) -> DataFrame:
+def lost(c: Column) -> Column:
+    """Bytes of a string that are no UTF-8 and that ``make_valid_utf8`` replaces; U+FFFD that stands there is none."""
+    mended = F.make_valid_utf8(c)
+    count = lambda hexed: (F.length(hexed) - F.length(F.replace(hexed, F.lit(",EF,BF,BD"), F.lit("")))) / 9
+    bytes_of = lambda x: F.regexp_replace(F.hex(x.cast("binary")), "(..)", ",$1")
+    marks = count(bytes_of(mended)) - count(bytes_of(c))
+    return F.when(F.is_valid_utf8(c), 0).otherwise(F.octet_length(c) - F.octet_length(mended) + 3 * marks).cast("int")
+
+
+def losses(rows: DataFrame) -> DataFrame:
+    """(run_idx, lines, lossy_lines, lost, first_lossy): of each run, what has been replaced in its lines (``loss``)."""
+    bad = F.col("loss") > 0
+    return rows.groupBy("run_idx").agg(F.count("*").alias("lines"), F.count_if(bad).alias("lossy_lines"), F.sum(F.col("loss").cast("long")).alias("lost"), F.min(F.when(bad, F.col("line_no"))).alias("first_lossy"))
+
+
+def read(spark: SparkSession, path: str, run_idx: int = 0, exact: bool = False, loss: bool = False) -> DataFrame:
     """Lines of files of any kind and size by the ``loglines`` source; what holds a NUL is refused.
 
+    ``loss`` adds the column of that name: bytes (of UTF-16: units) of each line that were malformed.
+
     Of a store that only Spark can open, by the reader that the files' first bytes ask for.
     """
     if files.reachable(path):
@@ -88,8 +106,10 @@ def read(spark: SparkSession, path: str, run_idx: int = 0, exact: bool = False)
         files.register(spark)
         rows = spark.read.format("loglines").option("exact", str(exact).lower()).load(path)
         if len(found) == 1 and found[0][1] <= files.RANGE:  # one range: its lines are counted already
-            return rows.select(F.lit(run_idx).alias("run_idx"), (F.col("place") + 1).alias("line_no"), "raw")
-        return numbered_in_place(rows.select(F.struct("file", "begin").alias("_split"), F.col("place").alias("_place"), "raw"), run_idx)
+            return rows.select(F.lit(run_idx).alias("run_idx"), (F.col("place") + 1).alias("line_no"), "raw", *(["loss"] if loss else []))
+        return numbered_in_place(rows.select(F.struct("file", "begin").alias("_split"), F.col("place").alias("_place"), "raw", *(["loss"] if loss else [])), run_idx)
+    if loss:
+        raise ValueError(f"{path}: what is lost isn't counted in a store that only Spark can open")
     heads = first_bytes(spark, path)
     if any(h.startswith(PACKED) for h in heads):
         return read_any(spark, path, run_idx, exact)
