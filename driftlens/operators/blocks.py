@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from driftlens.config import BLOCK_GAP, GONE_GAP, MIN_TEMPLATES
 from driftlens.operators.compare import kind_rank
-from driftlens.operators.ranking import ranked
+from driftlens.operators.ranking import last_before, ranked
 
 #: Lines of a range in which gaps are looked for at once.
 SPAN = 1 << 20
@@ -120,25 +120,16 @@ def joined_chains(chained: DataFrame) -> DataFrame:
 
 def gone_blocks(chained: DataFrame) -> DataFrame:
     """(first, last, members) of the joined chains with several templates that lie in them whole."""
-    joined = joined_chains(chained).select("block", F.col("first").alias("from"), F.col("covered").alias("to"))
-    # a template lies in the last joined chain that begins at or before its own chain: ranges of chains meet by their numbers
-    number = chained.select("cid", "last", "chain").unionByName(joined.select(F.lit(None).cast("long").alias("cid"), F.lit(None).cast("long").alias("last"), F.col("block").alias("chain"), "from", "to"), allowMissingColumns=True)
-    part = number.withColumn("part", F.floor(F.col("chain") / SPAN))
-    w = Window.partitionBy("part").orderBy(F.col("chain"), F.col("cid").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    here = F.struct("chain", "from", "to")
-    last = part.where("cid IS NULL").groupBy("part").agg(F.max(here).alias("end"))
-    before = part.select("part").distinct().join(last, "part", "left").select("part", F.max("end").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))  # a row a range
-    found = part.withColumn("own", F.max(F.when(F.col("cid").isNull(), here)).over(w)).join(before, "part")
-    of = F.coalesce("own", "before")
-    inside = found.where("cid IS NOT NULL").select("cid", "last", of["chain"].alias("block"), of["from"].alias("first"), of["to"].alias("to")).where("last <= to")
-    return inside.groupBy("block", "first", "to").agg(F.collect_list("cid").alias("members")).where(F.size("members") >= MIN_TEMPLATES).select("first", F.col("to").alias("last"), "members")
-
-
-def assembled(found: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
+    joined = joined_chains(chained).select(F.col("block").alias("home"), "first", F.col("covered").alias("to"))
+    inside = last_before(chained.select("cid", "last", "chain"), "chain", joined, "home", SPAN).where("last <= _mark.to")
+    members = inside.groupBy("_mark").agg(F.collect_list("cid").alias("members")).where(F.size("members") >= MIN_TEMPLATES)
+    return members.select(F.col("_mark.first").alias("first"), F.col("_mark.to").alias("last"), "members")
+
+
+def assembled(found: DataFrame, new: DataFrame | None, gone: DataFrame | None) -> DataFrame:
     """Blocks with their lines, score and findings' indexes in line order; block numbers by kind, score and first line."""
-    both = new.select(F.lit("new").alias("kind"), "first", "last", "members", "lines_elsewhere").unionByName(
-        gone.select(F.lit("gone").alias("kind"), "first", "last", "members", F.lit(0).cast("long").alias("lines_elsewhere"))
-    )
+    sides = [d.select(F.lit(kind).alias("kind"), "first", "last", "members", other.cast("long").alias("lines_elsewhere")) for d, kind, other in ((new, "new", F.col("lines_elsewhere")), (gone, "gone", F.lit(0))) if d is not None]
+    both = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
     member = both.select("kind", "first", "last", "lines_elsewhere", F.explode("members").alias("cid"))
     own = found.where(F.col("pos").isNull()).select("cid", "kind", "index", "score", "target_count", "baseline_counts", "first_target_line_no", "first_baseline_line_no")
     rows = member.join(own, ["cid", "kind"])

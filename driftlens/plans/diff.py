@@ -7,13 +7,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftlens.config import DiffOptions
+from driftlens.config import MIN_TEMPLATES, DiffOptions
 from driftlens.operators import blocks as B
 from driftlens.operators import compare as C
 from driftlens.operators import fields as W
 from driftlens.operators.joins import lookup
 from driftlens.operators.lineage import durable
 from driftlens.operators.mining import Mined, mine
+from driftlens.operators.ranking import last_before
 from driftlens.sources.lines import runs
 
 FINDING = "cid long, kind string, direction string, template string, score double, baseline_counts array<bigint>, target_count long, first_target_line_no long, first_target_raw string, first_baseline_line_no long, first_baseline_raw string, last_base long, pos int, value string, index int, block int"
@@ -99,22 +100,30 @@ def diff(lines: DataFrame, n: int, options: DiffOptions = DiffOptions()) -> Diff
     values = spark.createDataFrame([], VALUE)
     if n:
         tracked = durable(C.tracked(mined, counts, n))
-        found = found.unionByName(C.gone_values(tracked, counts, totals, n))
-        values = C.new_values(tracked, counts, n)
+        if not tracked.isEmpty():
+            found = found.unionByName(C.gone_values(tracked, counts, totals, n))
+            values = C.new_values(tracked, counts, n)
     found = C.ordered(found)
     made = spark.createDataFrame([], BLOCK)
-    if options.group:
-        fresh = counts.where(F.lit(n == 0) | (F.col("first_any").isNull())).select("first_run", "first_line", "cid", F.col("groups").alias("_n"))
-        new_lines = lookup(mined.groups.where(F.col("run_idx") == n), fresh, ["first_run", "first_line"]).where("cid IS NOT NULL")
-        new_lines = new_lines.select("line_no", "cid", F.explode("offsets").alias("at")).select((F.col("line_no") + F.col("at")).alias("line_no"), "cid")
-        gone = B.gone_blocks(B.gone_chains(B.gone_extents(found)))
-        made = B.assembled(found, B.new_blocks(durable(B.new_runs(new_lines))), gone)
+    several = {r["kind"] for r in found.where("pos IS NULL").groupBy("kind").count().collect() if r["count"] >= MIN_TEMPLATES} & {"new", "gone"} if options.group else set()
+    if several:
+        new = gone = None
+        if "new" in several:
+            fresh = counts.where(F.lit(n == 0) | (F.col("first_any").isNull())).select("first_run", "first_line", "cid", F.col("groups").alias("_n"))
+            new_lines = lookup(mined.groups.where(F.col("run_idx") == n), fresh, ["first_run", "first_line"]).where("cid IS NOT NULL")
+            new_lines = new_lines.select("line_no", "cid", F.explode("offsets").alias("at")).select((F.col("line_no") + F.col("at")).alias("line_no"), "cid")
+            new = B.new_blocks(durable(B.new_runs(new_lines)))
+        if "gone" in several:
+            gone = B.gone_blocks(durable(B.gone_chains(B.gone_extents(found))))
+        made = B.assembled(found, new, gone)
     of = made.select("block", F.explode("findings").alias("index"))
     findings = found.join(of, "index", "left").select(*[c.strip().split(" ")[0] for c in FINDING.split(", ")])
-    if "block" not in values.columns:
-        near = made.where("kind = 'new'").select("block", "first_line_no", "last_line_no")
-        hit = values.join(near, F.col("first_target_line_no").between(F.col("first_line_no"), F.col("last_line_no")), "left")
-        values = hit.groupBy("template", "position", "new_value", "baseline_values", "first_target_line_no", "first_target_raw", "established").agg(F.min("block").alias("block"))
+    if "block" not in values.columns and "new" not in several:
+        values = values.withColumn("block", F.lit(None).cast("int"))
+    elif "block" not in values.columns:  # runs of new lines lie apart, so a value is in one of them at most
+        near = made.where("kind = 'new'").select(F.col("first_line_no").alias("begins"), F.col("last_line_no").alias("ends"), F.col("block").alias("of"))
+        own = values.columns
+        values = last_before(values, "first_target_line_no", near, "begins").select(*own, F.when(F.col("_mark.ends") >= F.col("first_target_line_no"), F.col("_mark.of")).alias("block"))
     result = Diff(totals[:n], totals[n], counts.count(), findings, made, values, mined=mined)
     if options.watch_fields:
         grouped = bool(options.watch_by)
