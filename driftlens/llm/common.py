@@ -117,6 +117,8 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     grow with the logarithm of the component's size; if ``max_rounds`` are too few, it raises.
     """
     e = cut_lineage(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct())
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     sign = None
     for _ in range(max_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.llm.common import components, cut_lineage, into_blocks, lookup, runs, sieve
+from driftlens.operators.lineage import durable
 
 TABLES, BITS = 14, 12
 BLOCK = 1024
 #: Signs in which a pair may differ and be compared exactly.
 APART = 30
-_ONES = np.array([bin(v).count("1") for v in range(1 << 8)], np.uint8)
+#: Rows whose signs are compared with a block's at once.
+STRIPE = 256
 
 
 def planes(dim: int, tables: int = TABLES, bits: int = BITS) -> np.ndarray:
@@ -104,13 +106,32 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _first_shared(sigs: np.ndarray, i: int, other: np.ndarray, table: int) -> np.ndarray:
-    """Which of ``other`` share bucket ``table`` with ``i`` and none before it, and differ in few enough signs."""
-    own, their = sigs[i], sigs[other]
-    first = (their[:, :table] != own[:table]).all(1)
-    other, their = other[first], their[first]
-    differ = _ONES[(their ^ own).view(np.uint8)].sum(1)
-    return other[differ <= APART]
+def _first_shared(sigs: np.ndarray, left: np.ndarray, right: np.ndarray | None, table: int) -> np.ndarray:
+    """Which rows of ``sigs`` have a pair that shares bucket ``table``, none before it, and differs in few enough signs.
+
+    Pairs are those of ``left`` and ``right``, or within ``left``.  All signs of a pair are
+    compared at once, packed into words, for a stripe of rows at a time.
+    """
+    tables = sigs.shape[1]
+    padded = np.zeros((len(sigs), -(-tables // 4) * 4), np.uint16)
+    padded[:, :tables] = sigs
+    words = padded.view(np.uint64)
+    other = left if right is None else right
+    hit = np.zeros(len(sigs), bool)
+    for a in range(0, len(left), STRIPE):
+        own = left[a : a + STRIPE]
+        apart = np.zeros((len(own), len(other)), np.uint16)
+        for k in range(words.shape[1]):
+            apart += np.bitwise_count(words[own, k][:, None] ^ words[other, k][None, :])
+        near = apart <= APART
+        if right is None:
+            near &= np.arange(a, a + len(own))[:, None] < np.arange(len(other))[None, :]
+        i, j = np.nonzero(near)
+        i, j = own[i], other[j]
+        first = (sigs[i, :table] != sigs[j, :table]).all(1)
+        hit[i[first]] = True
+        hit[j[first]] = True
+    return hit
 
 
 def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = TABLES, bits: int = BITS, block: int = BLOCK) -> DataFrame:
@@ -127,7 +148,7 @@ def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = TABLES, bit
     told = cut_lineage(_told(rows))
     ids = cut_lineage(told.drop("raw"))
     same = ["label", "dim", "low", "high"]
-    classes = cut_lineage(told.where("dim IS NOT NULL").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw")))
+    classes = told.where("dim IS NOT NULL").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
     # a vec_id may stand for several classes, so a class has a number of its own
     classes = cut_lineage(classes.withColumn("cls", F.monotonically_increasing_id()))
     del told
@@ -149,7 +170,7 @@ def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = TABLES, bit
     key = ["label", "dim", "hash_table", "sig"]
     at = [*key, "low_block", "high_block"]
     spread = cut_lineage(classes.select("label", "dim", "cls", "raw").mapInArrow(hashed, "hash_table int, sig int, label long, dim int, cls long, sigs binary"))
-    large = cut_lineage(spread.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > block).withColumn("_rows", F.col("_n")))
+    large = durable(spread.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > block).withColumn("_rows", F.col("_n")))
     sized = lookup(spread, large, key)
     dealt = into_blocks(sized.withColumn("_rows", F.coalesce("_rows", F.lit(1))), "cls", block).repartition(*at).sortWithinPartitions(*at)
 
@@ -165,12 +186,7 @@ def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = TABLES, bit
                 continue
             sigs = np.frombuffer(b"".join(table.column("sigs").to_pylist()), np.uint16).reshape(-1, tables)
             t, left, right = sides(table)
-            hit = np.zeros(len(sigs), bool)
-            for k, i in enumerate(left.tolist()):
-                other = _first_shared(sigs, i, left[k + 1 :] if right is None else right, t)
-                if len(other):
-                    hit[i] = True
-                    hit[other] = True
+            hit = _first_shared(sigs, left, right, t)
             if hit.any():
                 yield from table.select([*at, "block", "cls"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
@@ -202,19 +218,19 @@ def near_vectors(rows: DataFrame, least: float = 0.98, tables: int = TABLES, bit
     classes = classes.drop("raw")
 
     # classes that hold rows of the same vec_id are joined by links of their own
-    several = cut_lineage(ids.where("dim IS NOT NULL").groupBy("vec_id").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_rows", F.col("_n")))
+    several = durable(ids.where("dim IS NOT NULL").groupBy("vec_id").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_rows", F.col("_n")))
     edges = found.where("a <> b").select("a", "b")
     if not several.isEmpty():
         repeated = cut_lineage(lookup(ids.where("dim IS NOT NULL"), several, ["vec_id"]).where("_rows IS NOT NULL").drop("_rows"))
         its = lookup(repeated, classes.select(*same, "cls", F.col("copies").alias("_n")), same)
         first = its.groupBy("vec_id").agg(F.min("cls").alias("a"), F.count("*").alias("_n"))
         edges = edges.unionByName(lookup(its.select("vec_id", F.col("cls").alias("b")), first, ["vec_id"]).where("a <> b").select("a", "b").distinct())
-    joined = cut_lineage(components(edges).withColumnRenamed("node", "cls"))
-    named = cut_lineage(classes.select("cls", "rep", *same, "copies").join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
+    joined = durable(components(edges).withColumnRenamed("node", "cls"))
+    named = durable(classes.select("cls", "rep", *same, "copies").join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls")))
     least_id = named.groupBy("component").agg(F.min("rep").alias("of_class"), F.count("*").alias("_n"))
-    named = lookup(named, cut_lineage(least_id), ["component"])
+    named = lookup(named, durable(least_id), ["component"])
     per_class = named.join(degree, "cls", "left").select(*same, F.col("copies").alias("_n"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "of_class")
-    out = lookup(ids, cut_lineage(per_class), same)
+    out = lookup(ids, durable(per_class), same)
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("of_class", "vec_id").alias("component_id"),
         (F.col("vec_id") == F.coalesce("of_class", "vec_id")).alias("kept"),
