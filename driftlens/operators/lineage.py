@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,8 +17,11 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        alone = sc.master == "local" or sc.master.startswith("local[")
+        if not named and not alone:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not alone and sc.getConf().get("spark.cleaner.referenceTracking.cleanCheckpoints", "false") != "true":
+            warnings.warn("set spark.cleaner.referenceTracking.cleanCheckpoints=true, or checkpoints stay in the shared folder for good", stacklevel=2)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="driftlens-"))
     return sc.getCheckpointDir()
 
