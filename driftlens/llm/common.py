@@ -27,16 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, free: bool = True) -> DataFrame:
     """Write ``df`` to the session's shared checkpoint folder and go on from there.
 
     Shuffle files and checkpoints that nothing refers to any more go when the driver
     collects its garbage.  It has little of that, so it is asked to, else they pile up.
+    Each such collection stops the driver, and where they come thick its heap is let grow
+    for them; so leave it (``free=False``) where nothing large has been dropped since the last.
     """
     shared_folder(df.sparkSession)
     out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    if free:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        release()
     return out
 
 
@@ -95,6 +99,8 @@ def sieve(rows: DataFrame, column: str, ids: DataFrame, bits: int = SIEVE_BITS)
     for bucket, bitmap in found:
         packed[(bucket - 1) * len(bitmap) : bucket * len(bitmap)] = np.frombuffer(bytes(bitmap), np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(packed.tobytes())
+    del found, packed
+    release()
     spot = free_name(rows.columns, "_spot")
 
     def keep(batches):
@@ -112,34 +118,36 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     """Connected components of ``edges``; returns (node, component), component the least node.
 
     Large-star and small-star steps in turn, each an aggregate with map-side combine and
-    an equi-join, until no edge changes.  Nodes without an edge aren't returned.  Each
-    round is cut off by a checkpoint, so a lost executor costs one round at most.  Rounds
-    grow with the logarithm of the component's size; if ``max_rounds`` are too few, it raises.
+    an equi-join, until the edges are stars around their least nodes, which neither step
+    changes.  Nodes without an edge aren't returned.  Each round is cut off by a checkpoint,
+    so a lost executor costs one round at most.  Rounds grow with the logarithm of the
+    component's size; if ``max_rounds`` are too few, it raises.
     """
     e = cut_lineage(edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct())
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    sign = None
     for _ in range(max_rounds):
+        if _stars(e):
+            break
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("_n"))
-        large = lookup(both.where("v > u"), cut_lineage(least), ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut_lineage(large)
-        low = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")))
+        large = lookup(both.where("v > u"), cut_lineage(least, free=False), ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut_lineage(large, free=False)
+        low = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")), free=False)
         ends = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
         small = lookup(large, low, ["u"]).select(ends.alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         e = cut_lineage(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == sign:
-            break
-        sign = now
     else:
         raise RuntimeError(f"components still change after {max_rounds} rounds")
-    pairs = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return pairs.groupBy("node").agg(F.min("component").alias("component")).unionByName(
-        roots.join(e.select(F.col("u").alias("node")).distinct(), "node", "left_anti")
-    )
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether each u of the distinct edges (u, v), u > v, has one v, which is no other edge's u."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    open_nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 0 AND n > 1")
+    return open_nodes.agg(F.count("*")).first()[0] == 0
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

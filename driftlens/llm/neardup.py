@@ -210,9 +210,9 @@ def _by_hub(pairs: DataFrame, payload: DataFrame) -> DataFrame:
     one partition; a hub with more members comes once for each chunk.  ``payload`` is told
     by its column ``need``.
     """
-    degree = cut_lineage(pairs.groupBy("a").agg(F.count("*").alias("_n")).withColumn("degree", F.col("_n")))
+    degree = cut_lineage(pairs.groupBy("a").agg(F.count("*").alias("_n")).withColumn("degree", F.col("_n")), free=False)
     chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("degree") / CHUNK)).alias("chunk")
-    dealt = cut_lineage(lookup(pairs, degree, ["a"]).select("a", "b", chunk))  # read several times below
+    dealt = cut_lineage(lookup(pairs, degree, ["a"]).select("a", "b", chunk), free=False)  # read several times below
     wanted = dealt.select("a", "chunk", F.lit(1).alias("role"), F.col("b").alias("need")).unionByName(
         dealt.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("need"))
     )
@@ -344,18 +344,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
     and equal texts follow from the sets alone.  Other columns are ignored.
     """
     threshold = percent / 100
-    sketched = cut_lineage(sketches(docs, words))
-    sets = cut_lineage(sketched.drop("regs"))
+    sketched = cut_lineage(sketches(docs, words), free=False)
+    sets = cut_lineage(sketched.drop("regs"), free=False)
     usable = sketched.where(F.col("doc_id").isNotNull() & F.col("set_a").isNotNull())
-    classes = cut_lineage(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.count("*").alias("copies")))
+    classes = cut_lineage(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.count("*").alias("copies")), free=False)
     del sketched, usable
 
     # the buckets of two classes or more, with their least class
     banded = cut_lineage(_banded(classes, []))
-    roots = cut_lineage(banded.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("_n")).where("_n > 1"))
+    roots = cut_lineage(banded.groupBy("band").agg(F.min("rep").alias("a"), F.count("*").alias("_n")).where("_n > 1"), free=False)
     if roots.count() > FEW:
-        banded = cut_lineage(sieve(banded, "band", roots.select("band")))
-    shared = cut_lineage(lookup(banded, roots, ["band"]).where("a IS NOT NULL"))
+        banded = cut_lineage(sieve(banded, "band", roots.select("band")), free=False)
+    shared = cut_lineage(lookup(banded, roots, ["band"]).where("a IS NOT NULL"), free=False)
     del banded, roots
 
     # round 1: each member of a bucket with the least
@@ -366,9 +366,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
 
     # round 2: buckets that hold several components
     keyed = shared.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
-    keyed = cut_lineage(keyed)
+    keyed = cut_lineage(keyed, free=False)
     mixed = keyed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("_n")).where("low <> high")
-    mixed = cut_lineage(mixed.select("band", "_n", F.col("_n").alias("_rows")))
+    mixed = cut_lineage(mixed.select("band", "_n", F.col("_n").alias("_rows")), free=False)
     members = cut_lineage(lookup(keyed, mixed, ["band"]).where("_rows IS NOT NULL"))
     del shared, keyed, mixed
     sketch = classes.select("rep", "n", "regs")

@@ -242,3 +242,46 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(50)] + [(100, 7), (200, 201), (201, 200), (300, 300)] + [(400, 400 + k) for k in range(40)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 0, 200: 200, 201: 200, **{400 + k: 400 for k in range(40)}}
+
+
+@pytest.fixture
+def collections(monkeypatch):
+    """Whether the driver was told to collect its garbage, a checkpoint each."""
+    from driftlens.llm import common, neardup
+
+    told, real = [], common.cut_lineage
+
+    def counted(df, **more):
+        told.append(more.get("free", True))
+        return real(df, **more)
+
+    monkeypatch.setattr(common, "cut_lineage", counted)
+    monkeypatch.setattr(neardup, "cut_lineage", counted)
+    return told
+
+
+def test_components_collect_once_a_round(spark, collections):
+    """Stars around their least nodes are found to be done at once; others cost one collection a round."""
+    from driftlens.llm.common import components
+
+    def of(edges):
+        collections.clear()
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        want = roots(1 + max(max(e) for e in edges), edges)
+        assert got == {x: want[x] for e in edges if e[0] != e[1] for x in e}
+        return len(collections), sum(collections)
+
+    assert of([(0, 5), (7, 0), (0, 5), (2, 3), (4, 4)]) == (1, 1)
+    rng = np.random.default_rng(3)
+    for edges in ([(i, i + 1) for i in range(40)], [(9, k) for k in range(9)], rng.integers(0, 60, (45, 2)).tolist()):
+        checkpoints, collected = of([tuple(e) for e in edges])
+        assert collected == 1 + (checkpoints - 1) // 4
+
+
+def test_near_duplicates_collect_little(spark, collections):
+    """The driver isn't stopped for a collection after each small table."""
+    from driftlens.llm.neardup import near_duplicates
+
+    df = spark.createDataFrame(list(enumerate(texts(1))), "doc_id long, text string").repartition(6)
+    near_duplicates(df).collect()
+    assert sum(collections) <= 24 and sum(collections) < len(collections) / 2
